@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import exact_dedup, mixing, sharding
+from strataweave.llm import bpe, exact_dedup, mixing, sharding, token_counts
 from strataweave.llm.shared import documents
 
 
@@ -22,10 +22,24 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
