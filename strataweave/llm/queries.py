@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import bpe, exact_dedup, mixing, sharding, token_counts
+from strataweave.llm import bpe, exact_dedup, language_id, media, mixing, sharding, token_counts
 from strataweave.llm.shared import documents
 
 
@@ -14,6 +14,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir).select("doc_id", "source"), mixing.WEIGHTS)
 
@@ -36,6 +46,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_media_columns": op6_media_columns,
     "op7_mix_sources": op7_mix_sources,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_byte_bpe": op9_byte_bpe,
