@@ -91,7 +91,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
     """
     own = staged(recipes(docs, id_col, text_col, row_col, bits), "recipes")
     best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"), "doc_id", "row"))
-    groups = own.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join has an exchange on either side and a hot recipe can be read in slices.
+    groups = staged(own.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return own.join(groups, "recipe").select(
         "row",
         "doc_id",
