@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataweave.llm.components import components
-from strataweave.llm.shared import staged
+from strataweave.llm.shared import Scratch, numbered, staged
 
 WIDTH, NUM, DEN = 3, 9, 10
 #: Blocks beyond those that a difference can touch: so many empty blocks of a set need no list.
@@ -315,7 +315,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
     sets = sets_of(docs, id_col, text_col, row_col, boundary or boundary_by_cost(small_sizes(docs, text_col)))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("low")
     classes = staged(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("sid"), low), "classes")
-    roots = linked_classes(docs, sets, classes, text_col)
+    with Scratch(docs.sparkSession) as scratch:
+        roots = scratch.keep(linked_classes(docs, sets, classes, text_col), "roots")
     rooted = staged(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
     lowest = staged(rooted.groupBy("root").agg(F.min("low").alias("first")), "lowest")
     found = staged(rooted.join(lowest, "root").select("n", "f1", "f2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "found")
@@ -327,3 +328,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("first_row", "row").alias("first_row"),
     )
+
+
+def representative_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component, the one with the smallest id, with its columns."""
+    own, row = numbered(docs)
+    kept = join(own, id_col, text_col, row).filter("row = first_row").select(F.col("row").alias(row))
+    return own.join(kept, row, "left_semi").select(*docs.columns)

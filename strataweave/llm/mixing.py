@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.ranking import free_name, ranked
+from strataweave.llm.ranking import ranked
+from strataweave.llm.shared import free_name
 
 REST = "*"
 BLOCK = 32

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import bpe, exact_dedup, jaccard_join, language_id, media, mixing, sharding, token_counts
+from strataweave.llm import bpe, exact_dedup, html_text, jaccard_join, language_id, media, mixing, pii, sharding, token_counts
 from strataweave.llm.shared import documents
 
 
@@ -18,6 +18,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir)).drop("redacted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -51,6 +59,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_html_text": op3_html_text,
+    "op4_pii_spans": op4_pii_spans,
     "op5_language_id": op5_language_id,
     "op6_media_columns": op6_media_columns,
     "op7_mix_sources": op7_mix_sources,

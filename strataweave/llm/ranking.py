@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.shared import staged
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+from strataweave.llm.shared import free_name, staged
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str) -> DataFrame:

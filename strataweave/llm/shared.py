@@ -8,8 +8,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Open scratch scopes, innermost last; a table belongs to the innermost at the time it is written.
+_scopes: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strataweave/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Removes the tables written within it, by ``release`` or at the end of a ``with`` block that asks for it.
+
+    Only what has been written out since may be read later; ``keep`` copies a small result to the
+    scope around.
+    """
+
+    def __init__(self, spark: SparkSession, at_exit: bool = True):
+        self.spark, self.at_exit, self.paths = spark, at_exit, []
+
+    def __enter__(self) -> Scratch:
+        _scopes.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scopes.remove(self)
+        if self.at_exit:
+            self.release()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        _scopes.remove(self)
+        try:
+            return staged(df, name)
+        finally:
+            _scopes.append(self)
+
+    def release(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths.clear()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -39,9 +77,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _scopes:
+        _scopes[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of ``docs`` with a number for each row, and that column's name."""
+    row = free_name(docs, "__row")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,0 +1,93 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strataweave.llm import pii
+from strataweave.llm.boosting import BoostedTrees
+from strataweave.llm.queries import op4_pii_spans
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(t):
+    n = lambda m: len(re.sub("[^0-9]", "", m[0]))
+    out = [(*m.span(), "email") for m in EMAIL.finditer(t)]
+    out += [(*m.span(), "ip") for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(*m.span(), "card") for m in CARD.finditer(t) if 14 <= n(m) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0]))]
+    out += [(*m.span(), "phone") for m in PHONE.finditer(t) if 10 <= n(m) <= 15]
+    return sorted(out, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(5)
+    parts = ["1", "23", "255", "256", ".", "..", " ", "-", "+", "(", ")", "@", "a", "b.c", "4242", "4242 4242 4242 4242", "\n", "é", "0007", "x@y.z"]
+    for _ in range(5000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert pii.base_spans(t, [m.span() for m in pii.DIGIT_RUN.finditer(t)]) == brute(t)
+
+
+def test_added_spans_and_clean_text():
+    texts = [
+        "call me: (212) 555-0199 ok", "mail jane.doe [at] example [dot] com now", "card 4242.4242.4242.4242 x", "server 2001:db8:85a3::8a2e:370:7334 up",
+        "at 12:30:45 on 2024-03-05, version 10.2.33, pages 100-200, ISBN 978-3-16-148410, total 1 234 567", "plain words only",
+    ]
+    got = [[(t[s:e], k) for s, e, k in more] for t, (_, more) in zip(texts, pii.spans_of(texts, pii.selector()), strict=True)]
+    assert got[:4] == [[("(212) 555-0199", "phone")], [("jane.doe [at] example [dot] com", "email")], [("4242.4242.4242.4242", "card")], [("2001:db8:85a3::8a2e:370:7334", "ip")]]
+    assert got[4:] == [[], []]
+
+
+def test_added_spans_never_touch_base_spans_or_each_other():
+    t = "tel +1 (212) 555-0199 or (212) 555-0199 555 0188, 4242 4242 4242 4242"
+    (base, more), = pii.spans_of([t], pii.selector())
+    spans = sorted(base + more)
+    assert brute(t) == base and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_held_out_accuracy_on_fresh_examples():
+    rows = pii.examples(2000, seed=99)
+    own = pii.selector()
+    p = own.probabilities([pii.features(*r[:4]) for r in rows])
+    taken = np.array([a >= own.thresholds[r[3]] for a, r in zip(p, rows, strict=True)])
+    truth = np.array([r[4] for r in rows])
+    assert (taken & truth).sum() / taken.sum() > 0.97 and (taken & truth).sum() / truth.sum() > 0.85
+
+
+def test_trees_learn_an_interaction_and_are_calibrated():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    own = BoostedTrees().fit(x[:1500], y[:1500]).calibrate(x[1500:2200], y[1500:2200])
+    p = own.probability(x[2200:])
+    assert ((p > 0.5) == (y[2200:] > 0.5)).mean() > 0.95 and own.probability(x[:0]).shape == (0,)
+
+
+TEXTS = [None, "", "a@b.co", "x" * 200000 + "@", "9" * 200000, "1.1.1.1 1.1.1.1", "é a.b@c-d.e.f +1 (212) 555-0199", "a@b.co"]
+
+
+def test_query(spark, docs, table_dir):
+    got = {r.doc_id: r for r in op4_pii_spans(spark, table_dir(docs(TEXTS).withColumn("spans", F.lit(1)))).collect()}
+    for i, t in enumerate(TEXTS):
+        base = brute(t) if t and len(t) < 1000 else []
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in pii.KINDS]
+        assert set(joined.split(",")) - {""} <= set(got[i].spans.split(","))
+
+
+def test_redaction(docs):
+    got = pii.detect(docs(["to a@b.co!", None])).orderBy("doc_id").collect()
+    assert [r.redacted for r in got] == ["to [email]!", None]
+    assert pii.detect(docs([])).count() == 0
+    assert pii.detect(docs([(None, "a"), (1, "b"), (1, "b")])).count() == 3
+
+
+@pytest.mark.parametrize("digits", ["4242424242424242", "79927398713"])
+def test_luhn(digits):
+    assert pii.luhn(digits) and not pii.luhn(digits[:-1] + str((int(digits[-1]) + 1) % 10))
