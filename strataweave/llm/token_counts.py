@@ -70,10 +70,11 @@ def frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
     word = F.explode(F.split(F.col(text_col), " ")).alias("word")
     # Very long words are not worth a place in a sketch.
     words = docs.select(word).filter("length(word) BETWEEN 1 AND 40")
-    # One word more, as sketches of nothing can't be merged.
-    words = words.union(docs.sparkSession.sql("SELECT 'the' AS word"))
-    some = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGES))).agg(F.expr(f"approx_top_k_accumulate(word, {SKETCH})").alias("sketch"))
-    top = some.agg(F.expr("approx_top_k_combine(sketch)").alias("sketch")).select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top"))
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("part")
+    some = words.groupBy(part).agg(F.expr(f"approx_top_k_accumulate(word, {SKETCH})").alias("sketch"))
+    # Grouped, though by one value: sketches of empty partitions can't be merged.
+    last = some.groupBy(F.expr("part * 0")).agg(F.expr("approx_top_k_combine(sketch)").alias("sketch"))
+    top = last.select(F.expr(f"approx_top_k_estimate(sketch, {FREQUENT})").alias("top"))
     return [r[0] for r in top.select(F.explode("top.item")).collect()]
 
 
