@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataweave.functions.predicates import external_target
 from strataweave.functions.text import target_path
@@ -65,7 +66,7 @@ def frontmatter_of(source: str | None) -> dict:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _frontmatter(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: json.dumps(frontmatter_of(s), ensure_ascii=False))
 

@@ -10,29 +10,33 @@ from pyspark.sql import types as T
 TIER_RANK = {"raw": 0, "agentic": 1, "user": 2}
 SCHEMA_VERSION = 1
 
-NODES = T.StructType.fromDDL(
-    "id string, kind string, path string, anchor string, layer string, attributes string,"
-    " field_ownership map<string,string>, origin string, intent_source string, deleted_at string"
-)
-EDGES = T.StructType.fromDDL(
-    "key string, src_id string, dst_id string, kind string, confidence double, layer string, attributes string,"
-    " field_ownership map<string,string>, origin string, intent_source string, adjudication string, deleted_at string"
-)
-PROVENANCE = T.StructType.fromDDL("edge_key string, source_file string, source_range string, extractor_id string, extractor_version string")
-FILE_HASHES = T.StructType.fromDDL("path string, sha256 string, size long, last_seen_at string")
-ANCHOR_RESOLUTION = T.StructType.fromDDL("anchor string, status string, reason string, symbol_path string, content_hash string, span_hash string, resolved_at string")
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+_TYPES["strings"] = T.ArrayType(T.StringType())
+_TYPES["tiers"] = T.MapType(T.StringType(), T.StringType())
+_TYPES["resolutions"] = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("symbol_id", "confidence", "reason")]))
+
+
+def _table(columns: str) -> T.StructType:
+    """Columns by name, a type after a colon, string without one."""
+    pairs = (c.partition(":") for c in columns.split())
+    return T.StructType([T.StructField(name, _TYPES[kind or "string"]) for name, _, kind in pairs])
+
+
+NODES = _table("id kind path anchor layer attributes field_ownership:tiers origin intent_source deleted_at")
+EDGES = _table("key src_id dst_id kind confidence:double layer attributes field_ownership:tiers origin intent_source adjudication deleted_at")
+PROVENANCE = _table("edge_key source_file source_range extractor_id extractor_version")
+FILE_HASHES = _table("path sha256 size:long last_seen_at")
+ANCHOR_RESOLUTION = _table("anchor status reason symbol_path content_hash span_hash resolved_at")
 
 #: Tables of a store; the disposable ones may be dropped and made again.
 TABLES = {"nodes": NODES, "edges": EDGES, "edge_provenance": PROVENANCE, "file_hashes": FILE_HASHES, "anchor_resolution": ANCHOR_RESOLUTION}
 KEYS = {"nodes": ["id"], "edges": ["key"], "edge_provenance": ["edge_key", "source_file", "source_range", "extractor_id"], "file_hashes": ["path"], "anchor_resolution": ["anchor"]}
 DISPOSABLE = {"nodes": False, "edges": False, "edge_provenance": False, "file_hashes": False, "anchor_resolution": True}
 
-CG_NODES = T.StructType.fromDDL("symbol_id string, name string, file_path string, start_line int, kind string, enclosing array<string>, is_test boolean, docstring string, body_source string")
-CG_CALLS = T.StructType.fromDDL(
-    "caller_id string, call_ix int, name string, file string, start_line int, start_col int, end_line int, end_col int,"
-    " is_callback boolean, resolutions array<struct<symbol_id:string,confidence:string,reason:string>>"
-)
-CG_ENTRY_POINTS = T.StructType.fromDDL("symbol_id string")
+#: Tables of a call graph.
+CG_NODES = _table("symbol_id name file_path start_line:int kind enclosing:strings is_test:boolean docstring body_source")
+CG_CALLS = _table("caller_id call_ix:int name file start_line:int start_col:int end_line:int end_col:int is_callback:boolean resolutions:resolutions")
+CG_ENTRY_POINTS = _table("symbol_id")
 
 
 def tier_rank(tier: Column) -> Column:
