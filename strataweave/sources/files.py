@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from strataweave.operators.graph import nearest_marked_dir
 def tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, size, modified) of all files below ``root``, paths relative to it."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.removeprefix("file:").rstrip("/")
+    base = re.sub(r"^file:/*", "/", root).rstrip("/")
     path = repo_relative(F.regexp_replace("path", r"^file:/*", "/"), base)
     return raw.select(path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -31,7 +31,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     if not Files(spark).exists(path):
         return spark.createDataFrame([], "line string, line_no long")
     whole = spark.read.option("wholetext", True).text(path)
-    each = whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    each = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
     return each.select(F.regexp_replace("line", "\r$", "").alias("line"), F.col("line_no").cast("long").alias("line_no")).filter("line <> ''")
 
 

@@ -47,6 +47,7 @@ class Files:
         fs, p = self._at(path)
         if not fs.exists(p):
             return None
+        fs.setVerifyChecksum(False)  # other tools write these files too, and leave side files behind
         stream = fs.open(p)
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

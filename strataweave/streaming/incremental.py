@@ -120,8 +120,8 @@ def run_turns(stream: DataFrame, turn: Callable[[DataFrame], None], checkpoint:
     from strataweave.sources.transcripts import EDIT_TOOLS, LINE
 
     def each(batch: DataFrame, _: int) -> None:
-        item = F.explode(F.from_json("line", LINE)["message"]["content"]).alias("item")
-        rows = batch.select(item).filter((F.col("item.type") == "tool_use") & F.col("item.name").isin(*EDIT_TOOLS))
+        said = batch.select(F.from_json("line", LINE).alias("r")).filter("r.type = 'assistant'")
+        rows = said.select(F.explode("r.message.content").alias("item")).filter((F.col("item.type") == "tool_use") & F.col("item.name").isin(*EDIT_TOOLS))
         paths = rows.select(F.coalesce("item.input.file_path", "item.input.notebook_path").alias("path")).filter("path IS NOT NULL").distinct()
         if not paths.isEmpty():
             turn(paths)
