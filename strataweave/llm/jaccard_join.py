@@ -15,13 +15,13 @@ over the sizes that the corpus has. A set below it that may meet one above emits
 
 Lists are not expanded to pairs. Each member is checked against the first of its list only; lists
 whose members are then one component are done. The members of the others go to tier two:
-shingles ordered rare first (by counts over those members), lists of the prefix that a linked
+shingles ordered rare first (by exact counts over those members), lists of the prefix that a linked
 pair must share, and only pairs of different components that sizes and places allow. Every
 link is checked on the whole sets. So components are exact, and a group of copies costs its
 size, not its square.
 
-Memory: broadcasts are a Bloom filter and a count table of fixed size; beyond what they can
-tell apart they let more through and stay exact. Everything else is joined by key.
+Memory: the one broadcast is a Bloom filter of fixed size; beyond what it can tell apart it lets
+more through and all stays exact. Everything else is joined by key.
 
 Defined results for odd input: a null or empty text, or one of white space, has no shingles
 and links with nothing; a text of fewer than WIDTH words is one shingle; a null id has itself as
@@ -38,9 +38,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strataweave.llm.components import components
 from strataweave.llm.shared import Scratch, numbered, staged
@@ -50,9 +49,8 @@ WIDTH, NUM, DEN = 3, 9, 10
 SLACK = 1
 #: Boundaries considered, and what an emitted block costs in emitted subsets (blocks are less selective).
 BOUNDARIES, BLOCK_COST = range(8, 40), 4
-#: Bits of the Bloom filter of classes in lists, and counters of the shingle count table.
-BLOOM_BITS, COUNTERS = 1 << 24, 1 << 20
-KEPT_WORDS = 400_000
+#: Bits of the Bloom filter of classes in lists; words whose hash a worker keeps.
+BLOOM_BITS, KEPT_WORDS = 1 << 24, 200_000
 U = np.uint64
 
 
@@ -241,36 +239,26 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return staged(both.filter((F.col("i") * DEN) >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b"), "verified")
 
 
-def shingle_counts(arrays: DataFrame) -> np.ndarray:
-    """How many of ``arrays`` hold a shingle, in COUNTERS counters; never too low."""
-    cells = arrays.select(F.explode("items").alias("item")).select(F.pmod("item", F.lit(COUNTERS)).alias("cell"))
-    rows = cells.groupBy("cell").agg(F.least(F.count(F.lit(1)), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int32)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out
+def prefixes(arrays: DataFrame) -> DataFrame:
+    """(sid, comp, n, token, place): the part of each set's prefix that lists of several components hold.
+
+    Shingles are ordered by how many of ``arrays`` hold them, then by value. Those that one set
+    alone holds come first and need no list, so only shared ones are joined and ordered; a window
+    never holds more than one set.
+    """
+    tokens = arrays.select("sid", "comp", "n", F.explode("items").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shared = tokens.join(staged(held.filter("held > 1"), "shared-shingles"), "token")
+    own = Window.partitionBy("sid")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1
+    in_prefix = F.col("place") <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
+    ordered = shared.select("sid", "comp", "n", "token", "low", "high", place.alias("place"))
+    return staged(ordered.filter(in_prefix & (F.col("low") < F.col("high"))).select("sid", "comp", "n", "token", "place"), "prefixes")
 
 
 def open_pairs(arrays: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``arrays`` (sid, comp, n, items) of different components that may link: inverted lists of prefixes."""
-    shared = arrays.sparkSession.sparkContext.broadcast(shingle_counts(arrays))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            tokens, places = [], []
-            for items in batch.column(3):
-                s = items.values.to_numpy()
-                c = counts[s % COUNTERS]
-                at = np.lexsort((s, c))[: len(s) + (-NUM * len(s)) // DEN + 1]
-                at_place = np.flatnonzero(c[at] > 1)  # what one set alone holds needs no list
-                tokens.append(s[at][at_place].view(U))
-                places.append(at_place.astype(np.int64).view(U))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(tokens), _lists(places)], names=["sid", "comp", "n", "tokens", "places"])
-
-    listed = arrays.select("sid", "comp", "n", "items").mapInArrow(run, "sid long, comp long, n long, tokens array<long>, places array<long>")
-    rows = staged(listed.select("sid", "comp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("sid", "comp", "n", F.col("x.tokens").alias("token"), F.col("x.places").alias("place")), "prefixes")
-    mixed_lists = staged(rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token"), "mixed-lists")
-    rows = rows.join(mixed_lists, "token", "left_semi")
+    rows = prefixes(arrays)
     a, b = rows.alias("a"), rows.alias("b")
     both = F.col("a.n") + F.col("b.n")
     # ceil((both - most_different(both)) / 2) shingles must be shared, and be left from either place on.
