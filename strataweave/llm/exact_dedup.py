@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.shared import numbered, staged
+from strataweave.llm.shared import numbered, staged, without_rows
 
 #: Deleted before texts are compared: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -106,5 +106,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     own, row = numbered(docs)
-    kept = dedup(own, id_col, text_col, row).filter("kept").select(F.col("row").alias(row))
-    return own.join(kept, row, "left_semi").select(*docs.columns)
+    return without_rows(own, row, dedup(own, id_col, text_col, row).filter("NOT kept").select("row")).select(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
-from strataweave.llm.shared import Scratch, numbered, staged
+from strataweave.llm.shared import Scratch, numbered, staged, without_rows
 
 WIDTH, NUM, DEN = 3, 9, 10
 #: Blocks beyond those that a difference can touch: so many empty blocks of a set need no list.
@@ -321,5 +321,4 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
 def representative_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each component, the one with the smallest id, with its columns."""
     own, row = numbered(docs)
-    kept = join(own, id_col, text_col, row).filter("row = first_row").select(F.col("row").alias(row))
-    return own.join(kept, row, "left_semi").select(*docs.columns)
+    return without_rows(own, row, join(own, id_col, text_col, row).filter("row <> first_row").select("row")).select(*docs.columns)

@@ -97,5 +97,26 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+#: Bits of the filter of ``without_rows``; as a table it has a row for each 64 of them at most.
+FILTER_BITS = 1 << 24
+
+
+def without_rows(own: DataFrame, row: str, dropped: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``own`` without the rows whose number is in ``dropped`` (one column, the number).
+
+    Most rows are settled where they are: a bit map over hashed numbers, broadcast as a table of at
+    most ``bits`` / 64 rows, says which can't be dropped. Only the others cross the network, so
+    long texts that stay are not shuffled. With more drops than bits more is let through to the join, no less right.
+    """
+    gone = staged(dropped.select(F.col(dropped.columns[0]).alias("__gone")).distinct(), "dropped")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    cells = gone.select(at("__gone").alias("__at")).groupBy(F.shiftright("__at", 6).alias("__cell")).agg(F.bit_or(F.expr("shiftleft(1L, int(__at & 63))")).alias("__bits"))
+    cells = F.broadcast(staged(cells, "dropped-bits"))
+    marked = own.withColumn("__at", at(row)).withColumn("__cell", F.shiftright("__at", 6)).join(cells, "__cell", "left")
+    marked = marked.withColumn("__maybe", F.coalesce(F.expr("(shiftrightunsigned(__bits, int(__at & 63)) & 1) = 1"), F.lit(False)))
+    doubtful = marked.filter("__maybe").select(*own.columns)
+    return marked.filter("NOT __maybe").select(*own.columns).unionByName(doubtful.join(gone, F.col(row) == F.col("__gone"), "left_anti"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

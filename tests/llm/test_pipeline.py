@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataweave.llm import bpe, exact_dedup, jaccard_join
+from strataweave.llm.shared import without_rows
 
 
 
@@ -68,3 +69,10 @@ def test_repeated_rows_and_null_ids(docs):
     assert jaccard_join.representative_documents(df).count() == 3
     assert exact_dedup.kept_documents(docs([])).count() == 0
     assert jaccard_join.representative_documents(docs([])).count() == 0
+
+
+def test_rows_are_dropped_however_small_the_filter(spark):
+    own = spark.range(500).selectExpr("id AS n", "concat('t', id) AS text", "id % 3 AS __cells")
+    for bits in (64, 1 << 24):
+        got = without_rows(own, "n", spark.range(0, 500, 7), bits)
+        assert got.columns == own.columns and sorted(r.n for r in got.collect()) == [i for i in range(500) if i % 7]
