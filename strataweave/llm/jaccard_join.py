@@ -13,7 +13,7 @@ pair has a block in common, whole. Tier two lists single shingles, of what tier
 The boundary is where the sum of emitted rows, weighted by what a row costs later, is least
 over the sizes that the corpus has. A set below it that may meet one above emits for both.
 
-Lists are not expanded to pairs. Each member is checked against the first of its list only; lists
+Lists are not expanded to pairs. Each member is checked against one pivot of its list only; lists
 whose members are then one component are done. The members of the others go to tier two:
 shingles ordered rare first (by exact counts over those members), lists of the prefix that a linked
 pair must share, and only pairs of different components that sizes and places allow. Every
@@ -274,14 +274,27 @@ def open_pairs(arrays: DataFrame) -> DataFrame:
     return a.join(b, fits).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
 
 
+def with_pivots(members: DataFrame) -> DataFrame:
+    """``members`` (key, sid) with each list's pivot: the member that is in most lists, of several the smallest.
+
+    The text that a group of near copies stems from is in nearly all its lists, so they share a
+    pivot and each copy is checked against it once, not against another member for each list.
+    """
+    lists = members.groupBy("sid").agg(F.count(F.lit(1)).alias("lists"))
+    best = F.max(F.struct("lists", (-F.col("sid")).alias("less"))).alias("best")
+    pivots = members.join(lists, "sid").groupBy("key").agg(best).select("key", (-F.col("best.less")).alias("pivot"))
+    return staged(members.join(staged(pivots, "pivots"), "key"), "members")
+
+
 def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
     """(node, root) of the classes that link with another."""
     rows = sets.join(classes.select(F.col("sid").alias("row")), "row", "left_semi").select(F.col("row").alias("sid"), F.explode("keys").alias("key"))
-    shared = staged(rows.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("top")).filter("pivot < top").select("key", "pivot"), "lists")
-    members = staged(rows.join(shared, "key"), "members")
+    shared = staged(rows.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("top")).filter("low < top").select("key"), "lists")
+    members = with_pivots(staged(rows.join(shared, "key"), "listed-rows"))
     listed = members.select("sid").distinct()
     arrays = arrays_of(docs, text_col, staged(classes.join(listed, "sid").select("sid", "n", "f1", "f2"), "listed"))
-    stars = staged(members.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
+    stars = members.filter("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
+    stars = staged(stars.distinct(), "stars")
     links = verified(stars, arrays)
     roots = components(links)
     labelled = staged(members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp")), "labelled")
