@@ -30,7 +30,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     """
     if not Files(spark).exists(path):
         return spark.createDataFrame([], "line string, line_no long")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     each = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
     return each.select(F.regexp_replace("line", "\r$", "").alias("line"), F.col("line_no").cast("long").alias("line_no")).filter("line <> ''")
 
@@ -111,7 +111,7 @@ def merged_pending(older: dict | None, newer: dict) -> dict:
 
 def manifests(spark: SparkSession, folder: str, name: str = "fixture.json") -> DataFrame:
     """(dir, ok, …) of the manifests in sub-folders, sorted; foreign and malformed ones are marked."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
     v = F.try_parse_json("value")
     ok = F.coalesce(F.try_variant_get(v, "$.schema_version", "int") == 1, F.lit(False)) & F.try_variant_get(v, "$.fixture", "string").isNotNull()
     dir_ = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)

@@ -146,7 +146,7 @@ def test_streaming_turns(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    for name, body in {"src/a.ts": "one\n two ", "node_modules/x.ts": "", "b.md": "x", "sk/SKILL.md": "y", "sk/deep/r.md": "z"}.items():
+    for name, body in {"src/a.ts": "one\n two ", "node_modules/x.ts": "z", "b.md": "x", "sk/SKILL.md": "y", "sk/deep/r.md": "z"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
     all_ = files.tree(spark, f"file://{tmp_path}")
