@@ -6,7 +6,7 @@ emitted: blocks stand on lines of their own, paragraphs and headings with a blan
 them, list items behind their bullet or number and indented by depth, table cells in aligned
 columns, preformatted text as it is, and other white space as one space. What a browser does
 not show is left out: head, scripts, styles, templates, media fallbacks, hidden inputs,
-elements with ``hidden`` or a style of ``display:none``, the closed part of details, and
+elements with ``hidden`` or a style of ``display:none`` (blocks: ``content-visibility:hidden``), the closed part of details, and
 text under ``visibility:hidden`` except where it is made visible again.
 
 Both passes are loops with explicit stacks, so nesting may have any depth.
@@ -54,10 +54,25 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
 WALLS = frozenset("table td th caption html template button marquee object applet".split())
 BULLET = "- "
 SPACE = re.compile(r"[ \t\n\r\f]+")
-STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+#: Parts of a style: comments, strings, addresses and escapes are whole, so that a semicolon in them ends nothing.
+STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|url\(\s*[^"'\s)](?:[^)\\]|\\.)*\)?|\\.|[^"'/\\u;()\[\]{}]+|.""", re.S)
+IMPORTANT = re.compile(r"!\s*important\s*\Z")
+#: Values that the properties take; a declaration with another is as if it were not there.
+AS_PARENT = frozenset("inherit unset revert revert-layer".split())
+VALUES = {
+    "visibility": frozenset("visible hidden collapse initial".split()) | AS_PARENT,
+    "content-visibility": frozenset("visible auto hidden initial".split()) | AS_PARENT,
+    "display": frozenset(
+        "none contents block inline inline-block flow flow-root run-in flex inline-flex -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex grid inline-grid grid-lanes inline-grid-lanes"
+        " list-item ruby ruby-base ruby-text ruby-base-container ruby-text-container math table inline-table table-row-group table-header-group table-footer-group"
+        " table-row table-cell table-column-group table-column table-caption initial".split()
+    )
+    | AS_PARENT,
+}
 
 
 class Node:
@@ -203,13 +218,38 @@ class Lines:
         return self.out
 
 
+def declarations(style: str) -> Iterator[str]:
+    own, depth = [], 0
+    for x in STYLE.findall(style):
+        if x == ";" and not depth:
+            yield "".join(own)
+            own = []
+            continue
+        depth = max(0, depth + (x in "([{") - (x in ")]}"))
+        own.append(" " if x.startswith("/*") else x)
+    yield "".join(own)
+
+
 def style_of(node: Node) -> dict[str, str]:
-    return dict(STYLE.findall(node.attrs["style"].lower())) if "style" in node.attrs else {}
+    """The properties of VALUES as the element's own style gives them: the last valid one, important ones first."""
+    style = node.attrs.get("style", "").lower()
+    if "display" not in style and "visibility" not in style:
+        return {}
+    out, important = {}, {}
+    for own in declarations(style):
+        name, _, value = own.partition(":")
+        plain = IMPORTANT.sub("", value.strip())
+        name, words = name.strip(), plain.split()
+        if name in VALUES and words and VALUES[name].issuperset(words) and (len(words) == 1 or name == "display"):
+            (out if plain == value.strip() else important)[name] = " ".join(words)
+    return out | important
 
 
 def shown(node: Node, style: dict[str, str]) -> bool:
     if node.tag in NOT_SHOWN or "hidden" in node.attrs or style.get("display") == "none":
         return False
+    if style.get("content-visibility") == "hidden" and node.tag in BLOCK - TABLE_PARTS:
+        return False
     if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return False
     if node.tag == "dialog" and "open" not in node.attrs:
@@ -273,8 +313,8 @@ def render(root: Node) -> str:
         if not shown(node, style):
             continue
         inner = State(state.lines, state.pre or node.tag in ("pre", "textarea", "listing", "xmp", "plaintext"), state.visible, state.lists)
-        if "visibility" in style:
-            inner.visible = style["visibility"] == "visible"
+        if style.get("visibility", "inherit") not in AS_PARENT:
+            inner.visible = style["visibility"] in ("visible", "initial")
         _open(node, state, inner, tables, counters)
         if node.tag in ("br", "hr", "input", "img", "wbr", "col"):
             continue

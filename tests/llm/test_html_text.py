@@ -65,3 +65,35 @@ def test_query(spark, tmp_path):
         assert (by[i].text, by[i].n_chars, by[i].n_lines) == (t, len(t), len(t.split("\n")) if t else 0)
     assert by[900].text == ""
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("style", "text"),
+    {
+        "backface-visibility:hidden": "a",
+        "content-visibility:auto": "a",
+        "content-visibility: hidden; color: red": "",
+        "--display: none": "a",
+        "visibility:inherit": "a",
+        "visibility:unset": "a",
+        "visibility:initial": "a",
+        "visibility:hidden": "",
+        "VISIBILITY : Collapse": "",
+        "visibility:hidden;visibility:bogus": "",
+        "visibility:hidden !important;visibility:visible": "",
+        "display:none;display:block": "a",
+        "display:none;display:bogus": "",
+        "display/**/:none": "",
+        "/* display:none */": "a",
+        "background:url(data:x;display:none)": "a",
+        "content:';display:none'": "a",
+        "background:url(data:x;y);display:none": "",
+    }.items(),
+)
+def test_styles_go_by_whole_names_and_valid_values(style, text):
+    assert html_text.text_of(f'<div style="{style}">a</div>') == text
+
+
+def test_hidden_parents_and_inherited_visibility():
+    inner = "".join(f"<b style='visibility:{v}'>{v} </b>" for v in ("inherit", "unset", "initial", "visible", "collapse"))
+    assert html_text.text_of(f"<p style='visibility:hidden'>{inner}</p>") == "initial visible"
