@@ -4,7 +4,9 @@ A tree builder adds what the markup leaves out (ends of paragraphs, list items,
 cells, options; rows around bare cells) and a renderer walks the tree. All visible text is
 emitted: blocks stand on lines of their own, paragraphs and headings with a blank line around
 them, list items behind their bullet or number and indented by depth, table cells in aligned
-columns, preformatted text as it is, and other white space as one space. What a browser does
+columns, preformatted text as it is, and other white space as one space. The text of math and
+inline svg is inline (without titles, descriptions, metadata, annotations, and what svg shows
+by reference only: defs, symbols, masks and the like). What a browser does
 not show is left out: head, scripts, styles, templates, media fallbacks, hidden inputs,
 elements with ``hidden`` or a style of ``display:none`` (blocks: ``content-visibility:hidden``), the closed part of details, and
 text under ``visibility:hidden`` except where it is made visible again.
@@ -29,7 +31,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_SHOWN = frozenset("head script style template noscript iframe object embed audio video canvas svg math datalist title meta link base param source track area map noembed noframes".split())
+NOT_SHOWN = frozenset("head script style template noscript iframe object embed audio video canvas datalist title meta link base param source track area map noembed noframes".split())
+#: Elements of svg and math that are never shown where they stand; the text of others is inline.
+NOT_SHOWN_FOREIGN = frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml style script".split())
+#: Elements of svg and math whose content is HTML again; start tags of HTML that end svg and math elsewhere.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike"
+    " sub sup table tt u ul var".split()
+)
+#: Parts of svg and math that stand apart from the text beside them.
+APART = frozenset("text foreignobject mtr mtd".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp tr caption thead tbody tfoot td th".split()
@@ -55,7 +67,7 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
-WALLS = frozenset("table td th caption html template button marquee object applet".split())
+WALLS = frozenset("table td th caption html template button marquee object applet".split()) | INTEGRATION
 BULLET = "- "
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Parts of a style: comments, strings, addresses and escapes are whole, so that a semicolon in them ends nothing.
@@ -76,10 +88,12 @@ VALUES = {
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "foreign", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        #: Whether the element is one of svg or math, not of HTML.
+        self.foreign = tag in ("svg", "math") or (parent is not None and parent.foreign and parent.tag not in INTEGRATION)
         self.children: list[Node | str] = []
 
 
@@ -115,7 +129,16 @@ class TreeBuilder(HTMLParser):
                 self.pop()
             self.pop()
 
+    def in_foreign(self) -> bool:
+        return self.at.foreign and self.at.tag not in INTEGRATION
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in BREAKS_OUT:
+            while self.in_foreign():
+                self.pop()
+        if self.in_foreign():
+            self.push(tag, {k: v or "" for k, v in attrs})
+            return
         if tag in ENDS_P:
             self.end_implied({"p"}, WALLS)
         if tag in IMPLIED:
@@ -127,7 +150,9 @@ class TreeBuilder(HTMLParser):
         self.push(tag, {k: v or "" for k, v in attrs})
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
+        self.handle_starttag(tag, attrs)
+        if self.at.foreign and self.at.tag == tag:
+            self.pop()  # a slash means nothing in HTML, but ends elements of svg and math
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -233,6 +258,8 @@ def declarations(style: str) -> Iterator[str]:
 def style_of(node: Node) -> dict[str, str]:
     """The properties of VALUES as the element's own style gives them: the last valid one, important ones first."""
     style = node.attrs.get("style", "").lower()
+    if node.foreign:
+        style = "".join(f"{k}:{node.attrs[k].lower()};" for k in ("display", "visibility") if k in node.attrs) + style
     if "display" not in style and "visibility" not in style:
         return {}
     out, important = {}, {}
@@ -246,7 +273,7 @@ def style_of(node: Node) -> dict[str, str]:
 
 
 def shown(node: Node, style: dict[str, str]) -> bool:
-    if node.tag in NOT_SHOWN or "hidden" in node.attrs or style.get("display") == "none":
+    if node.tag in (NOT_SHOWN_FOREIGN if node.foreign else NOT_SHOWN) or "hidden" in node.attrs or style.get("display") == "none":
         return False
     if style.get("content-visibility") == "hidden" and node.tag in BLOCK - TABLE_PARTS:
         return False
@@ -316,7 +343,7 @@ def render(root: Node) -> str:
         if style.get("visibility", "inherit") not in AS_PARENT:
             inner.visible = style["visibility"] in ("visible", "initial")
         _open(node, state, inner, tables, counters)
-        if node.tag in ("br", "hr", "input", "img", "wbr", "col"):
+        if node.tag in ("br", "hr", "input", "img", "wbr", "col") and not node.foreign:
             continue
         stack.append(("close", node, (state, inner)))
         shut = node.tag == "details" and "open" not in node.attrs
@@ -326,7 +353,9 @@ def render(root: Node) -> str:
 
 def _open(node: Node, state: State, inner: State, tables: list, counters: list) -> None:
     tag, lines = node.tag, state.lines
-    if tag == "br":
+    if node.foreign:
+        lines.space |= tag in APART
+    elif tag == "br":
         lines.end(True)
     elif tag == "hr":
         lines.gap()
@@ -366,7 +395,9 @@ def _open(node: Node, state: State, inner: State, tables: list, counters: list)
 def _close(node: Node, states: tuple, tables: list, counters: list) -> None:
     tag, (state, inner) = node.tag, states
     lines = state.lines
-    if tag == "table":
+    if node.foreign:
+        lines.space |= tag in APART
+    elif tag == "table":
         rows = tables.pop()
         own = inner.lines.result()  # captions and stray text stand above
         lines.whole(own + grid([r for r in rows if r]))

@@ -97,3 +97,23 @@ def test_styles_go_by_whole_names_and_valid_values(style, text):
 def test_hidden_parents_and_inherited_visibility():
     inner = "".join(f"<b style='visibility:{v}'>{v} </b>" for v in ("inherit", "unset", "initial", "visible", "collapse"))
     assert html_text.text_of(f"<p style='visibility:hidden'>{inner}</p>") == "initial visible"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    {
+        "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds": "so x=1 holds",
+        "<math><semantics><mi>y</mi><annotation>tex</annotation><annotation-xml><ci>z</ci></annotation-xml></semantics></math>": "y",
+        "<math><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr></mtable></math>": "a b",
+        "a <svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>e</text></defs><style>p{}</style><script>s</script><g><text>Jan</text><text>Feb</text></g></svg> b": "a Jan Feb b",
+        "<svg><defs/><title/><path d='M0'/><text>x<tspan>y</tspan></text></svg>z": "xy z",
+        "<svg><text display=none>a</text><text visibility=hidden>b</text><text>c</text></svg>": "c",
+        "<svg><foreignObject><p>a<p>b</foreignObject></svg>": "a\n\nb",
+        "<p>o<svg><foreignObject><p>a</p></foreignObject><text>t</text></svg>x": "o\n\na\n\nt x",
+        "<svg><defs><p>a</p>b": "a\n\nb",
+        "<svg/>a<title>t</title>": "a",
+        "<svg><a><text>in</text></a></svg><defs>out</defs>": "in out",
+    }.items(),
+)
+def test_math_and_svg_are_inline_text(html, text):
+    assert html_text.text_of(html) == text
