@@ -66,6 +66,8 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Start tags that head may hold; any other ends it, as text does.
+IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
 WALLS = frozenset("table td th caption html template button marquee object applet".split()) | INTEGRATION
 BULLET = "- "
@@ -145,7 +147,7 @@ class TreeBuilder(HTMLParser):
             self.end_implied(*IMPLIED[tag])
         if tag in ("td", "th") and self.at.tag in ("table", "thead", "tbody", "tfoot"):
             self.push("tr", {})
-        if self.at.tag == "head" and tag not in NOT_SHOWN and tag not in VOID:
+        if self.at.tag == "head" and tag not in IN_HEAD:
             self.pop()
         self.push(tag, {k: v or "" for k, v in attrs})
 
@@ -155,6 +157,8 @@ class TreeBuilder(HTMLParser):
             self.pop()  # a slash means nothing in HTML, but ends elements of svg and math
 
     def handle_endtag(self, tag: str) -> None:
+        if self.at.tag == "head" and tag in ("br", "p"):
+            self.pop()
         if tag == "br":
             self.push("br", {})
         elif tag == "p" and not self.open.get("p"):
@@ -171,6 +175,8 @@ class TreeBuilder(HTMLParser):
             self.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and SPACE.sub("", data):
+            self.pop()
         self.at.children.append(data)
 
 

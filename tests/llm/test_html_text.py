@@ -117,3 +117,19 @@ def test_hidden_parents_and_inherited_visibility():
 )
 def test_math_and_svg_are_inline_text(html, text):
     assert html_text.text_of(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    {
+        "<head><title>T</title>Hello<br>world<p>x": "Hello\nworld\n\nx",
+        "<head>\n<title>T</title><br>a": "a",
+        "<head><input value=v>": "v",
+        "<head></p>a": "a",
+        "<head><meta><link><base><style>p{}</style><script>s</script><template>m</template>\n</head>b": "b",
+        "<head><iframe></iframe>a<title>t</title>": "a",
+        "<head><svg><text>c</text></svg>": "c",
+    }.items(),
+)
+def test_head_ends_at_text_and_other_tags(html, text):
+    assert html_text.text_of(html) == text
