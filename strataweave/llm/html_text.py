@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -295,26 +297,65 @@ def number(s: str | None, default: int) -> int:
     return int(s) if s and re.fullmatch(r"\s*-?[0-9]{1,6}\s*", s) else default
 
 
-def grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+class Table:
+    """Rows of cells (lines, columns, rows spanned; 0 for all of the row group's), and the rows at which a row group begins."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.groups: set[int] = set()
+
+
+def placed(table: Table) -> Iterator[list[tuple[int, list[str], int]]]:
+    """Each row's cells as (first column, lines, columns): a cell stands right of those that reach down from above."""
+    carried: list[tuple[int, int, float]] = []  # (column, column after it, row after it), in order
+    for r, row in enumerate(table.rows):
+        if r in table.groups:
+            carried = []
+        elif carried and min(until for _, _, until in carried) <= r:
+            carried = [x for x in carried if x[2] > r]
+        out, more, at, k = [], [], 0, 0
+        for lines, span, down in row:
+            while k < len(carried) and carried[k][0] <= at:
+                at = max(at, carried[k][1])
+                k += 1
+            out.append((at, lines, span))
+            until = r + down if down else float("inf")
+            if more and more[-1][1:] == (at, until):
+                more[-1] = (more[-1][0], at + span, until)
+            elif down != 1:
+                more.append((at, at + span, until))
+            at += span
+        if more:
+            carried = sorted(carried + more)
+        yield out
+
+
+def grid(table: Table) -> list[str]:
     """Lines of a table: cells of a column begin at the same place, two spaces apart; a cell may span columns and lines."""
+    rows = list(placed(table))
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, span in row:
+        for at, lines, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-            at += span
+    known = sorted(widths)
+    sums = [0, *accumulate(widths[c] for c in known)]
+
+    def place(column: int) -> int:
+        return 2 * column + sums[bisect_left(known, column)]
+
     out = []
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at, begin = "", 0, 0
-            for lines, span in row:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, before, begin = "", 0, 0
+            for at, lines, span in row:
                 own = lines[k] if k < len(lines) else ""
+                begin += place(at) - place(before)
                 line = (line.ljust(begin) if own else line) + own
-                begin += sum(widths.get(c, 0) + 2 for c in range(at, at + span))
+                before = at + span
+                begin += place(before) - place(at)
                 if len(line) + 2 > begin and own:
                     begin = max(begin, len(line) + 2) if span > 1 else begin
-                at += span
             out.append(line.rstrip())
     return out
 
@@ -330,7 +371,7 @@ class State:
 
 def render(root: Node) -> str:
     top = Lines()
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[Table] = []
     counters: list[list[int]] = []
     stack: list[tuple] = [("node", root, State(top, False, True, ()))]
     while stack:
@@ -359,6 +400,8 @@ def render(root: Node) -> str:
 
 def _open(node: Node, state: State, inner: State, tables: list, counters: list) -> None:
     tag, lines = node.tag, state.lines
+    if tag in ("thead", "tbody", "tfoot") and tables:
+        tables[-1].groups.add(len(tables[-1].rows))
     if node.foreign:
         lines.space |= tag in APART
     elif tag == "br":
@@ -370,10 +413,10 @@ def _open(node: Node, state: State, inner: State, tables: list, counters: list)
             lines.text(node.attrs.get("value", ""), False)
     elif tag == "table":
         lines.gap()
-        tables.append([])
+        tables.append(Table())
         inner.lines, inner.lists = Lines(), ()
     elif tag == "tr" and tables:
-        tables[-1].append([])
+        tables[-1].rows.append([])
     elif tag in ("td", "th") and tables:
         inner.lines = Lines()
     elif tag in ("ul", "ol", "menu", "dir"):
@@ -401,17 +444,20 @@ def _open(node: Node, state: State, inner: State, tables: list, counters: list)
 def _close(node: Node, states: tuple, tables: list, counters: list) -> None:
     tag, (state, inner) = node.tag, states
     lines = state.lines
+    if tag in ("thead", "tbody", "tfoot") and tables:
+        tables[-1].groups.add(len(tables[-1].rows))
     if node.foreign:
         lines.space |= tag in APART
     elif tag == "table":
-        rows = tables.pop()
+        table = tables.pop()
         own = inner.lines.result()  # captions and stray text stand above
-        lines.whole(own + grid([r for r in rows if r]))
+        lines.whole(own + grid(table))
         lines.gap()
     elif tag in ("td", "th") and tables:
         cell = inner.lines.result()
-        if tables[-1]:
-            tables[-1][-1].append((cell, max(1, number(node.attrs.get("colspan"), 1))))
+        if tables[-1].rows:
+            span, down = number(node.attrs.get("colspan"), 1), number(node.attrs.get("rowspan"), 1)
+            tables[-1].rows[-1].append((cell, min(max(1, span), 1000), min(down, 65534) if down >= 0 else 1))
         else:
             lines.whole(cell)
     elif tag in ("ul", "ol", "menu", "dir"):

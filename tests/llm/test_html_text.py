@@ -133,3 +133,25 @@ def test_math_and_svg_are_inline_text(html, text):
 )
 def test_head_ends_at_text_and_other_tags(html, text):
     assert html_text.text_of(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    {
+        "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+        "<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>": "a  b  c\nd     e\nf     g",
+        "<table><tr><td colspan=2 rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>ee<td>ff</table>": "a       b\n        c\ndd  ee  ff",
+        "<table><tr><td rowspan=2>a<td>b<tr></tr><tr><td>c<td>d</table>": "a  b\nc  d",
+        "<table><thead><tr><th rowspan=9>a<th>b<tbody><tr><td>c<td>d</table>": "a  b\nc  d",
+        "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+        "<table><tr><td rowspan=2>a<td rowspan=3>b<td>c<tr><td>d<tr><td>e<td>f</table>": "a  b  c\n      d\ne     f",
+        "<table><tr><td rowspan=x>a<tr><td rowspan=-2>b<tr><td>c</table>": "a\nb\nc",
+    }.items(),
+)
+def test_cells_stand_beside_those_that_reach_down(html, text):
+    assert html_text.text_of(html) == text
+
+
+def test_many_spans():
+    html = "<table><tr>" + "<td rowspan=65534 colspan=1000>w" * 1000 + "<tr><td>w" * 3000
+    assert html_text.text_of(html).count("w") == 4000
