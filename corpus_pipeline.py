@@ -38,9 +38,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies: shingles of five words, a similarity of 0.8 on."""
     with _scope(spark):
-        return jaccard_join.representative_documents(docs)
+        return jaccard_join.representative_documents(docs, width=5, threshold=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by a size-aware heavy-light scheme, and the components of its links.
 
 A document's set holds its distinct word shingles as 64-bit hashes. Equal sets are one class
-from the start, whatever their number. Two classes link when |A n B| / |A u B| >= NUM / DEN,
-so their symmetric difference is at most (|A| + |B|) * (DEN - NUM) / (DEN + NUM) shingles.
+from the start, whatever their number. Two classes link when |A n B| / |A u B| >= num / den,
+so their symmetric difference is at most (|A| + |B|) * (den - num) / (den + num) shingles.
+The words of a shingle and the threshold are arguments; all sizes below follow from them.
 
 Light sets (up to a boundary) enumerate subsets of a fixed size: a pair whose larger set has m
-shingles shares ceil(NUM * m / DEN) of them, so each set emits its subsets of that size for
+shingles shares ceil(num * m / den) of them, so each set emits its subsets of that size for
 each m it may meet. Heavy sets are found in inverted lists. A list for each shingle would hold
 a third of all documents for a common passage, so tier one lists blocks of shingles: sets of a
 size class are dealt by hash into more blocks than their difference can touch, and a linked
@@ -24,7 +25,7 @@ Memory: the one broadcast is a Bloom filter of fixed size; beyond what it can te
 more through and all stays exact. Everything else is joined by key.
 
 Defined results for odd input: a null or empty text, or one of white space, has no shingles
-and links with nothing; a text of fewer than WIDTH words is one shingle; a null id has itself as
+and links with nothing; a text of fewer words than a shingle's is one shingle; a null id has itself as
 component unless linked, and then the smallest id there is; repeated rows are one class; an
 empty table gives an empty result; further columns are ignored, whatever their names.
 """
@@ -34,6 +35,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.components import components
 from strataweave.llm.shared import Scratch, numbered, staged, without_rows
 
+#: What the arguments are unless given: words of a shingle, and the threshold NUM / DEN.
 WIDTH, NUM, DEN = 3, 9, 10
 #: Blocks beyond those that a difference can touch: so many empty blocks of a set need no list.
 SLACK = 1
@@ -51,6 +55,8 @@ SLACK = 1
 BOUNDARIES, BLOCK_COST = range(8, 40), 4
 #: Bits of the Bloom filter of classes in lists; words whose hash a worker keeps.
 BLOOM_BITS, KEPT_WORDS = 1 << 24, 200_000
+#: Bits of the sketches that tell before sets are moved that a pair differs by too much; the longer is for pairs that the shorter leaves.
+SKETCH_BITS = {"short": 1024, "long": 8192}
 U = np.uint64
 
 
@@ -61,9 +67,24 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def most_different(both: int) -> int:
-    """Largest symmetric difference of a linked pair with ``both`` shingles together."""
-    return both * (DEN - NUM) // (DEN + NUM)
+class Rule(NamedTuple):
+    """Words of a shingle, and the threshold num / den."""
+
+    width: int = WIDTH
+    num: int = NUM
+    den: int = DEN
+
+    @classmethod
+    def of(cls, width: int, threshold: float) -> Rule:
+        """The threshold as its decimal says, not as the float nearest to it."""
+        exact = Fraction(str(threshold))
+        if width < 1 or not 0 < exact <= 1:
+            raise ValueError(f"width {width}, threshold {threshold}")
+        return cls(width, exact.numerator, exact.denominator)
+
+    def most_different(self, both: int) -> int:
+        """Largest symmetric difference of a linked pair with ``both`` shingles together."""
+        return both * (self.den - self.num) // (self.den + self.num)
 
 
 class Words(dict):
@@ -90,6 +111,12 @@ def shingles(text: str | None, known: Words, width: int = WIDTH) -> np.ndarray:
     return np.unique(total)
 
 
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each of so many cells holds an odd number of shingles: two sets differ by as many shingles as cells at least."""
+    odd = np.bincount((mixed(s, 51) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     a, b = mixed(s, 11).sum(dtype=U), np.bitwise_xor.reduce(mixed(s, 12)) if len(s) else U(0)
     return int(a.astype(np.int64)), int(U(b).astype(np.int64))
@@ -98,25 +125,26 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 class Signatures:
     """List keys of a set, for a light-heavy boundary."""
 
-    def __init__(self, boundary: int):
-        self.boundary = boundary
+    def __init__(self, boundary: int, rule: Rule = Rule()):
+        self.boundary, self.rule = boundary, rule
         self.tops: list[int] = []
 
     def size_class(self, n: int) -> int:
         """Class of a heavy size; class i ends at tops[i], the largest size that its smallest may meet."""
         while not self.tops or self.tops[-1] < n:
             low = self.tops[-1] + 1 if self.tops else self.boundary + 1
-            self.tops.append(low * DEN // NUM)
+            self.tops.append(low * self.rule.den // self.rule.num)
         return int(np.searchsorted(self.tops, n))
 
     def blocks(self, c: int) -> int:
-        return most_different(2 * self.tops[c]) + 1 + SLACK
+        return self.rule.most_different(2 * self.tops[c]) + 1 + SLACK
 
     def subset_sizes(self, n: int) -> list[int]:
-        return sorted({-(-NUM * m // DEN) for m in range(n, min(self.boundary, n * DEN // NUM) + 1)})
+        _, num, den = self.rule
+        return sorted({-(-num * m // den) for m in range(n, min(self.boundary, n * den // num) + 1)})
 
     def classes(self, n: int) -> range:
-        low, high = max(n, self.boundary + 1), n * DEN // NUM
+        low, high = max(n, self.boundary + 1), n * self.rule.den // self.rule.num
         return range(self.size_class(low), self.size_class(high) + 1) if low <= high else range(0)
 
     def cost(self, n: int) -> float:
@@ -147,17 +175,17 @@ class Signatures:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
-def boundary_by_cost(sizes: dict[int, int]) -> int:
+def boundary_by_cost(sizes: dict[int, int], rule: Rule = Rule()) -> int:
     """The cheapest boundary for so many sets of each size."""
-    return min(BOUNDARIES, key=lambda x: (sum(n * Signatures(x).cost(size) for size, n in sizes.items()), x))
+    return min(BOUNDARIES, key=lambda x: (sum(n * Signatures(x, rule).cost(size) for size, n in sizes.items()), x))
 
 
-def small_sizes(docs: DataFrame, text_col: str) -> dict[int, int]:
+def small_sizes(docs: DataFrame, text_col: str, rule: Rule) -> dict[int, int]:
     """How many texts have each small number of shingles, repeated ones counted; a row for each size at most."""
-    top = max(BOUNDARIES) * DEN // NUM + 1
+    top = max(BOUNDARIES) * rule.den // rule.num + 1
     words = F.size(F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     # A text longer than this has more words, or words so long that it is not worth while to know.
-    short = docs.filter(F.length(text_col) <= 64 * top).select(F.greatest(words - WIDTH + 1, F.lit(1)).alias("n"))
+    short = docs.filter(F.length(text_col) <= 64 * top).select(F.greatest(words - rule.width + 1, F.lit(1)).alias("n"))
     return {r["n"]: r["count"] for r in short.filter(F.col("n") <= top).groupBy("n").count().collect()}
 
 
@@ -167,13 +195,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, boundary: int) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, boundary: int, rule: Rule) -> DataFrame:
     """row, doc_id, n, f1, f2 (fingerprint), keys; written, so that row numbers hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = Words(), Signatures(boundary)
+        known, own = Words(), Signatures(boundary, rule)
         for batch in batches:
-            sets = [shingles(t, known) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, known, rule.width) for t in batch.column(2).to_pylist()]
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -207,8 +235,8 @@ def bloom(wanted: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def arrays_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(sid, n, items) for the classes in ``wanted`` (sid, n, f1, f2), made again from the texts."""
+def arrays_of(docs: DataFrame, text_col: str, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, n, items, short, long: sketches) for the classes in ``wanted`` (sid, n, f1, f2), made again from the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,30 +244,38 @@ def arrays_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             out = {}
             for t in batch.column(0).to_pylist():
-                s = shingles(t, known)
+                s = shingles(t, known, rule.width)
                 if len(s):
                     f = fingerprint(s)
                     a, b = bloom_positions(np.array(f[:1]))
                     if bits[a[0]] and bits[b[0]]:
                         out[len(s), *f] = s
             cols = [pa.array([k[i] for k in out], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*cols, _lists(list(out.values()))], names=["n", "f1", "f2", "items"])
+            lists = [_lists(list(out.values())), *(_lists([sketch(s, x) for s in out.values()]) for x in SKETCH_BITS.values())]
+            yield pa.RecordBatch.from_arrays([*cols, *lists], names=["n", "f1", "f2", "items", *SKETCH_BITS])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n long, f1 long, f2 long, items array<long>, short array<long>, long array<long>")
+    once = found.groupBy("n", "f1", "f2").agg(F.any_value(F.struct("items", *SKETCH_BITS)).alias("own"))
+    return staged(once.join(wanted, ["n", "f1", "f2"]).select("sid", "n", "own.*"), "arrays")
+
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "n long, f1 long, f2 long, items array<long>")
-    once = found.groupBy("n", "f1", "f2").agg(F.any_value("items").alias("items"))
-    return staged(once.join(wanted, ["n", "f1", "f2"]).select("sid", "n", "items"), "arrays")
+def verified(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b), by their whole sets; sizes and sketches leave out most others before sets are moved."""
 
+    def side(x: str, *more: str) -> DataFrame:
+        return arrays.select(F.col("sid").alias(x), *(F.col(c).alias(c + x) for c in more))
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), by their whole sets."""
-    one = arrays.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    two = arrays.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = pairs.join(one, "a").join(two, "b").filter(F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM)
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("long").alias("i"))
-    return staged(both.filter((F.col("i") * DEN) >= (F.col("na") + F.col("nb") - F.col("i")) * NUM).select("a", "b"), "verified")
+    near = pairs.select("a", "b")
+    for own in SKETCH_BITS:
+        near = near.join(side("a", "n", own), "a").join(side("b", "n", own), "b").filter(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num)
+        apart = F.aggregate(F.zip_with(own + "a", own + "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        near = staged(near.filter(apart <= F.expr(f"(na + nb) * {rule.den - rule.num} div {rule.den + rule.num}")).select("a", "b"), "near-pairs")
+    both = near.join(side("a", "n", "items"), "a").join(side("b", "n", "items"), "b")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("itemsa", "itemsb")).cast("long").alias("i"))
+    return staged(both.filter((F.col("i") * rule.den) >= (F.col("na") + F.col("nb") - F.col("i")) * rule.num).select("a", "b"), "verified")
 
 
-def prefixes(arrays: DataFrame) -> DataFrame:
+def prefixes(arrays: DataFrame, rule: Rule) -> DataFrame:
     """(sid, comp, n, token, place): the part of each set's prefix that lists of several components hold.
 
     Shingles are ordered by how many of ``arrays`` hold them, then by value. Those that one set
@@ -251,18 +287,18 @@ def prefixes(arrays: DataFrame) -> DataFrame:
     shared = tokens.join(staged(held.filter("held > 1"), "shared-shingles"), "token")
     own = Window.partitionBy("sid")
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("held", "token")) - 1
-    in_prefix = F.col("place") <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
+    in_prefix = F.col("place") <= F.col("n") - F.expr(f"(n * {rule.num} + {rule.den - 1}) div {rule.den}")
     ordered = shared.select("sid", "comp", "n", "token", "low", "high", place.alias("place"))
     return staged(ordered.filter(in_prefix & (F.col("low") < F.col("high"))).select("sid", "comp", "n", "token", "place"), "prefixes")
 
 
-def open_pairs(arrays: DataFrame) -> DataFrame:
+def open_pairs(arrays: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of ``arrays`` (sid, comp, n, items) of different components that may link: inverted lists of prefixes."""
-    rows = prefixes(arrays)
+    rows = prefixes(arrays, rule)
     a, b = rows.alias("a"), rows.alias("b")
     both = F.col("a.n") + F.col("b.n")
     # ceil((both - most_different(both)) / 2) shingles must be shared, and be left from either place on.
-    need = F.expr(f"(a.n + b.n - (a.n + b.n) * {DEN - NUM} div {DEN + NUM} + 1) div 2")
+    need = F.expr(f"(a.n + b.n - (a.n + b.n) * {rule.den - rule.num} div {rule.den + rule.num} + 1) div 2")
     fits = (
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.sid") < F.col("b.sid"))
@@ -286,38 +322,42 @@ def with_pivots(members: DataFrame) -> DataFrame:
     return staged(members.join(staged(pivots, "pivots"), "key"), "members")
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, text_col: str, rule: Rule) -> DataFrame:
     """(node, root) of the classes that link with another."""
     rows = sets.join(classes.select(F.col("sid").alias("row")), "row", "left_semi").select(F.col("row").alias("sid"), F.explode("keys").alias("key"))
     shared = staged(rows.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("top")).filter("low < top").select("key"), "lists")
     members = with_pivots(staged(rows.join(shared, "key"), "listed-rows"))
     listed = members.select("sid").distinct()
-    arrays = arrays_of(docs, text_col, staged(classes.join(listed, "sid").select("sid", "n", "f1", "f2"), "listed"))
+    arrays = arrays_of(docs, text_col, staged(classes.join(listed, "sid").select("sid", "n", "f1", "f2"), "listed"), rule)
     stars = members.filter("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
     stars = staged(stars.distinct(), "stars")
-    links = verified(stars, arrays)
+    links = verified(stars, arrays, rule)
     roots = components(links)
     labelled = staged(members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp")), "labelled")
     still = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
     left = staged(labelled.join(staged(still, "open-lists"), "key", "left_semi").select("sid", "comp").distinct(), "open")
     if left.isEmpty():
         return roots
-    pairs = open_pairs(staged(arrays.join(left, "sid").select("sid", "comp", "n", "items"), "open-arrays"))
-    more = verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs"), arrays)
+    pairs = open_pairs(staged(arrays.join(left, "sid").select("sid", "comp", "n", "items"), "open-arrays"), rule)
+    more = verified(staged(pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs"), arrays, rule)
     return roots if more.isEmpty() else components(links.union(more))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, boundary: int | None = None) -> DataFrame:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, boundary: int | None = None, width: int = WIDTH, threshold: float = NUM / DEN
+) -> DataFrame:
     """A row per document: row, doc_id, n_shingles, component_id, first_row.
 
     component_id is the smallest id of the component, first_row the row that bears it (of
-    repeated rows the first). ``boundary`` is found by cost unless given.
+    repeated rows the first). ``boundary`` is found by cost unless given. Shingles have ``width``
+    words; a Jaccard similarity of ``threshold`` on links.
     """
-    sets = sets_of(docs, id_col, text_col, row_col, boundary or boundary_by_cost(small_sizes(docs, text_col)))
+    rule = Rule.of(width, threshold)
+    sets = sets_of(docs, id_col, text_col, row_col, boundary or boundary_by_cost(small_sizes(docs, text_col, rule), rule), rule)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("low")
     classes = staged(sets.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("row").alias("sid"), low), "classes")
     with Scratch(docs.sparkSession) as scratch:
-        roots = scratch.keep(linked_classes(docs, sets, classes, text_col), "roots")
+        roots = scratch.keep(linked_classes(docs, sets, classes, text_col, rule), "roots")
     rooted = staged(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
     lowest = staged(rooted.groupBy("root").agg(F.min("low").alias("first")), "lowest")
     found = staged(rooted.join(lowest, "root").select("n", "f1", "f2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row")), "found")
@@ -331,7 +371,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_co
     )
 
 
-def representative_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representative_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = NUM / DEN) -> DataFrame:
     """One row of ``docs`` of each component, the one with the smallest id, with its columns."""
     own, row = numbered(docs)
-    return without_rows(own, row, join(own, id_col, text_col, row).filter("row <> first_row").select("row")).select(*docs.columns)
+    return without_rows(own, row, join(own, id_col, text_col, row, width=width, threshold=threshold).filter("row <> first_row").select("row")).select(*docs.columns)

@@ -15,7 +15,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.join(documents(spark, sf_dir), width=3, threshold=0.9).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

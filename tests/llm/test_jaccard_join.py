@@ -108,3 +108,20 @@ def test_repeated_rows_null_ids_and_no_rows(docs):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.n_shingles) for r in got) == [(-1, -1, 0), (-1, -1, 1), (-1, 5, 10), (5, 5, 10), (5, 5, 10), (9, 9, 0)]
     assert len({r.first_row for r in got if r.n_shingles == 10}) == 1
     assert J.join(docs([])).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 8), st.integers(0, 8), st.integers(8, 20), st.integers(0, 10**6))
+def test_linked_sets_share_a_key_at_four_fifths(common, left, right, boundary, seed):
+    x = np.random.default_rng(seed).integers(1, 2**63, common + left + right).astype(np.uint64)
+    a, b = np.unique(x[: common + left]), np.unique(np.concatenate([x[:common], x[common + left :]]))
+    if common * 5 >= 4 * (common + left + right):
+        own = J.Signatures(boundary, J.Rule.of(5, 0.8))
+        assert set(own.keys(a).tolist()) & set(own.keys(b).tolist())
+
+
+@given(st.integers(0, 300), st.integers(0, 300), st.integers(0, 300), st.sampled_from([64, 1024]), st.integers(0, 10**6))
+def test_sketches_never_differ_by_more_than_sets(common, left, right, bits, seed):
+    x = np.random.default_rng(seed).integers(1, 2**63, common + left + right).astype(np.uint64)
+    a, b = np.unique(x[: common + left]), np.unique(np.concatenate([x[:common], x[common + left :]]))
+    assert int(np.bitwise_count(J.sketch(a, bits) ^ J.sketch(b, bits)).sum()) <= len(np.setxor1d(a, b))

@@ -76,3 +76,27 @@ def test_rows_are_dropped_however_small_the_filter(spark):
     for bits in (64, 1 << 24):
         got = without_rows(own, "n", spark.range(0, 500, 7), bits)
         assert got.columns == own.columns and sorted(r.n for r in got.collect()) == [i for i in range(500) if i % 7]
+
+
+def test_near_copies_go_by_five_words_and_four_fifths(spark, docs):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = ["a b c", "a b c d", ""]
+    for size in (8, 12, 25, 60, 120, 300):
+        base = [word() for _ in range(size)]
+        for changed in (0, 1, 1, size // 50, size // 30, size // 12):
+            own = list(base)
+            for at in r.sample(range(size), changed):
+                own[at] = word()
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    kept = sorted(x.doc_id for x in corpus_pipeline.without_near_copies(spark, docs(texts), "unused").collect())
+    assert kept == [i for i, x in enumerate(root) if i == x]
+    # near copies of five words at 0.8 that three words at 0.9 do not link
+    assert len(kept) < len(jaccard_join.representative_documents(docs(texts)).collect())
