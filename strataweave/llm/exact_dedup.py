@@ -90,7 +90,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
     a row per map task; the join back reads large groups in slices (skew join).
     """
     own = staged(recipes(docs, id_col, text_col, row_col, bits), "recipes")
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"), "doc_id", "row"))
+    # Ordered by no arithmetic on ids, which may be strings; a null id comes last.
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     # Written, so that the join has an exchange on either side and a hot recipe can be read in slices.
     groups = staged(own.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "recipe-groups")
     return own.join(groups, "recipe").select(
@@ -106,4 +107,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     own, row = numbered(docs)
-    return without_rows(own, row, dedup(own, id_col, text_col, row).filter("NOT kept").select("row")).select(*docs.columns)
+    return without_rows(own, row, dedup(own, id_col, text_col, row).filter("NOT kept").select("row")).select(*(F.col(f"`{c}`") for c in docs.columns))
