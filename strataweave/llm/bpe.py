@@ -11,7 +11,8 @@ The compatibility of two tokens is decided without encoding them: undo their mer
 latest back, and see whether BPE would have made an earlier merge across the border.
 
 Texts are split by the tokenizer's pattern; each match is encoded separately, and a match that
-is itself a token is that token. Workers keep the encodings of pieces they met, up to a bound.
+is itself a token is that token. Workers keep the encodings of pieces they met, up to a bound, and
+take texts in slices of bounded bytes.
 
 Defined results for odd input: a null text is empty; an empty text has no tokens, its digests
 are those of no bytes; lone surrogates cannot occur in a column of strings; repeated rows are
@@ -21,7 +22,6 @@ encoded alike; further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,8 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.shared import bounded, resident, with_small_batches
+
 #: Pieces whose encodings a worker keeps in each of two generations, and the longest piece kept; others are worked out again.
-KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+KEPT_PIECES, KEPT_LENGTH = 150_000, 64
+#: Pairs of tokens whose compatibility a worker keeps.
+KEPT_PAIRS = 500_000
 
 
 class PrefixEncoder:
@@ -92,7 +96,7 @@ class PrefixEncoder:
         With ``last`` of a prefix of ``piece`` given, it is extended: an exact append.
         """
         rank_of, starts, known, size = self.makeable.get, self.starts, self.known, len(piece)
-        if len(known) > 2_000_000:
+        if len(known) > KEPT_PAIRS:
             known.clear()
         out = [-1] * (size + 1)
         done = 0
@@ -183,10 +187,9 @@ class TextEncoder(dict):
         return [i for ids in map(self.__getitem__, self.split(text)) for i in ids]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TextEncoder:
-    """One for each worker process."""
-    return TextEncoder(read_ranks(path), pattern)
+    """One for each worker process, until another operator's work comes."""
+    return resident(("bpe", path, pattern), lambda: TextEncoder(read_ranks(path), pattern))
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +219,7 @@ def _per_text(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, pattern)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             rows = [make(own, t) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * len(named)
             yield pa.RecordBatch.from_arrays(
@@ -224,6 +227,7 @@ def _per_text(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_
                 names=["doc_id", *(n for n, _ in named)],
             )
 
+    with_small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(run, f"doc_id {kind}, {fields}")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.shared import bounded, with_small_batches
+
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_SHOWN = frozenset("head script style template noscript iframe object embed audio video canvas datalist title meta link base param source track area map noembed noframes".split())
@@ -482,7 +484,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     names = ["page_id", "text", "n_chars", "n_lines", "text_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = [text_of(h) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -495,6 +497,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
                 names=names,
             )
 
+    with_small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
     return own.mapInArrow(run, f"page_id {kind}, text string, n_chars long, n_lines long, text_sha256 string")

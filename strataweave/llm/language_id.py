@@ -3,13 +3,15 @@
 Each language gets a character n-gram model over its words (a word is a run of letters, lower
 case, with a border mark at either end). Probabilities and back-off weights are kept in sorted
 hash arrays, one pair for each order. A text goes to the language with the lowest
-cross-entropy per character. On held-back rows of the sample, a temperature is fitted that
-turns the differences into a score, and a rejection threshold: a text that fits no language
-as well as the worst held-back row of that language, and a margin, is rejected.
+cross-entropy per character. On slices of held-back rows of the sample, of one word and more, a
+temperature and how it grows with the length are fitted, which turn the differences into a score
+that is a probability at each length; and the mean and spread of the cross-entropy, which falls with the
+length. A text too far above the mean for its length fits no language and is rejected.
 
 Models are fitted on a bounded sample of labelled rows, SAMPLE for each language, taken by a
-hash of the id; predictions read every row and whole texts. Only the text is an input of a
-prediction. A worker scores each distinct word once while it keeps it (up to CACHED words).
+hash of id and text; predictions read every row and whole texts. Only the text is an input of a
+prediction. A worker scores each distinct word once while it keeps it (up to CACHED words), and takes
+texts in slices of bounded bytes. What is broadcast is bounded by LANGUAGES and the sample.
 
 Defined results for odd input: a text that is null or has no letter is ``und`` with score 0,
 and rejected; without labelled rows every text is ``und``; a null id is never held out and
@@ -26,14 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataweave.llm.shared import bounded, free_name, with_small_batches
+
 #: Sampled rows for each language; characters of context and the one after; words a worker keeps.
-SAMPLE, ORDER, CACHED = 400, 5, 400_000
-#: Of the sample, every HELD_BACKth row calibrates. MARGIN: bits above the worst of those that are not rejected.
-HELD_BACK, MARGIN = 5, 2.0
+SAMPLE, ORDER, CACHED = 400, 5, 200_000
+#: Characters of a sampled text; languages that models are made for (an error beyond: the broadcast grows with them).
+SAMPLE_CHARS, LANGUAGES = 20_000, 500
+#: Of the sample, every HELD_BACKth row calibrates. A text is rejected that lies MARGIN bits and DEVIATIONS
+#: standard deviations for its length above the mean of its language. The margin lets texts in two languages stay.
+HELD_BACK, MARGIN, DEVIATIONS = 5, 1.25, 6.0
 UNKNOWN = "und"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
@@ -154,8 +161,8 @@ class CharModel:
 class Identifier:
     """The models of all languages, what was calibrated, and the words met so far."""
 
-    def __init__(self, models: dict[str, CharModel], temperature: float = 1.0, limits: dict[str, float] | None = None):
-        self.models, self.temperature, self.limits = models, temperature, limits or {}
+    def __init__(self, models: dict[str, CharModel], temperature: float = 1.0, power: float = 0.0, spread: dict[str, tuple[float, float, float]] | None = None):
+        self.models, self.temperature, self.power, self.spread = models, temperature, power, spread or {}
         self.langs = sorted(models)
 
     def ready(self) -> Identifier:
@@ -183,6 +190,10 @@ class Identifier:
 
     def entropies(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Bits per character by language; None without a letter."""
+        return [h for h, _ in self.measured(texts)]
+
+    def measured(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
+        """Bits per character by language, and how many characters gave them."""
         split = [words(t) if t else [] for t in texts]
         new = list({w for ws in split for w in ws if w not in self.index})
         if len(self.index) + len(new) > CACHED and self.index:
@@ -190,22 +201,54 @@ class Identifier:
             new = list({w for ws in split for w in ws})
         if new:
             self.learn_words(new)
-        out: list[np.ndarray | None] = []
+        out: list[tuple[np.ndarray | None, int]] = []
         for ws, t in zip(split, texts, strict=True):
             if not ws or not any(map(str.isalpha, t)):
-                out.append(None)
+                out.append((None, 0))
                 continue
             at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            out.append(self.costs[at].sum(0) / self.sizes[at].sum())
+            size = int(self.sizes[at].sum())
+            out.append((self.costs[at].sum(0) / size, size))
         return out
 
-    def decide(self, h: np.ndarray | None) -> tuple[str, float, bool]:
-        """Language, score, whether rejected."""
+    def decide(self, h: np.ndarray | None, size: int) -> tuple[str, float, bool]:
+        """Language, score, whether rejected; ``size`` characters gave ``h``."""
         if h is None or not self.langs:
             return UNKNOWN, 0.0, True
         k = int(np.argmin(h))
-        score = 1 / float(np.exp(-self.temperature * (h - h[k])).sum())
-        return self.langs[k], round(score, 6), bool(h[k] > self.limits.get(self.langs[k], math.inf))
+        x = self.temperature * size**self.power * (h - h[k])
+        return self.langs[k], round(1 / float(np.exp(-np.minimum(x, 700)).sum()), 6), bool(h[k] > self.limit(self.langs[k], size))
+
+    def limit(self, lang: str, size: int) -> float:
+        """The largest cross-entropy that is accepted: the shorter a text, the more chance there is in it."""
+        if lang not in self.spread:
+            return math.inf
+        mean, across, within = self.spread[lang]
+        return mean + MARGIN + DEVIATIONS * math.sqrt(across + within / size)
+
+
+def cuts(text: str, k: int) -> list[str]:
+    """The text and slices of it, of 1, 2, 4 and so on words, from a place that depends on ``k``: what scores are calibrated on."""
+    ws = words(text)
+    out, n = [text], 1
+    while n < len(ws):
+        at = (k * 7919) % (len(ws) - n + 1)
+        out.append(" ".join(ws[at : at + n]))
+        n *= 2
+    return out
+
+
+def spread_of(h: np.ndarray, size: np.ndarray) -> tuple[float, float, float]:
+    """Mean of the cross-entropies ``h``, and their variance as across + within / size. What lies
+    beyond DEVIATIONS of a first round, such as rows with a wrong label, is left out of the second."""
+    for _ in range(2):
+        mean = float((h * size).sum() / size.sum())
+        off = (h - mean) ** 2
+        within = float((off * size)[size <= np.quantile(size, 0.75)].mean())
+        across = float(max(0.0, np.median(off - within / size)))
+        near = off <= DEVIATIONS**2 * (across + within / size)
+        h, size = h[near], size[near]
+    return mean, across, within
 
 
 def fit(sample: list[tuple[str, str]]) -> Identifier:
@@ -213,26 +256,28 @@ def fit(sample: list[tuple[str, str]]) -> Identifier:
     by: dict[str, list[str]] = defaultdict(list)
     for lang, text in sample:
         by[lang].append(text)
+    if len(by) > LANGUAGES:
+        raise ValueError(f"{len(by)} languages; models are broadcast for {LANGUAGES} at most")
     counts, back = {}, []
     for lang, texts in by.items():
         held = texts[HELD_BACK - 1 :: HELD_BACK]
-        back += [(lang, t) for t in held]
+        back += [(lang, x) for k, t in enumerate(held) for x in cuts(t, k)]
         counts[lang] = Counter(w for k, t in enumerate(texts) if k % HELD_BACK != HELD_BACK - 1 for w in words(t))
     own = Identifier({lang: CharModel(c) for lang, c in counts.items() if c}).ready()
-    found = [(lang, h) for (lang, _), h in zip(back, own.entropies([t for _, t in back]), strict=True) if h is not None and lang in own.models]
+    found = [(own.langs.index(lang), h, n) for (lang, _), (h, n) in zip(back, own.measured([t for _, t in back]), strict=True) if h is not None and lang in own.models]
+    if not found:
+        return Identifier(own.models)
+    at, h, n = np.array([x[0] for x in found]), np.stack([x[1] for x in found]), np.array([x[2] for x in found], float)
+    apart = h - h.min(1, keepdims=True)
 
-    def loss(temperature: float) -> float:
-        total = 0.0
-        for lang, h in found:
-            x = -temperature * (h - h.min())
-            total -= x[own.langs.index(lang)] - math.log(np.exp(x).sum())
-        return total
+    def loss(temperature: float, power: float) -> float:
+        x = -temperature * (n**power)[:, None] * apart
+        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(at)), at]).sum())
 
-    temperature = min((2.0**k for k in range(-2, 7)), key=loss) if found else 1.0
-    worst: dict[str, float] = {}
-    for lang, h in found:
-        worst[lang] = max(worst.get(lang, 0.0), float(h.min()))
-    return Identifier(own.models, temperature, {lang: x + MARGIN for lang, x in worst.items()})
+    temperature, power = min(((2.0**t, p / 4) for t in range(-6, 7) for p in range(5)), key=lambda x: loss(*x))
+    own_best = h.argmin(1) == at
+    spread = {lang: spread_of(h[mine, k], n[mine]) for k, lang in enumerate(own.langs) if (mine := (at == k) & own_best).sum() > 1}
+    return Identifier(own.models, temperature, power, spread)
 
 
 def held_out(id_col: str) -> F.Column:
@@ -240,50 +285,53 @@ def held_out(id_col: str) -> F.Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``rows`` labelled rows of each language, by a hash of the id; never a held-out row."""
+    """``rows`` labelled rows of each language at most, by a hash of id and text; never a held-out row.
+
+    Repeated rows count once. The sample is cut to size on the cluster, so the driver gets a
+    bounded number of texts of bounded length: of one beyond SAMPLE_CHARS a slice, from a place that the hash gives.
+    """
     usable = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("h"))
+    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("full"))
+    usable = usable.withColumn("h", F.pmod("full", F.lit(1 << 30)))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     rate = F.lit(0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.2 * rows / n) * (1 << 30)))).otherwise(rate)
-    own = sorted((r["lang"], r["h"], r["text"]) for r in usable.filter(F.col("h") < rate).collect())
-    taken: Counter = Counter()
-    out = []
-    for lang, _, text in own:
-        taken[lang] += 1
-        if taken[lang] <= rows:
-            out.append((lang, text))
-    return out
+    start = F.expr(f"int(pmod(full, greatest(1, length(text) - {SAMPLE_CHARS}))) + 1")
+    some = usable.filter(F.col("h") < rate).select("lang", "full", "h", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    once = some.groupBy("lang", "full").agg(F.min("h").alias("h"), F.min("text").alias("text"))
+    first = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "full"))).filter(F.col("n") <= rows)
+    return [(r["lang"], r["text"]) for r in first.orderBy("lang", "n").collect()]
 
 
-def predict(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The ``carry`` columns (default: the id) with lang_pred, score and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = carry if carry is not None else [id_col]
+def predict(docs: DataFrame, model: Identifier, text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The ``carry`` columns (default: all) with language, score and rejection under ``names``; the text is sent once."""
+    shared = with_small_batches(docs.sparkSession).sparkContext.broadcast(model)
+    kept = carry if carry is not None else docs.columns
+    sent = kept if text_col in kept else [*kept, text_col]
+    at, width = sent.index(text_col), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.ready()
-        for batch in batches:
-            found = [own.decide(h) for h in own.entropies(batch.column(batch.num_columns - 1).to_pylist())]
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "__lang_pred", "__score", "__rejected"])
+        for batch in bounded(batches, at):
+            found = [own.decide(h, n) for h, n in own.measured(batch.column(at).to_pylist())]
+            made = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], *names])
 
-    source = docs.select(*(F.col(c) for c in kept), F.col(text_col).alias("__input"))
-    schema = T.StructType([*(f for f in source.schema.fields[:-1]), T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__rejected", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    source = docs.select(*(docs[f"`{c}`"] for c in sent))
+    added = [T.StructField(c, t) for c, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:width], *added]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each document; learned from the rows not held out."""
     model = fit(training_sample(docs, id_col, text_col, lang_col))
-    return predict(docs, model, id_col, text_col).select(
-        F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected")
-    )
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return predict(own, model, carry=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their columns."""
     model = fit(training_sample(docs, id_col, text_col, lang_col))
-    return predict(docs, model, id_col, text_col, docs.columns).filter("NOT __rejected").select(*docs.columns)
+    names = tuple(free_name(docs, f"__{c}") for c in ("lang_pred", "score", "rejected"))
+    return predict(docs, model, text_col, names=names).filter(~F.col(names[2])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.boosting import BoostedTrees
+from strataweave.llm.shared import bounded, with_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, SEED, PRECISION = 6000, 7, 0.995
@@ -257,11 +258,11 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, redacted of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(selector())
+    shared = with_small_batches(docs.sparkSession).sparkContext.broadcast(selector())
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             found = spans_of(texts, shared.value)
             yield pa.RecordBatch.from_arrays(

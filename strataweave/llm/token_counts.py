@@ -18,7 +18,6 @@ whatever their names.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -27,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.llm.shared import bounded, resident, with_small_batches
+
 #: Entries of the broadcast table and of each sketch; pre-tokens that a worker's cache holds.
-FREQUENT, SKETCH, CACHED = 8192, 16384, 400_000
+FREQUENT, SKETCH, CACHED = 8192, 16384, 200_000
 #: Sketches of map tasks are merged in this many groups before the last merge.
 MERGES = 64
 LIMIT = 4096
@@ -37,11 +38,10 @@ MARK = "▁"
 PRE_TOKEN = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+$")
 
 
-@functools.lru_cache(maxsize=2)
 def processor(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return resident(("sentencepiece", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def splits(path: str) -> bool:
@@ -117,13 +117,13 @@ def table(path: str, words: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 def counted(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document."""
-    spark = docs.sparkSession
+    spark = with_small_batches(docs.sparkSession)
     whole = not splits(model)
     shared = spark.sparkContext.broadcast(table(model, [] if whole else frequent(docs, text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(model, *shared.value)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             n = [len(x) for x in lengths.own.encode(texts, num_threads=1)] if whole else lengths.total(texts)
             sizes = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
