@@ -119,21 +119,23 @@ def mixed(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, id_col:
     for s, x in starts.items():
         start = F.when(F.col(pool) == s, F.lit(x).cast("long")).otherwise(start)
     names = {k: free_name(docs, f"{prefix}{k}") for k in ("block", "slot", "release", "deadline", "position")}
-    own = own.withColumn(g, F.col(g) - start).withColumn("__j", F.expr(f"`{g}` div {block}"))
-    here = own.alias("o").join(F.broadcast(plan.alias("p")), F.expr(f"o.`{pool}` = p.pool AND o.__j >= p.first AND o.__j < p.last"))
-    here = here.select("o.*", *(F.col(f"p.{k}").alias(f"__p_{k}") for k in ("first", "base", "period", "slots"))).withColumn("__i", F.expr("__j - __p_first"))
-    w = "size(__p_slots)"
-    here = here.withColumn(names["slot"], F.expr(f"__p_base + __i div {w} * __p_period + get(__p_slots, int(__i % {w}))"))
+    j, i, p = free_name(docs, "__j"), free_name(docs, "__i"), free_name(docs, "__p")
+    own = own.withColumn(g, F.col(g) - start).withColumn(j, F.expr(f"`{g}` div {block}"))
+    # One struct column carries the phase, so that it can't meet a column of the input.
+    phase = F.broadcast(plan.select(F.struct(*plan.columns).alias(p)))
+    here = own.join(phase, F.expr(f"`{pool}` = `{p}`.pool AND `{j}` >= `{p}`.first AND `{j}` < `{p}`.last")).withColumn(i, F.expr(f"`{j}` - `{p}`.first"))
+    w, base, period = f"size(`{p}`.slots)", f"`{p}`.base", f"`{p}`.period"
+    here = here.withColumn(names["slot"], F.expr(f"{base} + `{i}` div {w} * {period} + get(`{p}`.slots, int(`{i}` % {w}))"))
     moved = F.lit(0).cast("long")
     for slot, missing in short:
         moved = moved + F.when(F.col(names["slot"]) > slot, F.lit(missing)).otherwise(F.lit(0))
     return here.select(
-        *(F.col(c) for c in docs.columns),
+        *(F.col(f"`{c}`") for c in docs.columns),
         pool,
-        F.col("__j").alias(names["block"]),
+        F.col(j).alias(names["block"]),
         names["slot"],
-        F.expr(f"__p_base + __i * __p_period div {w}").alias(names["release"]),
-        F.expr(f"__p_base + ((__i + 1) * __p_period + {w} - 1) div {w}").alias(names["deadline"]),
+        F.expr(f"{base} + `{i}` * {period} div {w}").alias(names["release"]),
+        F.expr(f"{base} + ((`{i}` + 1) * {period} + {w} - 1) div {w}").alias(names["deadline"]),
         (F.col(names["slot"]) * block + F.col(g) % block - moved).alias(names["position"]),
     )
 
@@ -147,5 +149,4 @@ def _unhashable() -> tuple:
 def mixed_documents(docs: DataFrame, weights: dict[str, int], block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs``, sorted into the mixed order."""
     out = mixed(docs, weights, block, id_col, source_col, prefix="__mix_")
-    position = next(c for c in reversed(out.columns) if c.startswith("__mix_position"))
-    return out.orderBy(position).select(*docs.columns)
+    return out.orderBy(out.columns[-1]).select(*(F.col(f"`{c}`") for c in docs.columns))
