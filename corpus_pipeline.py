@@ -3,26 +3,34 @@
 Each stage takes the documents that the one before kept and, but for the last, returns rows
 with the columns of documents. ``run`` writes each stage's result in the shared folder and
 reads it again, so a lost executor costs a stage at most; what a stage wrote for itself is
-removed when the next one begins.
+removed when the next one begins in the same thread.
+
+Defined results for odd input: a null or empty text, or one without a letter, has no language and goes
+in the first stage; of repeated rows one stays; ties go to the smallest id, and a null id loses them;
+a text shorter than a shingle is one shingle; an empty table gives an empty result; further columns
+are carried to the last stage, whatever their names, which returns its own; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strataweave.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
 from strataweave.llm.shared import Scratch, documents, staged
 
-_scratch: list[Scratch] = []
+#: The scope of the stage that runs in this thread; runs in other threads have their own.
+_running = threading.local()
 
 
 def _scope(spark: SparkSession) -> Scratch:
     """A scope for a stage's own tables. Those of the stage before go: its result is written."""
-    while _scratch:
-        _scratch.pop().release()
-    _scratch.append(Scratch(spark, at_exit=False))
-    return _scratch[0]
+    if hasattr(_running, "scope"):
+        _running.scope.release()
+    _running.scope = Scratch(spark, at_exit=False)
+    return _running.scope
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
