@@ -9,9 +9,14 @@ inline svg is inline (without titles, descriptions, metadata, annotations, and w
 by reference only: defs, symbols, masks and the like). What a browser does
 not show is left out: head, scripts, styles, templates, media fallbacks, hidden inputs,
 elements with ``hidden`` or a style of ``display:none`` (blocks: ``content-visibility:hidden``), the closed part of details, and
-text under ``visibility:hidden`` except where it is made visible again.
+text under ``visibility:hidden`` except where it is made visible again. Styles are an element's own and those of
+the page's style elements whose selectors are of one element (tag, classes, id, or all); selectors
+that look at other elements or states, and rules under a condition but ``@media screen``, are not applied.
 
-Both passes are loops with explicit stacks, so nesting may have any depth.
+Both passes are loops with explicit stacks, so nesting may have any depth. Time and text are linear in the
+page: a gap within a table row is PAD columns at most, an indent INDENT, and tables nested deeper
+than TABLES are plain blocks; beyond these bounds text is there whole but not aligned.
+Columns are counted as a terminal shows them (wide characters take two).
 
 Defined results for odd input: a null or empty page has empty text; markup that ends early is
 closed at its end; repeated rows give repeated rows; further columns are ignored, whatever
@@ -22,7 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -74,10 +80,21 @@ IMPLIED = {
 IN_HEAD = frozenset("base link meta title style script noscript noframes template".split())
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th".split())
 WALLS = frozenset("table td th caption html template button marquee object applet".split()) | INTEGRATION
+#: End tags that close something outside of a table cell.
+ENDS_FROM_CELLS = TABLE_PARTS | {"body", "html"}
 BULLET = "- "
+#: Bounds of a gap within a table row, of a column's width that is aligned, of an indent, and of nested tables that are aligned.
+PAD, WIDEST, INDENT, TABLES = 80, 60, 40, 8
+TAG_BEGINS = re.compile("<[a-zA-Z/!?]")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Parts of a style: comments, strings, addresses and escapes are whole, so that a semicolon in them ends nothing.
 STYLE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*"?|'(?:[^'\\]|\\.)*'?|url\(\s*[^"'\s)](?:[^)\\]|\\.)*\)?|\\.|[^"'/\\u;()\[\]{}]+|.""", re.S)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+BRACE = re.compile(r"[{}]")
+SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*\Z|@layer\b[^{]*\Z")
+#: A selector of one element, and its parts.
+SIMPLE = re.compile(r"[#.]?(?:[\w-]|[^\x00-\x7f])+|\*")
+COMPOUND = re.compile(r"(?:\*|(?:[\w-]|[^\x00-\x7f])+)?(?:[#.](?:[\w-]|[^\x00-\x7f])+)*")
 IMPORTANT = re.compile(r"!\s*important\s*\Z")
 #: Values that the properties take; a declaration with another is as if it were not there.
 AS_PARENT = frozenset("inherit unset revert revert-layer".split())
@@ -107,33 +124,44 @@ class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
-        #: Open elements by tag, so that end tags without a start cost nothing.
-        self.open: dict[str, int] = {}
+        #: Depths of the open elements by tag, so that no search walks over what is between.
+        self.open: dict[str, list[int]] = {}
+        self.depth = 0
+        self.sheets: list[str] = []
 
     def push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
-            self.open[tag] = self.open.get(tag, 0) + 1
+            self.depth += 1
+            self.open.setdefault(tag, []).append(self.depth)
 
     def pop(self) -> None:
-        self.open[self.at.tag] -= 1
+        self.open[self.at.tag].pop()
+        self.depth -= 1
         self.at = self.at.parent
 
+    def pop_to(self, depth: int) -> None:
+        while self.depth >= depth:
+            self.pop()
+
+    def innermost(self, tags) -> int:
+        """Depth of the innermost open element of ``tags``, or 0."""
+        return max((d[-1] for t in tags if (d := self.open.get(t))), default=0)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        # A page is fed whole: a comment without an end goes to the end of the page, and nothing looks for one again.
+        return super().parse_comment(i, report) if self.rawdata.find("-->", i + 4) >= 0 or self.rawdata.find("--!>", i + 4) >= 0 else len(self.rawdata)
+
     def end_implied(self, ended: set | frozenset, walls: set | frozenset) -> None:
         """Closes up to the outermost of ``ended`` that is open within the walls."""
         if not any(self.open.get(t) for t in ended):
             return
-        node, last = self.at, None
-        while node.parent is not None and node.tag not in walls:
-            if node.tag in ended:
-                last = node
-            node = node.parent
-        if last is not None:
-            while self.at is not last:
-                self.pop()
-            self.pop()
+        wall = self.innermost(walls)
+        inside = [d[at] for t in ended if (d := self.open.get(t)) and (at := bisect_right(d, wall)) < len(d)]
+        if inside:
+            self.pop_to(min(inside))
 
     def in_foreign(self) -> bool:
         return self.at.foreign and self.at.tag not in INTEGRATION
@@ -168,27 +196,26 @@ class TreeBuilder(HTMLParser):
         elif tag == "p" and not self.open.get("p"):
             self.push("p", {})
             self.pop()
-        elif self.open.get(tag):
-            node = self.at
-            while node.tag != tag:
-                if node.tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
-                    return  # an end tag in a cell closes nothing outside it
-                node = node.parent
-            while self.at is not node:
-                self.pop()
-            self.pop()
+        elif own := self.open.get(tag):
+            if tag not in ENDS_FROM_CELLS and self.innermost(("td", "th", "table")) > own[-1]:
+                return  # an end tag in a cell closes nothing outside it
+            self.pop_to(own[-1])
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "style" and not self.at.foreign:
+            self.sheets.append(data)
         if self.at.tag == "head" and SPACE.sub("", data):
             self.pop()
         self.at.children.append(data)
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, Sheet]:
     own = TreeBuilder()
-    own.feed(html)
+    # A tag that the page's end cuts short is not shown; without it nothing is tried again at each of many.
+    cut = TAG_BEGINS.search(html, html.rfind(">") + 1)
+    own.feed(html[: cut.start()] if cut else html)
     own.close()
-    return own.root
+    return own.root, Sheet(own.sheets)
 
 
 class Lines:
@@ -248,8 +275,9 @@ class Lines:
         self.end()
         while self.out and not self.out[-1]:
             self.out.pop()
-        while self.out and not self.out[0]:
-            self.out.pop(0)
+        first = next((k for k, x in enumerate(self.out) if x), 0)
+        if first:
+            del self.out[:first]
         return self.out
 
 
@@ -265,21 +293,91 @@ def declarations(style: str) -> Iterator[str]:
     yield "".join(own)
 
 
-def style_of(node: Node) -> dict[str, str]:
-    """The properties of VALUES as the element's own style gives them: the last valid one, important ones first."""
-    style = node.attrs.get("style", "").lower()
-    if node.foreign:
-        style = "".join(f"{k}:{node.attrs[k].lower()};" for k in ("display", "visibility") if k in node.attrs) + style
-    if "display" not in style and "visibility" not in style:
-        return {}
+def properties(style: str) -> tuple[dict[str, str], dict[str, str]]:
+    """The properties of VALUES that declarations give, the last valid ones; plain ones and important ones."""
     out, important = {}, {}
+    if "display" not in style and "visibility" not in style:
+        return out, important
     for own in declarations(style):
         name, _, value = own.partition(":")
         plain = IMPORTANT.sub("", value.strip())
         name, words = name.strip(), plain.split()
         if name in VALUES and words and VALUES[name].issuperset(words) and (len(words) == 1 or name == "display"):
             (out if plain == value.strip() else important)[name] = " ".join(words)
-    return out | important
+    return out, important
+
+
+class Sheet:
+    """The rules of style elements, by the id, the first class or the tag that their selector names."""
+
+    def __init__(self, texts: list[str]):
+        #: Key -> selector -> what it asks for, and for each property the weight of the last rule and its value.
+        self.by: dict[str, dict[str, tuple]] = {}
+        self.known: dict[tuple, dict[str, str]] = {}
+        self.n = 0
+        for text in texts:
+            self._read(CSS_COMMENT.sub(" ", text))
+
+    def _read(self, text: str) -> None:
+        at = 0
+        while (brace := text.find("{", at)) >= 0:
+            head = text[at:brace].rpartition(";")[2].strip().lower()
+            end, depth = brace, 0
+            for m in BRACE.finditer(text, brace):
+                depth += 1 if m[0] == "{" else -1
+                end = m.start()
+                if not depth:
+                    break
+            else:
+                end = len(text)
+            body = text[brace + 1 : end]
+            if SCREEN.match(head):
+                self._read(body)
+            elif not head.startswith("@"):
+                self._rule(head, body.lower())
+            at = end + 1
+
+    def _rule(self, head: str, body: str) -> None:
+        plain, important = properties(body)
+        if not plain and not important:
+            return
+        for selector in head.split(","):
+            selector = selector.strip()
+            if not COMPOUND.fullmatch(selector):
+                continue
+            parts = SIMPLE.findall(selector)
+            ids, classes = [x[1:] for x in parts if x[0] == "#"], [x[1:] for x in parts if x[0] == "."]
+            tag = next((x for x in parts if x[0] not in "#.*"), None)
+            key = "#" + ids[0] if ids else "." + classes[0] if classes else tag or "*"
+            self.n += 1
+            weight = len(ids), len(classes), bool(tag), self.n
+            values = self.by.setdefault(key, {}).setdefault(selector, (set(ids), set(classes), tag, {}))[3]
+            values |= {(name, False): (weight, value) for name, value in plain.items()} | {(name, True): (weight, value) for name, value in important.items()}
+
+    def of(self, node: Node) -> tuple[dict[str, str], dict[str, str]]:
+        """What the rules give an element: plain properties and important ones."""
+        if not self.by:
+            return {}, {}
+        look = node.tag, node.attrs.get("class", "").lower(), node.attrs.get("id", "").lower()
+        if look not in self.known:
+            tag, classes, own_id = look[0], set(look[1].split()), look[2]
+            best: dict[tuple, tuple] = {}
+            for key in ("*", tag, *("." + c for c in classes), *(["#" + own_id] if own_id else [])):
+                for ids, wanted, only, values in self.by.get(key, {}).values():
+                    if only in (None, tag) and wanted <= classes and ids <= {own_id}:
+                        for name, found in values.items():
+                            best[name] = max(best.get(name, found), found)
+            self.known[look] = tuple({name: value for (name, x), (_, value) in best.items() if x == strong} for strong in (False, True))
+        return self.known[look]
+
+
+def style_of(node: Node, sheet: Sheet) -> dict[str, str]:
+    """The properties of VALUES: attributes of svg and math, rules, the element's own style; important ones last, in the same order."""
+    marks = {k: node.attrs[k].lower() for k in ("display", "visibility") if node.foreign and k in node.attrs}
+    plain, important = sheet.of(node)
+    own, own_important = properties(node.attrs.get("style", "").lower())
+    first = properties("".join(f"{k}:{v};" for k, v in marks.items()))[0]
+    return first | plain | own | important | own_important
 
 
 def shown(node: Node, style: dict[str, str]) -> bool:
@@ -332,50 +430,60 @@ def placed(table: Table) -> Iterator[list[tuple[int, list[str], int]]]:
         yield out
 
 
+def shown_width(line: str) -> int:
+    """Columns that a line takes: two for a wide character, none for a combining one."""
+    if line.isascii():
+        return len(line)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else not unicodedata.combining(c) for c in line)
+
+
 def grid(table: Table) -> list[str]:
-    """Lines of a table: cells of a column begin at the same place, two spaces apart; a cell may span columns and lines."""
+    """Lines of a table: cells of a column begin at the same place, two spaces apart; a cell may span columns and lines.
+
+    Only columns at which some cell begins or ends count. Beyond a bounded width of a column or of a gap cells stand
+    two spaces apart, so the padding is in proportion to the cells.
+    """
     rows = list(placed(table))
-    widths: dict[int, int] = {}
+    edges = sorted({x for row in rows for at, _, span in row for x in (at, at + span)})
+    where = {x: k for k, x in enumerate(edges)}
+    widths = [0] * (len(edges) + 1)
     for row in rows:
         for at, lines, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
-    known = sorted(widths)
-    sums = [0, *accumulate(widths[c] for c in known)]
-
-    def place(column: int) -> int:
-        return 2 * column + sums[bisect_left(known, column)]
-
+            k = where[at]
+            if where[at + span] == k + 1:
+                widths[k] = max(widths[k], min(WIDEST, max(map(shown_width, lines), default=0)))
+    begins = [0, *accumulate(w + 2 for w in widths)]
     out = []
     for row in rows:
-        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
-            line, before, begin = "", 0, 0
-            for at, lines, span in row:
-                own = lines[k] if k < len(lines) else ""
-                begin += place(at) - place(before)
-                line = (line.ljust(begin) if own else line) + own
-                before = at + span
-                begin += place(before) - place(at)
-                if len(line) + 2 > begin and own:
-                    begin = max(begin, len(line) + 2) if span > 1 else begin
-            out.append(line.rstrip())
+        left, k = [(begins[where[at]], lines) for at, lines, _ in row], 0
+        while left := [x for x in left if len(x[1]) > k]:
+            parts, width = [], 0
+            for begin, lines in left:
+                if lines[k]:
+                    gap = min(PAD, max(begin - width, 2 if width else 0))
+                    parts += [" " * gap, lines[k]]
+                    width += gap + shown_width(lines[k])
+            out.append("".join(parts).rstrip())
+            k += 1
     return out
 
 
 class State:
     """What an open element hands down to its content."""
 
-    __slots__ = ("lines", "lists", "pre", "visible")
+    __slots__ = ("depth", "kind", "lines", "pre", "visible")
 
-    def __init__(self, lines: Lines, pre: bool, visible: bool, lists: tuple):
-        self.lines, self.pre, self.visible, self.lists = lines, pre, visible, lists
+    def __init__(self, lines: Lines, pre: bool, visible: bool, depth: int, kind: str):
+        self.lines, self.pre, self.visible = lines, pre, visible
+        #: Lists around, and the tag of the innermost.
+        self.depth, self.kind = depth, kind
 
 
-def render(root: Node) -> str:
+def render(root: Node, sheet: Sheet) -> str:
     top = Lines()
     tables: list[Table] = []
     counters: list[list[int]] = []
-    stack: list[tuple] = [("node", root, State(top, False, True, ()))]
+    stack: list[tuple] = [("node", root, State(top, False, True, 0, ""))]
     while stack:
         kind, node, state = stack.pop()
         if kind == "close":
@@ -385,10 +493,10 @@ def render(root: Node) -> str:
             if state.visible:
                 state.lines.text(node, state.pre)
             continue
-        style = style_of(node)
+        style = style_of(node, sheet)
         if not shown(node, style):
             continue
-        inner = State(state.lines, state.pre or node.tag in ("pre", "textarea", "listing", "xmp", "plaintext"), state.visible, state.lists)
+        inner = State(state.lines, state.pre or node.tag in ("pre", "textarea", "listing", "xmp", "plaintext"), state.visible, state.depth, state.kind)
         if style.get("visibility", "inherit") not in AS_PARENT:
             inner.visible = style["visibility"] in ("visible", "initial")
         _open(node, state, inner, tables, counters)
@@ -400,9 +508,13 @@ def render(root: Node) -> str:
     return "\n".join(top.result())
 
 
+def indent(depth: int) -> str:
+    return " " * min(2 * max(depth, 0), INDENT)
+
+
 def _open(node: Node, state: State, inner: State, tables: list, counters: list) -> None:
     tag, lines = node.tag, state.lines
-    if tag in ("thead", "tbody", "tfoot") and tables:
+    if tag in ("thead", "tbody", "tfoot") and tables and tables[-1] is not None:
         tables[-1].groups.add(len(tables[-1].rows))
     if node.foreign:
         lines.space |= tag in APART
@@ -415,25 +527,27 @@ def _open(node: Node, state: State, inner: State, tables: list, counters: list)
             lines.text(node.attrs.get("value", ""), False)
     elif tag == "table":
         lines.gap()
-        tables.append(Table())
-        inner.lines, inner.lists = Lines(), ()
+        tables.append(Table() if len(tables) < TABLES else None)
+        if tables[-1] is not None:
+            inner.lines, inner.depth, inner.kind = Lines(), 0, ""
+    elif tables and tables[-1] is None and tag in ("tr", "td", "th"):
+        lines.end()
     elif tag == "tr" and tables:
         tables[-1].rows.append([])
     elif tag in ("td", "th") and tables:
         inner.lines = Lines()
     elif tag in ("ul", "ol", "menu", "dir"):
-        (lines.end if state.lists else lines.gap)()
+        (lines.end if state.depth else lines.gap)()
         counters.append([number(node.attrs.get("start"), 1)])
-        inner.lists = (*state.lists, tag)
+        inner.depth, inner.kind = state.depth + 1, tag
     elif tag == "li":
         lines.end()
-        depth = max(0, len(state.lists) - 1)
         mark = BULLET
-        if state.lists and state.lists[-1] == "ol" and counters:
+        if state.kind == "ol" and counters:
             counters[-1][0] = number(node.attrs.get("value"), counters[-1][0])
             mark = f"{counters[-1][0]}. "
             counters[-1][0] += 1
-        lines.prefix = "  " * depth + mark
+        lines.prefix = indent(state.depth - 1) + mark
     elif tag == "dd":
         lines.end()
         lines.prefix = "  "
@@ -446,15 +560,17 @@ def _open(node: Node, state: State, inner: State, tables: list, counters: list)
 def _close(node: Node, states: tuple, tables: list, counters: list) -> None:
     tag, (state, inner) = node.tag, states
     lines = state.lines
-    if tag in ("thead", "tbody", "tfoot") and tables:
+    if tag in ("thead", "tbody", "tfoot") and tables and tables[-1] is not None:
         tables[-1].groups.add(len(tables[-1].rows))
     if node.foreign:
         lines.space |= tag in APART
     elif tag == "table":
-        table = tables.pop()
-        own = inner.lines.result()  # captions and stray text stand above
-        lines.whole(own + grid(table))
+        if (table := tables.pop()) is not None:
+            own = inner.lines.result()  # captions and stray text stand above
+            lines.whole(own + grid(table))
         lines.gap()
+    elif tables and tables[-1] is None and tag in ("tr", "td", "th"):
+        lines.end()
     elif tag in ("td", "th") and tables:
         cell = inner.lines.result()
         if tables[-1].rows:
@@ -463,9 +579,9 @@ def _close(node: Node, states: tuple, tables: list, counters: list) -> None:
         else:
             lines.whole(cell)
     elif tag in ("ul", "ol", "menu", "dir"):
-        (lines.end if state.lists else lines.gap)()
+        (lines.end if state.depth else lines.gap)()
         counters.pop()
-        lines.prefix = "  " * len(state.lists) if state.lists else ""
+        lines.prefix = indent(state.depth)
     elif tag in ("li", "dd"):
         lines.end()
         lines.prefix = ""
@@ -476,7 +592,7 @@ def _close(node: Node, states: tuple, tables: list, counters: list) -> None:
 
 
 def text_of(html: str | None) -> str:
-    return render(parse(html)) if html else ""
+    return render(*parse(html)) if html else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -155,3 +157,78 @@ def test_cells_stand_beside_those_that_reach_down(html, text):
 def test_many_spans():
     html = "<table><tr>" + "<td rowspan=65534 colspan=1000>w" * 1000 + "<tr><td>w" * 3000
     assert html_text.text_of(html).count("w") == 4000
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    {
+        "<style>.h{display:none}</style><p class=h>a<p class='x h'>b<p class=hh>c": "c",
+        "<p id=k>a<p>b<style>#k , i{visibility:hidden}</style><i>c</i>": "b",
+        "<style>p{display:none}p.s{display:block}</style><p>a<p class=s>b": "b",
+        "<style>.h{display:none}</style><p class=h style='display:block'>a": "a",
+        "<style>.h{display:none!important}</style><p class=h style='display:block'>a": "",
+        "<style>@media print{p{display:none}}@media screen{i{display:none}}</style><p>a<i>b</i>": "a",
+        "<style>.a .b,.a>.b,p:hover{display:none}/* p{display:none} */</style><p class=a><b class=b>a": "a",
+        "<style>#k{display:none}p{display:block}</style><p id=k>a<p>b": "b",
+        "<style>p{display:none": "",
+    }.items(),
+)
+def test_rules_of_style_elements(html, text):
+    assert html_text.text_of(html) == text
+
+
+def test_wide_characters_take_two_columns():
+    assert html_text.text_of("<table><tr><td>漢字<td>b<tr><td>abcde<td>c</table>") == "漢字   b\nabcde  c"
+
+
+CELL = st.tuples(st.integers(1, 3), st.integers(1, 3), st.text("ab", min_size=1, max_size=4))
+
+
+@given(st.lists(st.lists(CELL, min_size=1, max_size=4), min_size=1, max_size=5))
+def test_cells_begin_where_a_grid_of_slots_says(rows):
+    """Brute force: every slot of the grid is marked; cells of one column begin at one place."""
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={r}>{t}" for c, r, t in row) for row in rows) + "</table>"
+    taken, column = set(), {}
+    for y, row in enumerate(rows):
+        x = 0
+        for k, (c, r, _) in enumerate(row):
+            while (y, x) in taken:
+                x += 1
+            column[y, k] = x
+            taken |= {(y + j, x + i) for j in range(r) for i in range(c)}
+            x += c
+    lines = html_text.text_of(html).split("\n")
+    place = {}
+    for y, row in enumerate(rows):
+        assert lines[y].split() == [t for _, _, t in row]
+        at = -1
+        for k, (_, _, t) in enumerate(row):
+            at = lines[y].index(t, at + 1)
+            place.setdefault(column[y, k], []).append((at, any(c > 1 for c, _, _ in row[:k])))
+            at += len(t)
+    for at in place.values():
+        # A text wider than the columns that it spans moves what follows in its row.
+        assert len({x for x, moved in at if not moved}) <= 1
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<p><button>" + "<div>" * 8000 + "x",
+        "<table>" + "<tr><td colspan=999>a<td>b" * 100 + "</table>",
+        "<table><tr><td>" + "x" * 100000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>",
+        "<table>" + "".join(f"<tr><td colspan={i}>a<td>b" for i in range(1, 1000)),
+        "<ul><li>a" * 8000,
+        "<table><tr><td>a" * 8000,
+        "<b><table><td>" + "<i>" * 8000 + "</b>" * 8000,
+        "<table><tr>" + "<td>a" * 10000 + "<td>" + "x<br>" * 10000,
+        "<br>" * 100000 + "x",
+        "<!--" * 50000,
+        "<a " * 50000,
+        "<style>" + ".a{display:none}" * 10000 + "</style>" + "<p class=a>x<p>y" * 2000,
+    ],
+)
+def test_cost_and_text_are_linear(html):
+    began = time.process_time()
+    assert len(html_text.text_of(html)) <= 12 * len(html)
+    assert time.process_time() - began < 5
