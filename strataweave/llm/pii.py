@@ -2,15 +2,17 @@
 
 Base spans (email, ip, card, phone) follow fixed formats and always stay. Beside them,
 high-recall generators propose further, possibly overlapping spans: disguised addresses
-(``name [at] host [dot] net``), phone numbers without a plus, card numbers in odd groups and
-IPv6 addresses. Boosted trees score each by its format and the words around it; a span is
-taken, best first, where its calibrated probability reaches its kind's threshold and it meets
-no span taken before.
+(``name [at] host [dot] net``, ``name at host dot net``), phone and card numbers in odd groups, without
+a plus or beside other numbers, IPv6 addresses, and secrets (what is assigned to a password, token or key, and
+long words of letters and digits). Boosted trees score each by its format, the words around it and the
+base spans near it; a span is taken, best first, where its calibrated probability reaches its kind's
+threshold and it meets no span taken before.
 
 The trees are fitted on examples made here, EXAMPLES of them, from a fixed seed; a threshold is the
 least with PRECISION on the third that calibrates. No corpus text is learned from.
 
-All scans are linear in the length of the text. Positions are code points, ends exclusive.
+All scans are linear in the length of the text, and go to the true ends of what they find; of spans that
+are sorted by place, a search finds those that meet. Positions are code points, ends exclusive.
 
 Defined results for odd input: a null text is empty and has no spans; repeated rows are
 treated alike; further columns are ignored, whatever their names.
@@ -20,8 +22,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import random
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,9 @@ from strataweave.llm.boosting import BoostedTrees
 from strataweave.llm.shared import bounded, with_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES, SEED, PRECISION = 6000, 7, 0.995
+#: Kinds of spans in the order in which they are written; secrets are added spans only.
+ALL_KINDS = (*KINDS, "secret")
+EXAMPLES, SEED, PRECISION = 9000, 7, 0.995
 #: Characters read before and after a candidate.
 CONTEXT = 32
 
@@ -45,20 +52,22 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Generators of further candidates.
-AT_SIGN = re.compile(r"[\[({<] ?(?:at|AT|@) ?[\])}>]")
-BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?$")
-AFTER_AT = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]{1,63}){1,8}")
-LOOSE_PHONE = re.compile(r"[0-9]{2,5}(?:[ .\-()]{1,2}[0-9]{2,5}){1,5}")
-LOOSE_CARD = re.compile(r"[0-9]{3,6}(?:[ .\-]{1,2}[0-9]{2,6}){2,5}")
-COLON = re.compile(r":[0-9A-Fa-f]{0,4}:")
-IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+AT_SIGN = re.compile(r" ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| at (?=[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+)")
+AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++)++")
+GROUP = re.compile(r"[0-9]+")
+#: Groups of digits that may be parts of one number.
+GROUPS = 6
+IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]*+:[0-9A-Fa-f:]++(?![0-9A-Za-z])")
+ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private)[_ -]?key)s?[\"']?\s?[:=]\s?[\"']?([^\s\"'<>]{6,}+)")
+KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
 
 CUES = {
     "email": ("mail", "contact", "write", "reach", "courriel", "correo"),
     "ip": ("ip", "host", "server", "address", "from", "ping", "adresse"),
     "card": ("card", "visa", "credit", "carte", "tarjeta", "karte", "pay"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "fon", "ring"),
-    "other": ("order", "invoice", "version", "isbn", "date", "page", "id", "ref", "no", "build", "total", "time", "mac", "line"),
+    "secret": ("password", "passwd", "pwd", "token", "secret", "key", "credential", "credentials", "auth", "bearer", "login"),
+    "other": ("order", "invoice", "version", "isbn", "date", "page", "id", "ref", "no", "build", "total", "time", "mac", "line", "commit", "sha", "hash", "digest", "checksum", "uuid", "file", "http", "https", "www"),
 }
 
 
@@ -107,44 +116,80 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
 def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     out = set()
     for m in AT_SIGN.finditer(text):
-        left = BEFORE_AT.search(text[max(0, m.start() - 66) : m.start()])
+        s = m.start()
+        while s and text[s - 1] in LOCAL:
+            s -= 1
         right = AFTER_AT.match(text, m.end())
-        if left and right:
-            out.add((m.start() - len(left[0]), right.end(), "email"))
-    for s, e in runs:
-        begin = s - (s > 0 and text[s - 1] == "(")
-        for m in LOOSE_PHONE.finditer(text, s, e):
-            a = begin if m.start() == s else m.start()
-            if 7 <= len(digits_of(m[0])) <= 15:
-                out.add((a, m.end(), "phone"))
-        out |= {(*m.span(), "card") for m in LOOSE_CARD.finditer(text, s, e) if 12 <= len(digits_of(m[0])) <= 19}
-    for m in COLON.finditer(text):
-        a = max(0, m.start() - 45)
-        out |= {(*x.span(), "ip") for x in IP6.finditer(text, a, min(len(text), m.end() + 45)) if x.start() > a or a == 0}
+        if right and s < m.start():
+            out.add((s, right.end(), "email"))
+    for begin, end in runs:
+        groups = [m.span() for m in GROUP.finditer(text, begin, end)]
+        for i, (s, _) in enumerate(groups):
+            total, before = 0, text[s - 1 : s]
+            first = s - (before in ("(", "+"))
+            first -= first < s and before == "(" and text[first - 1 : first] == "+"
+            for a, e in groups[i : i + GROUPS]:
+                if a > s and a - last > 3:
+                    break
+                total, last = total + e - a, e
+                if total > 19:
+                    break
+                if 7 <= total <= 15:
+                    out.add((first, e, "phone"))
+                if total >= 12:
+                    out.add((s, e, "card"))
+    if ":" in text:
+        for m in IP6.finditer(text):
+            parts = m[0].split(":")
+            if len(parts) > 2 and max(map(len, parts)) <= 4 and len(parts) <= 9:
+                out.add((*m.span(), "ip"))
+    out |= {(*m.span(1), "secret") for m in ASSIGNED.finditer(text)}
+    for m in KEY.finditer(text):
+        own = m[0]
+        if any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own):
+            out.add((*m.span(), "secret"))
     return sorted(out)
 
 
-def features(text: str, s: int, e: int, kind: str) -> list[float]:
+def entropy(s: str) -> float:
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+def near_spans(base: list[tuple[int, int]], s: int, e: int) -> tuple[int, int]:
+    """How many of the sorted spans begin or end within CONTEXT before and after."""
+    at = bisect_left(base, (s, e))
+    return sum(y > s - CONTEXT for _, y in base[max(0, at - 3) : at]), sum(x < e + CONTEXT for x, _ in base[at : at + 3])
+
+
+def features(text: str, s: int, e: int, kind: str, base: list[tuple[int, int]] = ()) -> list[float]:
     own, before, after = text[s:e], text[max(0, s - CONTEXT) : s].lower(), text[e : e + CONTEXT].lower()
     near = set(re.findall(r"[a-z]+", before)[-4:])
     d = digits_of(own)
-    groups = [len(g) for g in re.findall(r"[0-9]+", own)] or [0]
-    left, right = text[s - 1 : s], text[e : e + 1]
+    groups = [len(g) for g in GROUP.findall(own)] or [0]
+    left, right = text[s - 1 : s] if s else "", text[e : e + 1]
+    size = len(own)
+    upper, lower = sum("A" <= c <= "Z" for c in own), sum("a" <= c <= "z" for c in own)
+    parts = [len(x) for x in own.split(":")] if kind == "ip" else [0]
     return [
-        *(kind == k for k in KINDS),
-        len(own), len(d), len(groups), min(groups), max(groups), groups[-1],
+        *(kind == k for k in ALL_KINDS),
+        size, len(d), len(groups), min(groups), max(groups), groups[-1], groups[0],
         own.count(" "), own.count("-"), own.count("."), own.count(":"), own.count("("), own.count("::"),
+        len(parts), max(parts), own.startswith("+"), own.startswith("(") or own.startswith("+("),
         bool(d) and luhn(d), len(set(d)), d[:1] == "0",
-        len(own.rsplit(".", 1)[-1].strip(" ])}>")) if kind == "email" else 0,
-        left.isalnum() or left in ("-", ".", "/", "_", "#", "$"), right.isalnum() or right in ("-", "/", "_", "%"),
+        len(own.rsplit(".", 1)[-1].rsplit(" ", 1)[-1].strip(" ])}>")) if kind == "email" else 0, " at " in own, own.count("dot") + own.count("DOT"),
+        left.isalnum() or left in ("-", ".", "/", "_", "#", "$", ":", "+"), right.isalnum() or right in ("-", "/", "_", "%", ":"),
+        before.rstrip()[-1:].isdigit(), after.lstrip()[:1].isdigit(), left in ("=", '"', "'"), before.rstrip(" \"'")[-1:] in ("=", ":"),
         *(any(w in near for w in CUES[k]) for k in CUES),
         any(w in after for w in ("ext", "mobile", "office")),
         all(g == 4 for g in groups[:-1]), len({c for c in own if not c.isalnum()}),
+        entropy(own) if kind == "secret" else 0, len(d) / size, upper / size, lower / size, upper > 0 and lower > 0,
+        kind == "secret" and all(c in "0123456789abcdef" for c in own), own[:4].isalpha() and own[:4].isupper() and not lower, "/" in own or "_" in own,
+        *near_spans(base, s, e),
     ]
 
 
-def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, str, bool]]:
-    """Made-up sentences with a candidate and whether it is personal data."""
+def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, str, bool, list]]:
+    """Made-up sentences with a candidate, whether it is personal data, and the base spans beside it."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9)))
@@ -156,38 +201,61 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, s
     def grouped(d: str, sep: str) -> str:
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
-    def example() -> tuple[str, str, str, bool]:
-        x = r.randrange(16)
-        at = r.choice(["[at]", "(at)", " [at] ", " (AT) ", "<at>"])
-        dot = r.choice(["[dot]", "(dot)", ".", " [dot] ", "."])
+    pick = lambda k, chars: "".join(r.choice(chars) for _ in range(k))
+    hexa, capitals, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def example() -> tuple[str, str, str, str, str, bool]:
+        """kind, text before the candidate, candidate, text after, word that leads, whether it counts."""
+        x = r.randrange(24)
+        at = r.choice(["[at]", "(at)", " [at] ", " (AT) ", "<at>", " at "])
+        dot = r.choice(["[dot]", "(dot)", ".", " [dot] ", "."]) if at != " at " else " dot "
         if x < 3:
-            return "email", f"{word()}{r.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}", r.choice(CUES["email"]), True
+            return "email", "", f"{word()}{r.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}", "", r.choice(CUES["email"]), True
         if x == 3:
-            return "email", f"{word()} (at) {word()}. {word()}", word(), False
+            return "email", "", f"{word()} (at) {word()}. {word()}", "", word(), False
+        phone = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}"])
         if x < 7:
             a, b = r.choice(["-", ".", " "]), r.choice(["-", ".", " "])
-            form = r.choice([f"({digits(3)}) {digits(3)}{a}{digits(4)}", f"0{digits(3)}{a}{digits(3)}{b}{digits(4)}", f"{digits(3)}{a}{digits(3)}{a}{digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
-            return "phone", form, r.choice(CUES["phone"]), True
+            form = r.choice([phone, f"({digits(3)}) {digits(3)}{a}{digits(4)}", f"0{digits(3)}{a}{digits(3)}{b}{digits(4)}", f"{digits(3)}{a}{digits(3)}{a}{digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
+            return "phone", "", form, "", r.choice(CUES["phone"]), True
         if x == 7:
-            return "phone", r.choice([f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(5)}", f"{digits(3)}.{digits(3)}.{digits(3)}"]), r.choice(CUES["other"]), False
+            return "phone", "", r.choice([f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(5)}", f"{digits(3)}.{digits(3)}.{digits(3)}"]), "", r.choice(CUES["other"]), False
         if x == 8:
-            return "phone", r.choice([f"{digits(3)} {digits(4)}", f"{digits(5)} {digits(5)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(2)}.{digits(3)}"]), r.choice([word(), *CUES["other"]]), False
+            return "phone", "", r.choice([f"{digits(3)} {digits(4)}", f"{digits(5)} {digits(5)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(2)}.{digits(3)}", digits(9), digits(12)]), "", r.choice([word(), *CUES["other"]]), False
         if x < 11:
-            return "card", grouped(card(), r.choice([".", "  ", " - ", "-"])), r.choice(CUES["card"]), True
+            return "card", "", grouped(card(), r.choice([".", "  ", " - ", "-"])), "", r.choice(CUES["card"]), True
         if x == 11:
-            return "card", grouped(digits(r.choice([12, 14, 15, 16])), r.choice([".", "  ", "-", " "])), r.choice([word(), *CUES["other"]]), False
-        if x < 14:
-            return "ip", r.choice([":".join(f"{r.randrange(1, 65536):x}" for _ in range(8)), f"fe80::{r.randrange(65536):x}:{r.randrange(65536):x}:{r.randrange(65536):x}", f"2001:{r.randrange(65536):x}:{r.randrange(65536):x}::{r.randrange(65536):x}"]), r.choice(CUES["ip"]), True
-        return "ip", r.choice([f"{digits(2)}:{digits(2)}:{digits(2)}", ":".join(f"{r.randrange(256):02x}" for _ in range(6)), f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(2)}"]), r.choice(["time", "mac", "at", "line", word()]), False
+            return "card", "", grouped(digits(r.choice([12, 14, 15, 16])), r.choice([".", "  ", "-", " "])), "", r.choice([word(), *CUES["other"]]), False
+        if x == 12:  # a phone and a card number side by side: each counts, what takes parts of both doesn't
+            full, other = phone, card()
+            last = full[-4:]
+            return r.choice([("phone", "", full, f" {other}", word(), True), ("card", f"{full} ", other, "", word(), True), ("phone", full[:-4], f"{last} {other[:6]}", other[6:], word(), False), ("phone", f"{full} ", other[:15], other[15:], word(), False)])
+        if x < 15:
+            return "ip", "", r.choice([":".join(f"{r.randrange(1, 65536):x}" for _ in range(8)), f"fe80::{r.randrange(65536):x}:{r.randrange(65536):x}:{r.randrange(65536):x}", f"2001:{r.randrange(65536):x}:{r.randrange(65536):x}::{r.randrange(65536):x}"]), "", r.choice(CUES["ip"]), True
+        if x == 15:
+            return "ip", "", r.choice([f"{digits(2)}:{digits(2)}:{digits(2)}", ":".join(f"{r.randrange(256):02x}" for _ in range(6)), f"{digits(1)}:{digits(2)}:{digits(2)}:{digits(2)}"]), "", r.choice(["time", "mac", "at", "line", word()]), False
+        if x < 18:
+            quote = r.choice(["", '"', "'"])
+            value = r.choice([pick(r.randint(8, 40), hexa), pick(r.randint(8, 40), mixed), pick(r.randint(10, 24), mixed + "!%&*?")])
+            return "secret", f"{r.choice(['password', 'token', 'secret', 'api_key', 'passwd', 'pwd', 'access_key', 'auth_key'])}{r.choice(['=', ' = ', ': '])}{quote}", value, quote, word(), True
+        if x < 20:
+            return "secret", "", r.choice(["AKIA", "ASIA"]) + pick(16, capitals) if r.random() < 0.5 else r.choice(["sk_live_", "ghp_", "xoxb-", "glpat-"]) + pick(r.randint(20, 36), mixed), "", r.choice([word(), "key", "token", "with"]), True
+        if x < 23:
+            path = "/".join(word() for _ in range(4))
+            value = r.choice([pick(40, hexa), pick(64, hexa), "-".join(pick(k, hexa) for k in (8, 4, 4, 4, 12)), f"{path}/{digits(2)}", f"{word()}-{word()}-{word()}-{digits(3)}", f"{word()}_{word()}_{word()}{digits(2)}", "=" * 16 + digits(1) + word()])
+            return "secret", "", value, "", r.choice(["commit", "sha", "hash", "digest", "checksum", "uuid", "file", "see", "id"]), False
+        return "secret", f"{r.choice(['token', 'secret', 'password'])}{r.choice([': ', ' = '])}", r.choice([word() + "ing", f"{word()},", f"{word()}{word()}."]), "", word(), False
 
     out = []
     for _ in range(n):
-        kind, own, cue, yes = example()
-        if r.random() < 0.25:
+        kind, lead, own, rest, cue, yes = example()
+        if r.random() < 0.25 and not (kind == "secret" and not lead and not yes):
             cue = word()
-        left = f"{word()} {word()} {cue}{r.choice([': ', ' ', ' is ', ' = '])}" if r.random() < 0.95 else ""
-        text = f"{left}{own}{r.choice([' ', '. ', ', ', ''])}{word()} {word()}"
-        out.append((text, len(left), len(left) + len(own), kind, yes))
+        left = f"{word()} {word()} {cue}{r.choice([': ', ' ', ' is ', ' = '] if kind != 'secret' else [' '])}" if r.random() < 0.95 else ""
+        left += lead
+        text = f"{left}{own}{rest}{r.choice([' ', '. ', ', ', '']) if not rest else ' '}{word()} {word()}"
+        base = [(a, b) for a, b, _ in base_spans(text, [m.span() for m in DIGIT_RUN.finditer(text)]) if b <= len(left) or a >= len(left) + len(own)]
+        out.append((text, len(left), len(left) + len(own), kind, yes, base))
     return out
 
 
@@ -204,12 +272,12 @@ class Selector:
 @functools.cache
 def selector() -> Selector:
     rows = examples()
-    x = np.array([features(*row[:4]) for row in rows], float)
+    x = np.array([features(*row[:4], row[5]) for row in rows], float)
     y = np.array([row[4] for row in rows], float)
     held = np.arange(len(y)) % 3 == 2
     trees = BoostedTrees().fit(x[~held], y[~held]).calibrate(x[held], y[held])
     p, kinds, thresholds = trees.probability(x[held]), [row[3] for row, h in zip(rows, held, strict=True) if h], {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = sorted(((a, b) for a, b, k in zip(p, y[held], kinds, strict=True) if k == kind), reverse=True)
         good, thresholds[kind] = 0, 1.0
         for n, (a, b) in enumerate(own, 1):
@@ -220,28 +288,42 @@ def selector() -> Selector:
     return Selector(trees, thresholds)
 
 
+def meets(spans: list[tuple[int, int]], s: int, e: int) -> bool:
+    """Whether one of the sorted spans, of which none meet, meets s..e."""
+    at = bisect_left(spans, (e,))
+    return at > 0 and spans[at - 1][1] > s
+
+
 def spans_of(texts: list[str | None], own: Selector) -> list[tuple[list, list]]:
     """Base spans and added spans of each text, (start, end, kind), in order."""
-    found, rows, where = [], [], []
+    found, rows, where, taken = [], [], [], []
     for k, t in enumerate(texts):
         t = t or ""
         runs = [m.span() for m in DIGIT_RUN.finditer(t)]
         base = base_spans(t, runs)
         found.append((base, []))
+        joined: list[tuple[int, int]] = []
+        for s, e, _ in base:
+            if joined and s < joined[-1][1]:
+                joined[-1] = joined[-1][0], max(joined[-1][1], e)
+            else:
+                joined.append((s, e))
+        taken.append(joined)
         for s, e, kind in candidates(t, runs):
-            if not any(s < b and a < e for a, b, _ in base):
-                rows.append(features(t, s, e, kind))
+            if not meets(joined, s, e):
+                rows.append(features(t, s, e, kind, joined))
                 where.append((k, s, e, kind))
     p = own.probabilities(rows)
     for at in sorted(range(len(p)), key=lambda i: (-p[i], where[i])):
         k, s, e, kind = where[at]
-        if p[at] >= own.thresholds[kind] and not any(s < b and a < e for a, b, _ in found[k][1]):
+        if p[at] >= own.thresholds[kind] and not meets(taken[k], s, e):
             found[k][1].append((s, e, kind))
+            insort(taken[k], (s, e))
     return found
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{s}:{e}" for s, e, kind in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
+    return ",".join(f"{kind}:{s}:{e}" for s, e, kind in sorted(spans, key=lambda x: (x[0], ALL_KINDS.index(x[2]), x[1])))
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
@@ -257,9 +339,9 @@ def redacted(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, redacted of each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans, n_secret (of all spans), redacted of each document."""
     shared = with_small_batches(docs.sparkSession).sparkContext.broadcast(selector())
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_secret", "redacted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, 1):
@@ -271,6 +353,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     *(pa.array([sum(x[2] == k for x in base) for base, _ in found], pa.int64()) for k in KINDS),
                     pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string()),
                     pa.array([written(base + more) for base, more in found], pa.string()),
+                    pa.array([len(base) + len(more) for base, more in found], pa.int64()),
+                    pa.array([sum(x[2] == "secret" for x in more) for _, more in found], pa.int64()),
                     pa.array([redacted(t, base + more) for t, (base, more) in zip(texts, found, strict=True)], pa.string()),
                 ],
                 names=names,
@@ -278,4 +362,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, redacted string")
+    return own.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long, n_secret long, redacted string")
