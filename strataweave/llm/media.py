@@ -1,14 +1,15 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each task appends the payloads it meets to tar shards in the shared folder; rows carry the
-shard, the digest, the offset and the length of their payload. Within a shard a payload is
-stored once, under its digest, and all rows of equal content carry its address. Nothing is
-shuffled: a copy met by another task has its copy in that task's shard. A shard has a name of
-its own for each attempt of a task, and the index is written with the attempt that succeeded, so a
-lost executor leaves unreferenced files at most.
+Payloads are addressed by their SHA-256. Which row of equal payloads stores them is settled by digest and
+row name alone; a task then appends the payloads of its storing rows to tar shards in the shared folder, so a
+payload is stored once, whatever its copies, and no payload crosses the network. All rows of equal content carry
+its one address: digest, shard, offset and length. A shard has a name of its own for each attempt of a task, and
+the index is written with the attempt that succeeded, so a lost executor leaves unreferenced files at most.
+The shards are the result and stay; who no longer needs them removes their folder.
 
 Metadata columns are filled from range reads of the file header alone; the payload is read
-back, by one range read of its whole file, only for features.
+back, by one range read of its whole file, only for features. Both are read once for each payload, by tasks
+that hold a range of a shard of bounded bytes.
 
 Payloads of texts are the UTF-8 bytes with zeros up to a positive multiple of 64. They are stored
 as PNG images of 8-bit grey samples, 64 wide, which is lossless.
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strataweave.llm.shared import new_folder, staged
+from strataweave.llm.shared import bounded, new_folder, numbered, staged, with_small_batches, without_rows
 
 WIDTH, HEADER_BYTES = 64, 33
 #: A task begins another shard beyond this size.
 SHARD_BYTES = 256 << 20
+#: Bytes of a shard that one task reads back.
+READ_BYTES = 16 << 20
 LEVEL = 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BLOCK = 512
@@ -156,8 +159,10 @@ class ShardReader:
             self.file.close()
 
 
-def _appended(df: DataFrame, fields: str, make) -> DataFrame:
-    """``df`` with the columns that ``make()(batch)`` gives for each batch."""
+def _appended(df: DataFrame, fields: str, make, large: str) -> DataFrame:
+    """``df`` with the columns that ``make()(batch)`` gives for each slice by the bytes of column ``large``."""
+    at = df.columns.index(large)
+    with_small_batches(df.sparkSession)
     added = T.StructType.fromDDL(fields)
     names, kinds = df.columns, to_arrow_schema(added)
     schema = T.StructType([*df.schema.fields, *added.fields])
@@ -165,7 +170,7 @@ def _appended(df: DataFrame, fields: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, close = make()
         try:
-            for batch in batches:
+            for batch in bounded(batches, at):
                 cols = list(zip(*own(batch), strict=True)) or [()] * len(kinds)
                 made = [pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *kinds.names])
@@ -189,7 +194,7 @@ def store(payloads: DataFrame, folder: str, payload_col: str = "payload") -> Dat
 
         return lambda batch: map(one, batch.column(batch.schema.names.index(payload_col)).to_pylist()), writer.close
 
-    out = _appended(payloads, "digest string, shard string, offset long, length long", make)
+    out = _appended(payloads, "digest string, shard string, offset long, length long", make, payload_col)
     return staged(out.drop(payload_col), "media-index")
 
 
@@ -205,7 +210,7 @@ def metadata(index: DataFrame, folder: str) -> DataFrame:
 
         return own, reader.close
 
-    return _appended(index, "width long, height long, sample_bits int", make)
+    return _appended(index, "width long, height long, sample_bits int", make, "digest")
 
 
 def features(index: DataFrame, folder: str) -> DataFrame:
@@ -231,15 +236,28 @@ def features(index: DataFrame, folder: str) -> DataFrame:
 
         return own, reader.close
 
-    return _appended(index, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", make)
+    return _appended(index, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string", make, "digest")
+
+
+def by_ranges(index: DataFrame) -> DataFrame:
+    """The index dealt out by ranges of READ_BYTES within a shard, however few rows it has."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.repartition(int(total // READ_BYTES) + 1, "shard", F.expr(f"offset div {READ_BYTES}"))
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document with its address, header metadata and features; real files stay in the shared folder."""
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
-    missing = F.when(F.col("n_bytes") == 0, F.lit(WIDTH)).otherwise(F.pmod(-F.col("n_bytes"), F.lit(WIDTH)))
-    zeros = F.substring(F.lit(bytes(WIDTH)), F.lit(1), missing.cast("int"))
+    own, row = numbered(docs)
+    own = own.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n_bytes = F.octet_length(raw).cast("long")
+    missing = F.when(n_bytes == 0, F.lit(WIDTH)).otherwise(F.pmod(-n_bytes, F.lit(WIDTH)))
+    payload = F.concat(raw, F.substring(F.lit(bytes(WIDTH)), F.lit(1), missing.cast("int")))
+    rows = staged(own.select("doc_id", n_bytes.alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("key"), F.col(row).alias("row")), "media-rows")
+    # Written, so that the join has an exchange on either side and a hot digest can be read in slices.
+    several = staged(rows.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "media-copies")
+    copies = rows.join(several, "key").filter("row <> first").select("row")
     folder = new_folder(docs.sparkSession, "media")
-    index = store(keyed.select("doc_id", "n_bytes", F.concat("raw", zeros).alias("payload")), folder)
-    return features(metadata(index, folder), folder).withColumn("media_bytes", F.col("length"))
+    index = store(without_rows(own.select(payload.alias("payload"), row), row, copies).select("payload"), folder)
+    found = features(metadata(by_ranges(index), folder), folder).withColumn("key", F.unhex("digest"))
+    return rows.drop("row").join(staged(found, "media-features"), "key").drop("key").withColumn("media_bytes", F.col("length"))

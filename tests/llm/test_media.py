@@ -70,3 +70,38 @@ def test_writer_begins_another_shard(spark, monkeypatch):
 
 def test_no_rows(spark, docs):
     assert media.text_media(docs([])).count() == 0
+
+
+def decoded(data):
+    """Samples of a grey PNG by the format's rules: chunks with checksums, one zlib stream, a filter byte for each row."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 4])
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        assert int.from_bytes(data[at + 8 + size : at + 12 + size]) == zlib.crc32(kind + body)
+        chunks.append((kind, body))
+        at += 12 + size
+    width, height = (int.from_bytes(chunks[0][1][k : k + 4]) for k in (0, 4))
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"] and chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])
+    lines = zlib.decompress(chunks[1][1])
+    rows = [lines[k : k + width + 1] for k in range(0, len(lines), width + 1)]
+    assert len(rows) == height and all(len(x) == width + 1 and x[0] == 0 for x in rows)
+    return b"".join(x[1:] for x in rows)
+
+
+def test_addresses_lead_to_the_payload_stored_once(spark, docs, monkeypatch):
+    texts = [*TEXTS, *(f"text {i % 5}" * 30 for i in range(60))]
+    monkeypatch.setattr(media, "new_folder", lambda spark, name: folder)
+    folder = new_folder(spark, "media-test")
+    got = media.text_media(docs(texts).repartition(6)).collect()
+    files, path = pafs.FileSystem.from_uri(folder)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        data = files.open_input_file(f"{path}/{r.shard}").read()[r.offset : r.offset + r.length]
+        payload = decoded(data)
+        assert payload[: len(raw)] == raw and not any(payload[len(raw) :]) and len(payload) == max(64, -(-len(raw) // 64) * 64)
+        assert hashlib.sha256(payload).hexdigest() == r.digest == r.payload_sha256 and hashlib.sha256(data).hexdigest() == r.media_sha256
+    assert len({(r.shard, r.offset) for r in got}) == len({r.digest for r in got}) == len(set(t or "" for t in texts))
+    stored = [m.name for x in files.get_file_info(pafs.FileSelector(path)) for m in tarfile.open(fileobj=io.BytesIO(files.open_input_file(x.path).read())).getmembers()]
+    assert sorted(stored) == sorted({f"{r.digest}.png" for r in got})
