@@ -316,11 +316,13 @@ def predict(docs: DataFrame, model: Identifier, text_col: str = "text", carry: l
         for batch in bounded(batches, at):
             found = [own.decide(h, n) for h, n in own.measured(batch.column(at).to_pylist())]
             made = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[*batch.schema.names[:width], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=plain)
 
-    source = docs.select(*(docs[f"`{c}`"] for c in sent))
-    added = [T.StructField(c, t) for c, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:width], *added]))
+    # Plain names on the way, whatever the columns are called.
+    plain = [*(f"c{k}" for k in range(width)), "lang", "score", "rejected"]
+    source = docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(sent)))
+    added = [T.StructField(c, t) for c, t in zip(plain[width:], (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:width], *added])).toDF(*kept, *names)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -125,3 +125,47 @@ def test_sketches_never_differ_by_more_than_sets(common, left, right, bits, seed
     x = np.random.default_rng(seed).integers(1, 2**63, common + left + right).astype(np.uint64)
     a, b = np.unique(x[: common + left]), np.unique(np.concatenate([x[:common], x[common + left :]]))
     assert int(np.bitwise_count(J.sketch(a, bits) ^ J.sketch(b, bits)).sum()) <= len(np.setxor1d(a, b))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 90), st.integers(0, 10), st.integers(0, 10), st.sampled_from([J.Rule(3, 9, 10), J.Rule(5, 4, 5), J.Rule(1, 1, 2)]), st.integers(0, 10**6))
+def test_prefixes_of_linked_sets_share_enough(common, left, right, rule, seed):
+    x = np.random.default_rng(seed).integers(1, 2**63, common + left + right).astype(np.uint64)
+    a, b = np.unique(x[: common + left]), np.unique(np.concatenate([x[:common], x[common + left :]]))
+    if common * rule.den >= rule.num * (common + left + right):
+        both = np.intersect1d(a[: rule.prefix(len(a))], b[: rule.prefix(len(b))])
+        assert len(both) >= max(rule.least_shared(len(a)), rule.least_shared(len(b)))
+    assert np.array_equal(J.unpack(J.pack(a)), a & np.uint64((1 << 40) - 1))
+
+
+def test_shared_counts_by_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(J, "COUNTED", 50)
+    monkeypatch.setattr(J, "SLICE_PACKED", 900)
+    rule = J.Rule.of(3, 0.9)
+    texts = corpus(5)
+    sets = J.sets_of(docs(texts).repartition(4), "doc_id", "text", None, rule)
+    own = {r.row: set(J.unpack(r.prefix).tolist()) for r in sets.collect()}
+    held = {}
+    for tokens in own.values():
+        for t in tokens:
+            held[t] = held.get(t, 0) + 1
+    want = {row: n for row, tokens in own.items() if (n := sum(held[t] > 1 for t in tokens))}
+    assert {r.row: r.shared for r in J.shared_counts(sets, rule).collect()} == want
+
+
+def test_a_passage_in_all_sets_makes_no_pairs(spark):
+    """Sets of a common passage and a part of their own that is just too large to link: no list holds the passage."""
+    rows = [(i, i, 100, [*range(88), *(1000 * (i + 1) + k for k in range(12))]) for i in range(300)]
+    arrays = spark.createDataFrame(rows, "sid long, comp long, n long, items array<long>")
+    assert J.open_pairs(arrays, J.Rule.of(5, 0.8)).count() == 0
+    linked = [(i, i, 100, [*range(90), *(1000 * (i + 1) + k for k in range(10))]) for i in range(20)]
+    assert J.open_pairs(spark.createDataFrame(linked, arrays.schema), J.Rule.of(5, 0.8)).count() == 190
+
+
+def test_very_long_texts_and_string_ids(docs):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60000)]
+    other = [w if k % 80 else "x" for k, w in enumerate(base)]
+    df = docs([" ".join(base), " ".join(other), " ".join(base[:30000]), "a b c"]).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    got = {x.doc_id: x.component_id for x in J.join(df).collect()}
+    assert got == {"id0": "id0", "id1": "id0", "id2": "id2", "id3": "id3"}

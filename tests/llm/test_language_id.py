@@ -108,3 +108,29 @@ def test_sample_is_bounded_and_has_no_held_out_row(docs, rows_):
     df = docs([(i, f"t{i}", "s", "aa") for i in range(100)])
     sample = L.training_sample(df, "doc_id", "text", "lang", rows_)
     assert len(sample) <= rows_ and all(zlib.crc32(t[1:].encode()) % 4 != 2 for _, t in sample)
+
+
+def test_scores_and_rejection_on_short_slices():
+    model = L.fit([(r[3], r[1]) for r in rows(400)]).ready()
+    r = random.Random(3)
+    for n in (1, 2, 4, 16):
+        own = [" ".join(r.choice(LEXICON[lang]) for _ in range(n)) for lang in ("aa", "zz") for _ in range(50)]
+        assert not any(model.decide(h, size)[2] for h, size in model.measured(own))
+    foreign = ["".join(r.choice("qxjvy") for _ in range(6)) + " " + "".join(r.choice("qxjvy") for _ in range(7)) for _ in range(100)]
+    assert sum(model.decide(h, size)[2] for h, size in model.measured(foreign)) >= 95
+
+
+def test_carried_columns_of_any_name_and_repeated_ids(docs):
+    df = docs(rows(40)).withColumns({c: F.lit(c) for c in ("__input", "__score", "__rejected", "__lang_pred", "a.b")})
+    got = L.accepted_documents(df)
+    assert got.columns == df.columns
+    assert all(r["__score"] == "__score" and r["a.b"] == "a.b" for r in got.collect())
+    # One id all over: rows are told apart by their text, and a sample is drawn.
+    one = docs([(7, text("az"[i % 2] * 2, i), "s", "az"[i % 2] * 2) for i in range(200)])
+    assert zlib.crc32(b"7") % 4 != 2 and len(L.training_sample(one, "doc_id", "text", "lang", 20)) == 40
+
+
+def test_long_texts_are_sampled_in_slices(docs, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 50)
+    sample = L.training_sample(docs([(i, text("aa", i, 400), "s", "aa") for i in range(20)]), "doc_id", "text", "lang")
+    assert sample and all(len(t) == 50 for _, t in sample)

@@ -91,3 +91,11 @@ def test_share_of_a_hot_source(docs):
     got = mixing.mixed(docs([(i, "t", "a" if i % 3 else "b") for i in range(300)]), WEIGHTS, 1)
     first = Counter(r.pool for r in got.filter("position < 100").collect())
     assert abs(first["a"] - 60) <= 1 and abs(first["b"] - 40) <= 1
+
+
+def test_columns_with_the_names_of_internal_ones(docs):
+    names = ["__j", "__i", "__p", "__p_base", "__g", "pool", "block", "position", "__mix_position"]
+    df = docs([(i, f"t{i}", "ab*"[i % 3]) for i in range(9)]).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    got = mixing.mixed_documents(df, WEIGHTS, 2)
+    assert got.columns == df.columns
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names) and got.count() == 9

@@ -16,11 +16,11 @@ def near_roots(texts):
     sets = []
     for t in texts:
         w = t.lower().split()
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
     root = list(range(len(sets)))
     for b in range(len(sets)):
         for a in range(b):
-            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
                 low, high = sorted((root[a], root[b]))
                 root = [low if x == high else x for x in root]
     return root
