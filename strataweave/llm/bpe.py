@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.shared import bounded, resident, with_small_batches
+from strataweave.llm.shared import bounded, lean, resident, with_small_batches
 
 #: Pieces whose encodings a worker keeps in each of two generations, and the longest piece kept; others are worked out again.
 KEPT_PIECES, KEPT_LENGTH = 150_000, 64
@@ -230,4 +230,4 @@ def _per_text(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_
     with_small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, {fields}")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, {fields}")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.shared import bounded, with_small_batches
+from strataweave.llm.shared import bounded, lean, with_small_batches
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -616,4 +616,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     with_small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"page_id {kind}, text string, n_chars long, n_lines long, text_sha256 string")
+    return own.mapInArrow(lean(run), f"page_id {kind}, text string, n_chars long, n_lines long, text_sha256 string")

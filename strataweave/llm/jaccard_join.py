@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import components
-from strataweave.llm.shared import FILTER_BITS, Scratch, bounded, free_name, marked, marks, numbered, resident, staged, with_small_batches, without_rows
+from strataweave.llm.shared import FILTER_BITS, Scratch, bounded, free_name, give_back, lean, marked, marks, numbered, staged, with_small_batches, without_rows
 
 #: What the arguments are unless given: words of a shingle, and the threshold NUM / DEN.
 WIDTH, NUM, DEN = 3, 9, 10
@@ -65,7 +65,7 @@ BOUNDARIES, BLOCK_COST = range(8, 40), 4
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 150_000
 #: A prefix has n div EXTRA shingles beyond those that may differ; bytes of a shingle in it; shingles that one group counts.
-EXTRA, PACKED, COUNTED = 5, 5, 500_000
+EXTRA, PACKED, COUNTED = 5, 5, 250_000
 #: Sizes that an inverted list of tier two is split by, each so many times the one before.
 BAND = 1.06
 #: Bits of the sketches that tell before sets are moved that a pair differs by too much; the longer is for pairs that the shorter leaves.
@@ -234,16 +234,12 @@ def unpack(raw: bytes | memoryview) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
-def known_words() -> Words:
-    return resident(("words",), Words)
-
-
 def sets_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, rule: Rule) -> DataFrame:
     """row, key (what the row bears in ``row_col``), doc_id, h (hash of the text), n, f1, f2 (fingerprint),
     prefix (packed); written, so that row numbers hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_words()
+        known = Words()
         for batch in bounded(batches, 4):
             sets = [shingles(t, known, rule.width) for t in batch.column(4).to_pylist()]
             prints = [fingerprint(s) for s in sets]
@@ -261,13 +257,13 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, ru
     key = F.col(row_col) if row_col else F.lit(None).cast("long")
     own = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("key"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("key", "doc_id"))
-    return staged(own.mapInArrow(run, f"row long, {kinds}, h long, n long, f1 long, f2 long, prefix binary"), "sets")
+    return staged(own.mapInArrow(lean(run), f"row long, {kinds}, h long, n long, f1 long, f2 long, prefix binary"), "sets")
 
 
 #: Rows with the same number but for so many bits are counted together.
 RANGE = 15
 #: Bytes of packed prefixes that are dealt out at once: more let more be known where it is.
-SLICE_PACKED = 4 << 20
+SLICE_PACKED = 2 << 20
 
 
 def deltas(rows: np.ndarray) -> bytes:
@@ -325,6 +321,7 @@ def shared_counts(sets: DataFrame, rule: Rule) -> DataFrame:
         cut = np.flatnonzero(np.diff(rows >> RANGE)) + 1
         parts = list(zip(np.split(rows, cut), np.split(counts, cut), strict=True)) if len(rows) else []
         cols = [int(a[0] >> RANGE) for a, _ in parts], [deltas(a) for a, _ in parts], [b.tobytes() for _, b in parts]
+        give_back()
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["rng", "row", "shared"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -334,7 +331,7 @@ def shared_counts(sets: DataFrame, rule: Rule) -> DataFrame:
         there = np.flatnonzero(shared)
         return pa.table({"row": pa.array(there + first, pa.int64()), "shared": pa.array(shared[there], pa.int64())})
 
-    dealt = sets.filter("n > 0").select("row", "prefix").mapInArrow(deal, "grp long, single binary, owner binary, common binary, known binary, counts binary")
+    dealt = sets.filter("n > 0").select("row", "prefix").mapInArrow(lean(deal), "grp long, single binary, owner binary, common binary, known binary, counts binary")
     found = dealt.groupBy("grp").applyInArrow(count, "rng long, row binary, shared binary")
     return found.groupBy("rng").applyInArrow(add, "row long, shared long")
 
@@ -353,7 +350,7 @@ def arrays_of(docs: DataFrame, text_col: str, wanted: DataFrame, boundary: int,
     texts = marked(texts, F.xxhash64(text), marks(wanted.select("h"), FILTER_BITS, "wanted-bits"), FILTER_BITS, maybe).filter(F.col(maybe)).select(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = known_words(), Signatures(boundary, rule)
+        known, own = Words(), Signatures(boundary, rule)
         for batch in bounded(batches, 0):
             out = {}
             for t in batch.column(0).to_pylist():
@@ -365,7 +362,7 @@ def arrays_of(docs: DataFrame, text_col: str, wanted: DataFrame, boundary: int,
             lists = [_lists(sets), *(_lists([sketch(s, x) for s in sets]) for x in SKETCH_BITS.values()), _lists([own.keys(s) for s in sets])]
             yield pa.RecordBatch.from_arrays([*cols, *lists], names=["n", "f1", "f2", "items", *SKETCH_BITS, "keys"])
 
-    found = texts.mapInArrow(run, "n long, f1 long, f2 long, items array<long>, short array<long>, long array<long>, keys array<long>")
+    found = texts.mapInArrow(lean(run), "n long, f1 long, f2 long, items array<long>, short array<long>, long array<long>, keys array<long>")
     once = found.groupBy("n", "f1", "f2").agg(F.any_value(F.struct("items", *SKETCH_BITS, "keys")).alias("own"))
     return staged(once.join(wanted, ["n", "f1", "f2"]).select("sid", "n", "own.*"), "arrays")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.shared import bounded, free_name, with_small_batches
+from strataweave.llm.shared import bounded, free_name, lean, with_small_batches
 
 #: Sampled rows for each language; characters of context and the one after; words a worker keeps.
 SAMPLE, ORDER, CACHED = 400, 5, 200_000
@@ -322,7 +322,7 @@ def predict(docs: DataFrame, model: Identifier, text_col: str = "text", carry: l
     plain = [*(f"c{k}" for k in range(width)), "lang", "score", "rejected"]
     source = docs.select(*(docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(sent)))
     added = [T.StructField(c, t) for c, t in zip(plain[width:], (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:width], *added])).toDF(*kept, *names)
+    return source.mapInArrow(lean(run), T.StructType([*source.schema.fields[:width], *added])).toDF(*kept, *names)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

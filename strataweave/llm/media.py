@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strataweave.llm.shared import bounded, new_folder, numbered, staged, with_small_batches, without_rows
+from strataweave.llm.shared import bounded, lean, new_folder, numbered, staged, with_small_batches, without_rows
 
 WIDTH, HEADER_BYTES = 64, 33
 #: A task begins another shard beyond this size.
@@ -177,7 +177,7 @@ def _appended(df: DataFrame, fields: str, make, large: str) -> DataFrame:
         finally:
             close()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def store(payloads: DataFrame, folder: str, payload_col: str = "payload") -> DataFrame:

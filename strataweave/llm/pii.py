@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.boosting import BoostedTrees
-from strataweave.llm.shared import bounded, with_small_batches
+from strataweave.llm.shared import bounded, lean, with_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans in the order in which they are written; secrets are added spans only.
@@ -362,4 +362,4 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long, n_secret long, redacted string")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long, n_secret long, redacted string")

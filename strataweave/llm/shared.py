@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -19,7 +21,7 @@ SETTING = "spark.checkpoint.dir"
 #: Bytes of text that a Python operator turns into objects at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Bytes of an Arrow batch on its way to Python; a longer row is a batch of its own.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Open scratch scopes of this thread, innermost last; a table belongs to the innermost at the time it is written.
 _scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scopes", default=())
 #: The one large object that a worker process keeps between tasks, by its key.
@@ -177,6 +179,25 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BY
         pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a partition, after which freed memory goes back."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def with_small_batches(spark: SparkSession) -> SparkSession:
     """Bounds the bytes of a batch that goes to Python, in either process, unless the session has a smaller bound."""
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.shared import bounded, resident, with_small_batches
+from strataweave.llm.shared import bounded, lean, resident, with_small_batches
 
 #: Entries of the broadcast table and of each sketch; pre-tokens that a worker's cache holds.
 FREQUENT, SKETCH, CACHED = 8192, 16384, 200_000
@@ -134,4 +134,4 @@ def counted(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str = "doc_
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return own.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
