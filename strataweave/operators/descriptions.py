@@ -15,13 +15,20 @@ SOURCES = ("docstring", "provisional", "placeholder", "llm")
 
 
 def capped(df: DataFrame, order: list, cap: int) -> DataFrame:
-    """``df`` with within_cap: whether a row is among the first ``cap`` in order.
+    """``df`` with within_cap: whether a row is among the first ``cap`` in order; exactly so many are.
 
     Only the boundary row is found by a top-k; a comparison with it marks the rest, so no row
-    crosses the network for a global window.
+    crosses the network for a global window. Rows of one order go by a hash of all their columns; only
+    copies of the boundary row, equal in every column, are numbered.
     """
-    boundary = df.select(F.struct(*order).alias("b")).orderBy("b").limit(cap).agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n"))
-    return df.crossJoin(F.broadcast(boundary)).withColumn("within_cap", F.coalesce(F.struct(*order) <= F.col("b"), F.lit(False))).drop("b", "n")
+    own = df.withColumn("__b", F.struct(*order, F.xxhash64(*df.columns).alias("__h")))
+    top = own.select("__b").orderBy("__b").limit(cap).groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
+    boundary = F.broadcast(top.agg(F.max("__b").alias("__last"), F.max_by("n", "__b").alias("__n")))
+    marked = own.crossJoin(boundary)
+    at = F.coalesce(F.col("__b") == F.col("__last"), F.lit(False))
+    rest = marked.filter(~at).withColumn("within_cap", F.coalesce(F.col("__b") < F.col("__last"), F.lit(False)))
+    copies = marked.filter(at).withColumn("within_cap", F.row_number().over(Window.partitionBy("__b").orderBy("__n")) <= F.col("__n"))
+    return rest.unionByName(copies).drop("__b", "__last", "__n")
 
 
 def plan(members: DataFrame, existing: DataFrame, cap: int = DESCRIBE_CAP) -> DataFrame:
@@ -89,8 +96,3 @@ def breakdown(rows: DataFrame, key: list[str], source: str = "source") -> DataFr
 def index_by_path(descriptions: DataFrame, pos: str) -> DataFrame:
     """One description for each symbol path, the last row standing."""
     return last_wins(descriptions, ["symbol_path"], pos)
-
-
-def numbered_cap(df: DataFrame, key: list[str], order: list, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("__n") <= cap).drop("__n")

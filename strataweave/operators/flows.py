@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions import bag
@@ -186,9 +186,10 @@ def projected(members: DataFrame, nodes: DataFrame, calls: DataFrame, seeds: Dat
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__n", n).filter("__n = 1").drop("__n")
+    """The first row of each key: an aggregate, combined on the map side."""
+    rest = [c for c in df.columns if c not in key]
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return first.select(*(F.col(c) if c in key else F.col(f"__r.{c}").alias(c) for c in df.columns))
 
 
 def last_wins(df: DataFrame, key: list[str], pos: str) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.bag import bag
 from strataweave.operators.graph import without_dangling
 from strataweave.schema import tier_rank
 
@@ -117,7 +116,3 @@ def folded_changes(log: DataFrame) -> DataFrame:
     """A change log (target, op, seq, …) without what a later full upsert of the target made void."""
     reset = log.filter("op = 'upsert'").groupBy("target").agg(F.max("seq").alias("__reset"))
     return log.join(reset, "target", "left").filter("__reset IS NULL OR seq >= __reset").drop("__reset")
-
-
-def parsed_bag(df: DataFrame) -> DataFrame:
-    return df.withColumn("attributes", bag(F.col("attributes")))

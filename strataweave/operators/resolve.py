@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.identity import DESCRIPTION_PREFIX, anchor, description_id, symbol_path
@@ -39,9 +39,12 @@ def unique_index(states: DataFrame) -> DataFrame:
 
 def deduplicated_index(states: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame]:
     """The first state of each symbol_path in input order, and the ones dropped."""
-    w = F.row_number().over(Window.partitionBy("symbol_path").orderBy(ordinal))
-    marked = states.withColumn("__n", w)
-    return marked.filter("__n = 1").drop("__n"), marked.filter("__n > 1").drop("__n")
+    rest = [c for c in states.columns if c != "symbol_path"]
+    first = states.groupBy("symbol_path").agg(F.min_by(F.struct(*rest), ordinal).alias("__r"))
+    kept = first.select(*(F.col(c) if c == "symbol_path" else F.col(f"__r.{c}").alias(c) for c in states.columns))
+    low = kept.select(F.col("symbol_path").alias("__path"), F.col(ordinal).alias("__first"))
+    dropped = states.join(low, F.col("symbol_path").eqNullSafe(F.col("__path"))).filter(F.col(ordinal) > F.col("__first"))
+    return kept, dropped.select(*states.columns)
 
 
 def by_content(states: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,17 +12,36 @@ def match_spans(records: DataFrame, spans: DataFrame, key: list[str]) -> DataFra
     """The span (launch_at, result_at, pos, …) of each record (…, at, record_id) under ``key``.
 
     The last span that holds the record's time; else the latest launch at or before it; else the
-    last launch. One aggregate takes the best by (priority, tie): each record keeps one candidate
-    for each map task, no matter how many spans its key has.
+    last launch. A span stands in the one or two cells, as wide as the next power of two of its length, that it
+    touches, and a record looks into its cell of each width there is (64 at most); so it meets spans
+    near its time, not all of its key. The latest launch is a running maximum in time order.
     """
     own = [c for c in spans.columns if c not in key]
-    both = records.join(spans.withColumn("span", F.struct(*own)).select(*key, "span"), key, "left")
-    s = F.col("span")
-    inside = (F.col("at") >= s["launch_at"]) & (F.col("at") <= s["result_at"])
-    rank = F.when(F.coalesce(inside, F.lit(False)), 2).when(F.coalesce(s["launch_at"] <= F.col("at"), F.lit(False)), 1).when(s.isNotNull(), 0)
-    tie = F.when(rank == 1, F.unix_micros(s["launch_at"].cast("timestamp"))).otherwise(F.lit(0).cast("long"))
-    best = both.groupBy("record_id").agg(F.max_by(F.struct("span", rank.alias("rank")), F.struct(rank, tie, s["pos"])).alias("b"))
-    return records.join(best, "record_id").select(*records.columns, F.col("b.span").alias("span"), F.col("b.rank").alias("match"))
+    told = spans.select(*key, F.struct(*own).alias("span"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    a, b = micros(F.col("span.launch_at")), micros(F.col("span.result_at"))
+    closed = told.withColumns({"__a": a, "__z": b}).filter("__a <= __z").withColumn("__w", F.length(F.bin(F.col("__z") - F.col("__a"))))
+    at = F.col("at")
+    found = records.select("record_id", *key, "at")
+    widths = sorted(r[0] for r in closed.select("__w").distinct().collect())
+    out = found
+    if widths:
+        cells = closed.withColumn("__c", F.explode(F.expr("sequence(shiftright(__a, __w), shiftright(__z, __w))")))
+        look = found.withColumns({"__t": micros(at), "__w": F.explode(F.array(*(F.lit(w) for w in widths)))}).withColumn("__c", F.expr("shiftright(__t, __w)"))
+        inside = look.join(cells, [*key, "__w", "__c"]).filter("__a <= __t AND __t <= __z")
+        out = out.join(inside.groupBy("record_id").agg(F.max_by("span", F.col("span.pos")).alias("__in")), "record_id", "left")
+    else:
+        out = out.withColumn("__in", F.lit(None).cast(told.schema["span"].dataType))
+    launch = F.struct(F.col("span.launch_at").alias("t"), F.col("span.pos").alias("p"), "span")
+    both = found.select(*key, F.col("at").alias("__t"), F.lit(1).alias("__k"), "record_id", F.lit(None).cast(told.select(launch.alias("x")).schema["x"].dataType).alias("__l"))
+    both = both.unionByName(told.filter("span.launch_at IS NOT NULL").select(*key, F.col("span.launch_at").alias("__t"), F.lit(0).alias("__k"), launch.alias("__l")), allowMissingColumns=True)
+    running = F.max("__l").over(Window.partitionBy(*key).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0))
+    before = both.withColumn("__l", running).filter("__k = 1 AND __t IS NOT NULL").select("record_id", F.col("__l.span").alias("__before"))
+    last = told.groupBy(*key).agg(F.max_by("span", F.col("span.pos")).alias("__last"))
+    out = out.join(before, "record_id", "left").join(last, key, "left")
+    rank = F.when(F.col("__in").isNotNull(), 2).when(F.col("__before").isNotNull(), 1).when(F.col("__last").isNotNull(), 0)
+    best = out.select("record_id", F.coalesce("__in", "__before", "__last").alias("span"), rank.alias("match"))
+    return records.join(best, "record_id").select(*records.columns, "span", "match")
 
 
 def parsed_time(iso: Column) -> Column:

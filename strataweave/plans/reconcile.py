@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.bag import seed_files
@@ -202,5 +202,4 @@ def deferred_again(deferred: DataFrame, outcomes: DataFrame) -> DataFrame:
     now = outcomes.filter("action = 'defer'").select("flow_id", "reason", F.lit(1).alias("turn"))
     settled = outcomes.filter("action <> 'defer'").select("flow_id").distinct()
     old = deferred.select("flow_id", "reason").withColumn("turn", F.lit(0)).join(settled, "flow_id", "left_anti")
-    best = F.row_number().over(Window.partitionBy("flow_id").orderBy(F.desc("turn"), "reason"))
-    return old.unionByName(now).withColumn("n", best).filter("n = 1").select("flow_id", "reason")
+    return old.unionByName(now).groupBy("flow_id").agg(F.min_by("reason", F.struct(-F.col("turn"), "reason")).alias("reason"))

@@ -207,14 +207,14 @@ def span_asof(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH m AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS node FROM lineitem), big AS (
   SELECT DISTINCT l_partkey AS node FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey < 20)
-SELECT s_suppkey::VARCHAR AS flow_id FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey IN (SELECT f FROM m)
+SELECT s_suppkey::VARCHAR AS flow_id FROM supplier WHERE s_acctbal >= 0 AND s_suppkey IN (SELECT f FROM m)
   AND NOT EXISTS (SELECT 1 FROM m WHERE f = s_suppkey AND node NOT IN (SELECT node FROM big))""")
 def flow_subsumption(spark: SparkSession, sf: str) -> DataFrame:
     line, supp = table(spark, sf, "lineitem"), table(spark, sf, "supplier")
     members = line.select(s("l_suppkey").alias("flow_id"), s("l_partkey").alias("node")).distinct()
     new = line.join(supp.filter("s_nationkey < 20"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select(s("l_partkey").alias("node"))
     seeds = members.select("flow_id", F.col("flow_id").alias("symbol_id")).distinct()
-    odd = supp.filter("s_suppkey % 2 <> 0").select(s("s_suppkey").alias("symbol_id"))
+    odd = supp.filter("s_acctbal < 0").select(s("s_suppkey").alias("symbol_id"))
     none = members.select("flow_id").limit(0)
     return reconcile.subsumed(supp.select(s("s_suppkey").alias("flow_id")), members, new, seeds, odd, none)
 
@@ -300,13 +300,13 @@ def ladder_write(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH f AS (
   SELECT c_custkey AS id, 'name' AS field, c_name AS value, 0 AS ord FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, 0 FROM customer
-  UNION ALL SELECT c_custkey, 'segment', 'OVERLAY', 1 FROM customer WHERE c_custkey % 4 = 0
-  UNION ALL SELECT c_custkey, 'note', 'user', 2 FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT c_custkey, 'segment', 'USER', 2 FROM customer WHERE c_custkey % 6 = 0)
+  UNION ALL SELECT c_custkey, 'segment', 'OVERLAY', 1 FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT c_custkey, 'note', 'user', 2 FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'segment', 'USER', 2 FROM customer WHERE c_acctbal < 0)
 SELECT id, field, arg_max(value, ord) AS value FROM f GROUP BY ALL""")
 def layer_fold(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     f = lambda d, field, value, ord_: d.select(F.col("c_custkey").alias("id"), F.lit(field).alias("field"), value.alias("value"), F.lit(ord_).alias("ord"))
-    four, six = c.filter("c_custkey % 4 = 0"), c.filter("c_custkey % 6 = 0")
+    four, six = c.filter("c_mktsegment = 'BUILDING'"), c.filter("c_acctbal < 0")
     parts = [f(c, "name", F.col("c_name"), 0), f(c, "segment", F.col("c_mktsegment"), 0), f(four, "segment", F.lit("OVERLAY"), 1), f(six, "note", F.lit("user"), 2), f(six, "segment", F.lit("USER"), 2)]
     out = parts[0]
     for p in parts[1:]:
@@ -374,11 +374,11 @@ def flow_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT DISTINCT s_nationkey AS src_id, p FROM (SELECT s_nationkey, s_suppkey % 5 AS p, s_suppkey % 2 AS h FROM supplier) WHERE h = 0),
-y AS (SELECT DISTINCT s_nationkey AS src_id, p FROM (SELECT s_nationkey, s_suppkey % 5 AS p, s_suppkey % 2 AS h FROM supplier) WHERE h = 1)
+WITH x AS (SELECT DISTINCT s_nationkey AS src_id, p FROM (SELECT s_nationkey, s_suppkey % 5 AS p, (s_acctbal < 0)::INT AS h FROM supplier) WHERE h = 0),
+y AS (SELECT DISTINCT s_nationkey AS src_id, p FROM (SELECT s_nationkey, s_suppkey % 5 AS p, (s_acctbal < 0)::INT AS h FROM supplier) WHERE h = 1)
 SELECT src_id, p AS dst_id, 'removed' AS change FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT src_id, p, 'added' FROM (SELECT * FROM y EXCEPT SELECT * FROM x)""")
 def bridge_diff(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src_id"), (F.col("s_suppkey") % 5).alias("dst_id"), (F.col("s_suppkey") % 2).alias("h"))
+    own = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src_id"), (F.col("s_suppkey") % 5).alias("dst_id"), (F.col("s_acctbal") < 0).cast("int").alias("h"))
     return inspect.bridge_diff(own.filter("h = 0").drop("h"), own.filter("h = 1").drop("h"))
 
 
@@ -390,14 +390,14 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
 # -- agreement, logs ---------------------------------------------------------
 
 GRADES_SQL = """
-h AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS v FROM labels WHERE doc_id % 3 <> 0),
-j AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'mixed' WHEN toxic = 1 THEN 'bad' ELSE 'good' END AS v FROM labels WHERE doc_id % 5 <> 0)"""
+h AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS v FROM labels),
+j AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'mixed' WHEN length(text) < 1500 THEN 'bad' ELSE 'good' END AS v FROM documents)"""
 
 
 def _grades(spark: SparkSession, sf: str) -> DataFrame:
-    labels = table(spark, sf, "labels")
-    human = labels.filter("doc_id % 3 <> 0").select(s("doc_id").alias("run_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("verdict"))
-    judge = labels.filter("doc_id % 5 <> 0").select(s("doc_id").alias("run_id"), F.when(F.col("doc_id") % 7 == 0, "mixed").when(F.col("toxic") == 1, "bad").otherwise("good").alias("verdict"))
+    human = table(spark, sf, "labels").select(s("doc_id").alias("run_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("verdict"))
+    told = F.when(F.col("lang").isNull(), "mixed").when(F.length("text") < 1500, "bad").otherwise("good")
+    judge = table(spark, sf, "documents").select(s("doc_id").alias("run_id"), told.alias("verdict"))
     return agreement.joined(human, judge)
 
 
@@ -468,13 +468,12 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 
 
 @query(f"""
-WITH t AS (SELECT item_id, {TOKENS_SQL.format("left(text, 80)")} AS names, {TOKENS_SQL.format("substring(text, 41, 60)")} AS words FROM benchmark)
-SELECT item_id, len(words) AS n_tokens, len(list_filter(words, lambda w: NOT list_contains({STOP_SQL}, w) AND len(list_filter(names, lambda n: n = w
+WITH t AS (SELECT page_id, {TOKENS_SQL.format("url")} AS names, {TOKENS_SQL.format("html")} AS words FROM pages)
+SELECT page_id, len(words) AS n_tokens, len(list_filter(words, lambda w: NOT list_contains({STOP_SQL}, w) AND len(list_filter(names, lambda n: n = w
   OR (least(len(n), len(w)) >= 3 AND (starts_with(w, n) OR starts_with(n, w))) OR (least(len(n), len(w)) >= 4 AND left(n, 4) = left(w, 4)))) = 0)) = 0 AS restates FROM t""")
 def name_restatement(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark")
-    name, told = F.left("text", F.lit(80)), F.substring("text", 41, 60)
-    return b.select("item_id", F.size(text.tokens(told)).cast("long").alias("n_tokens"), text.name_restatement(name, told).alias("restates"))
+    name, told = F.col("url"), F.col("html")
+    return table(spark, sf, "pages").select("page_id", F.size(text.tokens(told)).cast("long").alias("n_tokens"), text.name_restatement(name, told).alias("restates"))
 
 
 @query("SELECT event_id, (props->>'k')::DOUBLE AS k, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN props->>'k' END AS k_text FROM events")

@@ -9,6 +9,7 @@ partitioned by layer, so that file statistics serve lookups.
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -298,9 +299,11 @@ class GraphStore:
 
     def register_table(self, name: str, disposable: bool) -> None:
         """Notes an external table in the registry; it survives re-initialisation."""
-        meta = self._meta()
-        meta.setdefault("registry", {})[name] = disposable
-        self.files.write(f"{self.path}/v={self.version}/_meta.json", json.dumps(meta))
+        with Lock(self.files, f"{self.path}/_LOCK"):
+            self.version = self._current()
+            meta = self._meta()
+            meta.setdefault("registry", {})[name] = disposable
+            self.files.write(f"{self.path}/v={self.version}/_meta.json", json.dumps(meta))
 
     def _renew_disposable(self) -> None:
         empty = {n: self.spark.createDataFrame([], TABLES[n]) for n, d in DISPOSABLE.items() if d}
@@ -325,18 +328,53 @@ def edges_for_files(edges: DataFrame, provenance: DataFrame, files: DataFrame) -
 
 
 class Lock:
-    """One writer at a time: a file that only one can create; waits up to ``wait`` seconds."""
+    """One writer at a time: a file that only one can create; waits up to ``wait`` seconds.
+
+    The holder renews its lease while it works. A lease that has run out, of a writer that crashed, is
+    taken away by a rename that one waiter wins; an unreadable lock counts from when it is first seen.
+    """
 
-    def __init__(self, files: Files, path: str, wait: float = 10, poll: float = 0.25):
-        self.files, self.path, self.wait, self.poll = files, path, wait, poll
+    def __init__(self, files: Files, path: str, wait: float = 10, poll: float = 0.25, lease: float = 60):
+        self.files, self.path, self.wait, self.poll, self.lease = files, path, wait, poll, lease
+        self.owner, self.done = uuid.uuid4().hex, threading.Event()
+        self.unreadable: float | None = None
+
+    def _text(self) -> str:
+        return json.dumps({"owner": self.owner, "until": time.time() + self.lease})
+
+    def _held(self) -> dict:
+        try:
+            found = json.loads(self.files.read(self.path) or "null")
+            return found if isinstance(found, dict) else {}
+        except ValueError:
+            return {}
+
+    def _take_away(self) -> None:
+        until = self._held().get("until")
+        if until is None:
+            self.unreadable = self.unreadable or time.time()
+            until = self.unreadable + self.lease
+        if until < time.time() and self.files.rename(self.path, gone := f"{self.path}.{uuid.uuid4().hex}.stale"):
+            self.files.delete(gone)
+
+    def _renew(self) -> None:
+        while not self.done.wait(self.lease / 3):
+            if self._held().get("owner") == self.owner:
+                self.files.write(self.path, self._text())
 
     def __enter__(self) -> Lock:
         end = time.monotonic() + self.wait
-        while not self.files.create_new(self.path, uuid.uuid4().hex):
+        while not self.files.create_new(self.path, self._text()):
             if time.monotonic() > end:
                 raise TimeoutError(f"{self.path} is held by another writer")
+            self._take_away()
             time.sleep(self.poll)
+        self.renewal = threading.Thread(target=self._renew, daemon=True)
+        self.renewal.start()
         return self
 
     def __exit__(self, *_) -> None:
-        self.files.delete(self.path)
+        self.done.set()
+        self.renewal.join()
+        if self._held().get("owner") == self.owner:
+            self.files.delete(self.path)

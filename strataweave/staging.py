@@ -17,6 +17,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not named:
             named = tempfile.mkdtemp(prefix="strataweave-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -54,6 +54,19 @@ def should_trigger(re_entrant: bool, edited: DataFrame) -> bool:
     return not re_entrant and not edited.isEmpty()
 
 
+def process_lives(owner: str) -> bool:
+    """Whether the process that an owner names lives on this machine; an owner of another form counts as alive."""
+    if not owner.isdigit():
+        return True
+    try:
+        os.kill(int(owner), 0)
+    except ProcessLookupError:
+        return False
+    except (PermissionError, OverflowError):
+        return True
+    return True
+
+
 class Handoff:
     """Pending work in one file: staged before a cursor moves, claimed by a rename, put back on failure."""
 
@@ -73,8 +86,9 @@ class Handoff:
         self.files.write(self.path, json.dumps(merged))
         return merged
 
-    def claim(self, owner: str | None = None, alive: Callable[[str], bool] = lambda owner: True) -> tuple[dict, str] | None:
+    def claim(self, owner: str | None = None, alive: Callable[[str], bool] | None = None) -> tuple[dict, str] | None:
         """The pending work and its claim; first takes back claims whose owner is gone. Only one caller wins the rename."""
+        alive = alive or process_lives
         for name in self.files.names(self.folder):
             if name.startswith("pending.claim-") and not alive(name.removeprefix("pending.claim-")):
                 self.restore(f"{self.folder}/{name}")

@@ -64,18 +64,18 @@ def says(*items, at=None, kind="assistant", **more):
 
 
 TRANSCRIPT = [
-    says(item("Edit", "1", file_path="src/a.ts"), item("Read", "2", file_path="no.ts")),
+    says(item("Edit", "1", file_path="pkg/banks.py"), item("Read", "2", file_path="seen.py")),
     "{torn",
-    says(item("Write", "3", file_path="src/b.ts"), item("MultiEdit", "4", file_path="src/a.ts")),
+    says(item("Write", "3", file_path="pkg/delta.py"), item("MultiEdit", "4", file_path="pkg/banks.py")),
     says({"type": "text", "text": "hi"}),
-    says(item("NotebookEdit", "5", notebook_path="nb/c.ipynb")),
-    says(item("Edit", "6", file_path="user.ts"), kind="user"),
+    says(item("NotebookEdit", "5", notebook_path="notes/flow.ipynb")),
+    says(item("Edit", "6", file_path="typed.py"), kind="user"),
 ]
 
 
 def test_edited_files_and_steps(spark):
     rows = lines(spark, TRANSCRIPT)
-    assert [r.path for r in transcripts.edited_files(rows).collect()] == ["src/a.ts", "src/b.ts", "nb/c.ipynb"]
+    assert [r.path for r in transcripts.edited_files(rows).collect()] == ["pkg/banks.py", "pkg/delta.py", "notes/flow.ipynb"]
     steps = transcripts.context_steps(lines(spark, [says(item("Bash", "1", command="x" * 300), item("Odd", "2", other="z"))])).orderBy("item_no").collect()
     assert len(steps[0].target) == 201 and steps[1].target == ""
 
@@ -110,7 +110,7 @@ def test_cursor(spark):
     fresh = inc.cursor_of("{torn")
     got, after = inc.worked_on_since(rows, "p", fresh)
     assert got.count() == 3 and after == {"transcript_path": "p", "lines_processed": 6} and inc.cursor_of(inc.cursor_text(after)) == after
-    assert inc.worked_on_since(rows, "p", {"transcript_path": "p", "lines_processed": 3})[0].first().path == "nb/c.ipynb"
+    assert inc.worked_on_since(rows, "p", {"transcript_path": "p", "lines_processed": 3})[0].first().path == "notes/flow.ipynb"
     assert inc.worked_on_since(rows, "other", after)[0].count() == 3 and inc.worked_on_since(rows, "p", {"transcript_path": "p", "lines_processed": 99})[0].count() == 3
     assert inc.expired_cursors(spark.createDataFrame([("cursor-a.json", 8.0), ("cursor-b.json", 1.0), ("x.json", 9.0)], "name string, age_days double")).first().name == "cursor-a.json"
 
@@ -121,9 +121,9 @@ def test_handoff(spark, tmp_path):
     assert own.claim() is None
     after = inc.stop_turn(rows, "p", inc.cursor_of(None), own, session={"session_id": "s", "cwd": "c"})
     assert after["lines_processed"] == 6 and inc.stop_turn(rows, "p", inc.cursor_of(None), own, re_entrant=True)["lines_processed"] == 0
-    own.stage(["new.ts", "src/a.ts"])
+    own.stage(["new.ts", "pkg/banks.py"])
     work, claim = own.claim("1")
-    assert work["files"] == ["src/a.ts", "src/b.ts", "nb/c.ipynb", "new.ts"] and work["session"]["session_id"] == "s" and own.claim("2") is None
+    assert work["files"] == ["pkg/banks.py", "pkg/delta.py", "notes/flow.ipynb", "new.ts"] and work["session"]["session_id"] == "s" and own.claim("2") is None
     own.stage(["later.ts"])
     own.restore(claim)
     work, claim = own.claim("3", alive=lambda o: False)
@@ -138,11 +138,11 @@ def test_streaming_turns(spark, tmp_path):
     (tmp_path / "in/a.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in TRANSCRIPT))
     seen = []
     turn = lambda paths: seen.append(sorted(r.path for r in paths.collect()))
-    for text in (None, json.dumps(says(item("Read", "1", file_path="x"))), json.dumps(says(item("Edit", "1", file_path="z.ts")))):
+    for text in (None, json.dumps(says(item("Read", "1", file_path="x"))), json.dumps(says(item("Edit", "1", file_path="late.py")))):
         if text:
             (tmp_path / f"in/{len(seen)}{hash(text)}.jsonl").write_text(text)
         inc.run_turns(inc.stream_edits(spark, f"file://{tmp_path}/in"), turn, f"file://{tmp_path}/cp").awaitTermination()
-    assert seen == [["nb/c.ipynb", "src/a.ts", "src/b.ts"], ["z.ts"]]
+    assert seen == [["notes/flow.ipynb", "pkg/banks.py", "pkg/delta.py"], ["late.py"]]
 
 
 def test_files(spark, tmp_path):
