@@ -568,3 +568,6 @@ def umbrella_score(spark: SparkSession, sf: str) -> DataFrame:
     want = sets.filter("o_custkey <= 200").select(F.col("o_custkey").alias("pos"), F.col("m").alias("members"))
     have = sets.filter("o_custkey > 200").select(F.col("o_custkey").alias("flow_id"), F.col("m").alias("anchor_set"), F.array(F.lit("a"), F.lit("b")).alias("entry_points"))
     return stitch.umbrella_score(want, have).groupBy("side", "members").agg(F.count(F.lit(1)).alias("n"))
+
+
+from strataweave import queries_more  # noqa: E402, F401  (registers its queries)
