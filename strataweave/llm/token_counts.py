@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.shared import bounded, lean, resident, with_small_batches
 
 #: Entries of the broadcast table and of each sketch; pre-tokens that a worker's cache holds.
-FREQUENT, SKETCH, CACHED = 8192, 16384, 200_000
+FREQUENT, SKETCH, CACHED = 8192, 16384, 600_000
 #: Sketches of map tasks are merged in this many groups before the last merge.
 MERGES = 64
 LIMIT = 4096
@@ -79,31 +79,33 @@ def frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
 
 
 class Lengths(dict):
-    """Pre-token -> length; the broadcast tier and, after it, what this worker has met."""
+    """Pre-token -> length; the broadcast tier and, after it, what this worker has met, in two generations:
+    when CACHED are held they become the older one, of which what is met again comes back."""
 
     def __init__(self, path: str, words: bytes, ends: np.ndarray, lengths: np.ndarray):
         super().__init__()
         self.own = processor(path)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         self.first = {words[s:e].decode(): int(n) for s, e, n in zip(starts.tolist(), ends.tolist(), lengths.tolist(), strict=True)}
+        self.older: dict[str, int] = {}
         self.update(self.first)
 
     def total(self, texts: list[str]) -> list[int]:
         split = [pre_tokens(t) for t in texts]
-        missing = list({p for ps in split for p in ps if p not in self})
-        extra = {}
-        if missing:
-            found = dict(zip(missing, count_alone(self.own, missing), strict=True))
+        new = {p for ps in split for p in ps if p not in self}
+        if new:
+            found = {p: self.older[p] for p in new if p in self.older}
+            missing = list(new - found.keys())
+            found |= zip(missing, count_alone(self.own, missing), strict=True)
             if len(self) + len(found) > CACHED:
+                self.older = dict(self)
                 self.clear()
                 self.update(self.first)
-            if len(found) <= CACHED // 2:
-                self.update(found)
-            extra = found
-        if not extra:
-            return [sum(map(self.__getitem__, ps)) for ps in split]
-        get = lambda p: self[p] if p in self else extra[p] if p in extra else count_alone(self.own, [p])[0]
-        return [sum(map(get, ps)) for ps in split]
+            self.update(found)
+        return [sum(map(self.__getitem__, ps)) for ps in split]
+
+    def __missing__(self, pre_token: str) -> int:
+        return self.older[pre_token]
 
 
 def table(path: str, words: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
