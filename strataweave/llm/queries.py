@@ -69,6 +69,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+def _weights_sql() -> str:
+    return ", ".join(f"('{s}', {w})" for s, w in sorted(mixing.WEIGHTS.items()))
+
+
+def _rounds_sql(rank: str) -> str:
+    """The Feistel network as SQL: columns of the previous round by their aliases, last the place."""
+    out = [f"{rank} // d.b AS u0", f"{rank} % d.b AS v0"]
+    for r, (k0, k1, k2) in enumerate(sharding.keys(sharding.SEED)):
+        side = f"d.{'ab'[r % 2]}"
+        t = f"(((v{r} + {k0}) % {sharding.PRIME} * {k1} + {k2}) % {sharding.PRIME})"
+        out += [f"v{r} AS u{r + 1}", f"(u{r} + ({t} * {t} + v{r}) % {sharding.PRIME}) % {side} AS v{r + 1}"]
+    last = sharding.ROUNDS
+    return ", ".join([*out, f"u{last} * d.b + v{last} AS place"])
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH n AS (
@@ -97,4 +112,60 @@ ORACLES: dict[str, str] = {
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
         SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL""",
+    # Every slot of every period by itself: the earliest deadline among the released blocks.
+    "op7_mix_sources": f"""
+        WITH RECURSIVE w(pool, w) AS (VALUES {_weights_sql()}),
+        g AS (
+          SELECT doc_id, source, pool, row_number() OVER (PARTITION BY pool ORDER BY doc_id NULLS FIRST) - 1 AS g
+          FROM (SELECT *, CASE WHEN source IN (SELECT pool FROM w) THEN source ELSE '{mixing.REST}' END AS pool FROM documents)),
+        n AS (SELECT pool, w, ceil(count(*) / {mixing.BLOCK})::BIGINT AS n FROM g JOIN w USING (pool) GROUP BY ALL),
+        s(period, t, names, w, own, rest, done) AS (
+          SELECT 0, 0, list(pool ORDER BY pool), list(w ORDER BY pool), list(w ORDER BY pool), list(n ORDER BY pool), list(0 ORDER BY pool)
+          FROM n HAVING count(*) > 0
+          UNION ALL
+          SELECT * FROM (
+            SELECT CASE WHEN ended THEN period + 1 ELSE period END AS period, CASE WHEN ended THEN 0 ELSE t + 1 END AS t, names, w,
+                   CASE WHEN ended AND dry THEN list_transform(w, lambda x, i: CASE WHEN less[i] > 0 THEN x ELSE 0 END) ELSE own END AS own,
+                   CASE WHEN ended THEN less ELSE rest END AS rest,
+                   list_transform(done, lambda x, i: CASE WHEN ended THEN 0 WHEN i = pick THEN x + 1 ELSE x END) AS done
+            FROM (
+              SELECT *, t + 1 = list_sum(own) AS ended,
+                     list_bool_or(list_transform(own, lambda x, i: x > rest[i])) AS dry,
+                     list_transform(rest, lambda x, i: x - least(x, own[i])) AS less,
+                     list_min(list_transform(own, lambda x, i: CASE WHEN done[i] < x AND done[i] * list_sum(own) // x <= t
+                       THEN {{'due': ((done[i] + 1) * list_sum(own) + x - 1) // x, 'i': i}} END)).i AS pick
+              FROM s)
+          ) WHERE list_sum(rest) > 0),
+        c AS (
+          SELECT period, t, names[pick] AS pool, done[pick] AS i
+          FROM (SELECT *, list_min(list_transform(own, lambda x, i: CASE WHEN done[i] < x AND done[i] * list_sum(own) // x <= t
+                  THEN {{'due': ((done[i] + 1) * list_sum(own) + x - 1) // x, 'i': i}} END)).i AS pick FROM s)
+          WHERE done[pick] < rest[pick]),
+        b AS (
+          SELECT *, row_number() OVER (ORDER BY period, t) - 1 AS slot, row_number() OVER (PARTITION BY pool ORDER BY period, t) - 1 AS block,
+                 count(*) OVER (PARTITION BY period) AS total, count(*) OVER (PARTITION BY period, pool) AS own FROM c),
+        r AS (SELECT *, min(slot) OVER (PARTITION BY period) AS base FROM b)
+        SELECT doc_id, source, pool, block, slot, base + i * total // own AS release, base + ((i + 1) * total + own - 1) // own AS deadline,
+               row_number() OVER (ORDER BY slot, g) - 1 AS position
+        FROM (SELECT *, g // {mixing.BLOCK} AS block FROM g) JOIN r USING (pool, block)""",
+    # The checksum by its table of 256 entries; a place beyond the rows is permuted again.
+    "op8_feistel_shards": f"""
+        WITH RECURSIVE t AS (
+          SELECT list(v ORDER BY i) AS t
+          FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) r(i))),
+        e AS (
+          SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+                 list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+          FROM documents),
+        k AS (SELECT doc_id, size, xor(list_reduce([4294967295] || bytes, lambda c, y: xor(c >> 8, t[xor(c, y) % 256 + 1])), 4294967295) AS text_crc32 FROM e, t),
+        g AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM k),
+        m AS (SELECT count(*) AS n, (SELECT max(i) FROM range(100000) r(i) WHERE i * i <= greatest((SELECT count(*) FROM documents) - 1, 0)) + 1 AS a FROM g),
+        d AS (SELECT n, a, ((n + a - 1) // a)::BIGINT AS b FROM m),
+        p(row_number, x) AS (
+          SELECT row_number, place FROM (SELECT row_number, {_rounds_sql("row_number")} FROM g, d)
+          UNION ALL
+          SELECT row_number, place FROM (SELECT row_number, {_rounds_sql("x")} FROM p, d WHERE x >= d.n))
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (x % {sharding.SHARDS})::INTEGER AS shard, (x // {sharding.SHARDS})::BIGINT AS slot,
+               NULL::INTEGER AS grown_shard, row_number
+        FROM g JOIN p USING (row_number), d WHERE x < d.n""",
 }
