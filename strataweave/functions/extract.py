@@ -142,8 +142,8 @@ def sub_agents_of(source: str | None) -> Iterator[tuple[str, str | None, str]]:
 
 
 def sub_agents(docs: DataFrame, source_col: str, carry: list[str]) -> DataFrame:
-    """A row for each sub-agent that a registry declares: name, file, source_range."""
-    return _explode_with(docs, source_col, carry, "name string, file string, source_range string", sub_agents_of)
+    """A row for each sub-agent that a registry declares: name, file, source_range, ordinal."""
+    return _explode_with(docs, source_col, carry, "name string, file string, source_range string, ordinal int", lambda s: ((*x, k) for k, x in enumerate(sub_agents_of(s))))
 
 
 def bundle_links(links: DataFrame, files: DataFrame) -> DataFrame:

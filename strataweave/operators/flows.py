@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strataweave.functions import bag
 from strataweave.functions.identity import EXTERNAL_GROUP, UNATTRIBUTED, edge_key, flow_path, group_id
 from strataweave.functions.predicates import confidence
-from strataweave.operators.graph import call_edges, contract, reachable
+from strataweave.operators.closure import closure
+from strataweave.operators.graph import call_edges, contract
 
 #: What one view may hold before leaves collapse to modules.
 NODE_BUDGET, EDGE_BUDGET = 200, 400
@@ -35,7 +36,7 @@ def skeleton_flows(nodes: DataFrame, edges: DataFrame, entry_points: DataFrame)
     """
     ids = nodes.select("symbol_id", "flow_id").distinct()
     starts = entry_points.join(ids, "symbol_id")
-    reach = reachable(edges, starts.select(F.col("symbol_id").alias("key"), F.col("symbol_id").alias("node")))
+    reach = closure(edges, starts.select(F.col("symbol_id").alias("key"), F.col("symbol_id").alias("node")))
     counts = reach.groupBy(F.col("key").alias("symbol_id")).agg(F.count(F.lit(1)).alias("member_count"))
     flows = starts.join(counts, "symbol_id").groupBy("flow_id").agg(F.min(F.struct((-F.col("member_count")).alias("less"), "symbol_id")).alias("best"))
     rest = ids.join(reach.select(F.col("node").alias("symbol_id")).distinct(), "symbol_id", "left_anti").agg(F.count(F.lit(1)).alias("member_count")).filter("member_count > 0")
@@ -51,7 +52,7 @@ def ranked(flows: DataFrame) -> DataFrame:
 
 def unattributed(nodes: DataFrame, edges: DataFrame, entry_points: DataFrame) -> DataFrame:
     """Nodes (symbol_id) that no entry point reaches."""
-    reach = reachable(edges, entry_points.select(F.lit("").alias("key"), F.col("symbol_id").alias("node")))
+    reach = closure(edges, entry_points.select(F.lit("").alias("key"), F.col("symbol_id").alias("node")))
     return nodes.select("symbol_id").join(reach.select(F.col("node").alias("symbol_id")), "symbol_id", "left_anti")
 
 
@@ -66,7 +67,7 @@ def induced_members(flows: DataFrame, edges: DataFrame, bridges: DataFrame, docs
     ``flows`` (key, node) seeds; ``bridges`` (key, src, dst); ``docs`` (key, node).
     """
     seeds = flows.select("key", "node").union(bridges.select("key", F.col("dst").alias("node")))
-    return reachable(edges, seeds).select("key", "node").union(docs.select("key", "node")).distinct()
+    return closure(edges, seeds).union(docs.select("key", "node")).distinct()
 
 
 def flows_of_leaf(members: DataFrame, leaf: str) -> DataFrame:
@@ -143,9 +144,10 @@ def module_rows(modules: DataFrame) -> DataFrame:
 
 
 def flow_rows(flows: DataFrame) -> DataFrame:
-    """Store rows of flows (id, label, entry_points, anchor_set, rationale, last_synced_at); absent times are left out of the bag."""
+    """Store rows of flows (id, label, entry_points, anchor_set, rationale, last_synced_at, and skill_root of bundles); what is null is left out of the bag."""
     anchors = F.array_sort("anchor_set")
-    bag_ = F.to_json(F.struct("label", "entry_points", anchors.alias("anchor_set"), F.size(anchors).alias("member_count"), "rationale", "last_synced_at"))
+    more = ["skill_root"] if "skill_root" in flows.columns else []
+    bag_ = F.to_json(F.struct("label", "entry_points", anchors.alias("anchor_set"), F.size(anchors).alias("member_count"), "rationale", "last_synced_at", *more))
     return flows.select(
         "id", F.lit("agentic.flow").alias("kind"), F.lit("").alias("path"), F.lit(None).cast("string").alias("anchor"), F.lit("agentic").alias("layer"), bag_.alias("attributes"),
         F.lit(None).cast("map<string,string>").alias("field_ownership"), F.lit("agentic").alias("origin"), F.lit("flow").alias("intent_source"), F.lit(None).cast("string").alias("deleted_at"),

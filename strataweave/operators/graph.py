@@ -7,27 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.staging import cut
+from strataweave.operators.closure import COMPACT
+from strataweave.staging import Cuts, cut
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(key, node, depth) of all nodes that each key's seeds reach along ``edges`` (src, dst).
+    """(key, node, depth) of all nodes that each key's seeds reach along ``edges`` (src, dst), and by how many edges at least.
 
     ``seeds`` has (key, node); a seed is reached at depth 0 even if no edge knows it. Level by
-    level: a round joins the frontier only, drops what was reached before and writes what is new,
-    so cycles end and no round touches the closure again but for the anti-join.
+    level: a round joins the frontier only, drops what was reached before and writes what is new, so cycles end. Edges
+    are read once. Where depths don't matter ``closure.closure`` goes by long paths at once.
     """
-    step = edges.select("src", "dst").distinct()
-    frontier = cut(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
-    while most is None or depth < most:
-        depth += 1
-        near = frontier.join(step, frontier.node == step.src).select("key", F.col("dst").alias("node")).distinct()
-        frontier = cut(near.join(seen, ["key", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    with Cuts(edges.sparkSession) as cuts:
+        step = cut(edges.select("src", "dst").distinct())
+        frontier = cut(seeds.select("key", "node").distinct().withColumn("depth", F.lit(0)))
+        seen, depth = frontier, 0
+        while most is None or depth < most:
+            depth += 1
+            near = frontier.join(step, frontier.node == step.src).select("key", F.col("dst").alias("node")).distinct()
+            frontier = cut(near.join(seen, ["key", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+            if depth % COMPACT == 0:
+                seen = cut(seen)
+        return cuts.keep(seen)
 
 
 def call_edges(calls: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -69,18 +73,19 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seed: str, depth: int) -> t
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root): undirected components, named by their smallest node. Isolated ``nodes`` are their own."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    own = both.select(F.col("src").alias("node"))
-    own = own.union(nodes.select("node")) if nodes is not None else own
-    labels = cut(own.distinct().withColumn("root", F.col("node")))
-    while True:
-        near = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("near"))
-        low = cut(labels.join(near, "node", "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
-        up = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        labels = cut(low.join(up, "root").select("node", F.col("up").alias("root"), "old"))
-        if labels.filter("root <> old").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+    with Cuts(edges.sparkSession) as cuts:
+        both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+        own = both.select(F.col("src").alias("node"))
+        own = own.union(nodes.select("node")) if nodes is not None else own
+        labels = cut(own.distinct().withColumn("root", F.col("node")))
+        while True:
+            near = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("near"))
+            low = cut(labels.join(near, "node", "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
+            up = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            labels = cut(low.join(up, "root").select("node", F.col("up").alias("root"), "old"))
+            if labels.filter("root <> old").isEmpty():
+                return cuts.keep(labels.select("node", "root"))
+            labels = labels.select("node", "root")
 
 
 def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:

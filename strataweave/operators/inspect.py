@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import bag
 from strataweave.operators.descriptions import SOURCES, breakdown
+from strataweave.operators.sets import differing
 
 #: When name-only descriptions are too many.
 PLACEHOLDER_MIN, PLACEHOLDER_RATIO = 5, 0.5
@@ -74,20 +75,23 @@ def flow_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(flow_id, change) between two summaries: added, removed, changed.
 
     Changed is another state, bridge count, member set, seed set or breakdown; order in the lists
-    doesn't matter.
+    doesn't matter. Sets are compared by their members, spread over tasks.
     """
     cols = ["live", "bridge_count", *SOURCES, "none"]
-    sets = ["anchor_set", "entry_points"]
-    shape = lambda d, k: d.select("flow_id", F.struct(*cols, *(F.array_sort(F.array_distinct(c)).alias(c) for c in sets)).alias(k))
+    shape = lambda d, k: d.select("flow_id", F.struct(*cols).alias(k))
     both = shape(before, "a").join(shape(after, "b"), "flow_id", "full_outer")
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    return both.select("flow_id", change.alias("change")).filter("change IS NOT NULL")
+    each = lambda d: d.select(F.col("flow_id").alias("key"), F.explode(F.concat(*(F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("list"), x.alias("member"))) for c in ("anchor_set", "entry_points")))).alias("node"))
+    moved = differing(each(before), each(after)).select(F.col("key").alias("flow_id")).distinct().withColumn("moved", F.lit(True))
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when((F.col("a") != F.col("b")) | F.coalesce("moved", F.lit(False)), "changed")
+    return both.join(moved, "flow_id", "left").select("flow_id", change.alias("change")).filter("change IS NOT NULL")
 
 
 def set_changes(before: DataFrame, after: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, gained, lost) of array columns that differ as sets."""
-    both = before.select(key, F.col(col).alias("a")).join(after.select(key, F.col(col).alias("b")), key)
-    return both.select(key, F.array_except("b", "a").alias("gained"), F.array_except("a", "b").alias("lost")).filter((F.size("gained") > 0) | (F.size("lost") > 0))
+    """(key, gained, lost) of array columns that differ as sets, for keys on both sides; only what differs is listed."""
+    shared = before.select(key).join(after.select(key), key, "left_semi").distinct()
+    each = lambda d: d.join(shared, key, "left_semi").select(F.col(key).alias("key"), F.explode(col).alias("node"))
+    listed = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("node"))))
+    return differing(each(before), each(after)).groupBy(F.col("key").alias(key)).agg(listed("b").alias("gained"), listed("a").alias("lost"))
 
 
 def bridge_diff(before: DataFrame, after: DataFrame) -> DataFrame:

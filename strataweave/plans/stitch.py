@@ -9,7 +9,9 @@ from strataweave.functions.text import name_restatement
 from strataweave.functions.identity import member_name
 from strataweave.operators import flows as fl
 from strataweave.operators.bridges import corroborated
-from strataweave.operators.graph import call_edges, reachable, unresolved_calls
+from strataweave.operators.closure import closure
+from strataweave.operators.graph import call_edges, unresolved_calls
+from strataweave.operators.sets import classes
 
 STITCH = "umbrellas array<struct<label:string,seeds:array<string>,bridges:array<struct<src_id:string,dst_id:string,file:string,line:int,rationale:string>>,rationale:string>>"
 DESCRIPTIONS = "descriptions array<struct<symbol_path:string,text:string>>"
@@ -43,11 +45,11 @@ def stitched(found: DataFrame, nodes: DataFrame, calls: DataFrame) -> tuple[Data
     seeds = found.select("umbrella", F.explode("seeds").alias("path")).join(index, "path")
     edges = call_edges(calls, nodes).select("src", "dst")
     start = seeds.select(F.col("umbrella").cast("string").alias("key"), F.col("symbol_id").alias("node"))
-    reach = reachable(edges, start).select("key", "node")
+    reach = closure(edges, start)
     claims = found.select(F.col("umbrella").cast("string").alias("flow_id"), F.inline("bridges"))
     good, rest = corroborated(claims, reach.select(F.col("key").alias("flow_id"), "node"), calls, nodes)
     more = good.join(index.withColumnRenamed("path", "dst_id"), "dst_id").select(F.col("flow_id").alias("key"), F.col("symbol_id").alias("node"))
-    members = fl.paths_of(reachable(edges, start.union(more)).select("key", "node"), nodes)
+    members = fl.paths_of(closure(edges, start.union(more)), nodes)
     out = found.select(F.col("umbrella").cast("string").alias("key"), "label", "rationale", F.array_sort("seeds").alias("entry_points")).join(members, "key").withColumnRenamed("paths", "anchor_set")
     return out, good, rest
 
@@ -77,7 +79,7 @@ def described(rows: DataFrame, index: DataFrame, symbols: DataFrame, existing: D
 
 def inventory(nodes: DataFrame, calls: DataFrame, entry_points: DataFrame, described_paths: DataFrame) -> DataFrame:
     """(key, member_count, described, sites): each entry point's members, how many have a description, and unresolved calls in order of place."""
-    members = reachable(call_edges(calls, nodes).select("src", "dst"), entry_points.select(F.col("symbol_id").alias("key"), F.col("symbol_id").alias("node"))).select("key", "node")
+    members = closure(call_edges(calls, nodes).select("src", "dst"), entry_points.select(F.col("symbol_id").alias("key"), F.col("symbol_id").alias("node")))
     told = described_paths.select(F.col("symbol_id").alias("node")).distinct().withColumn("told", F.lit(1))
     counts = members.join(told, "node", "left").groupBy("key").agg(F.count(F.lit(1)).alias("member_count"), F.coalesce(F.sum("told"), F.lit(0)).alias("described"))
     sites = members.join(unresolved_calls(calls, nodes), F.col("node") == F.col("caller_id")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("file", F.col("start_line").alias("line"), "name", "caller_id"))).alias("sites"))
@@ -87,14 +89,19 @@ def inventory(nodes: DataFrame, calls: DataFrame, entry_points: DataFrame, descr
 def umbrella_score(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """(side, members) of failures: expected sets (pos, members) that no observed flow (flow_id, anchor_set, entry_points) equals, and surplus flows.
 
-    An exact partition: each observed flow of two seeds on serves one expectation at most.
+    An exact partition: each observed flow of two seeds on serves one expectation at most. Sets are told apart by
+    classes of equal members, not by their lists; a list is made of the failures only.
     """
-    key = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), "\n")
-    nth = lambda order: F.row_number().over(Window.partitionBy("k").orderBy(order))
-    want = expected.withColumn("k", key("members")).withColumn("n", nth("pos"))
-    have = observed.filter(F.size("entry_points") >= 2).withColumn("k", key("anchor_set")).withColumn("n", nth("flow_id"))
-    missing = want.join(have, ["k", "n"], "left_anti").select(F.lit("missing").alias("side"), F.col("k").alias("members"))
-    return missing.unionByName(have.join(want, ["k", "n"], "left_anti").select(F.lit("surplus").alias("side"), F.col("k").alias("members")))
+    none = F.lit(None).cast("string")
+    want = expected.select(F.concat(F.lit("want "), F.col("pos").cast("string")).alias("key"), F.lit("missing").alias("side"), F.struct("pos", none.alias("flow_id")).alias("turn"), F.col("members").alias("m"))
+    have = observed.filter(F.size("entry_points") >= 2).select(F.concat(F.lit("have "), F.col("flow_id").cast("string")).alias("key"), F.lit("surplus").alias("side"), F.struct(F.lit(None).cast(expected.schema["pos"].dataType).alias("pos"), F.col("flow_id").cast("string").alias("flow_id")).alias("turn"), F.col("anchor_set").alias("m"))
+    both = want.unionByName(have)
+    found = both.select("key", "side", "turn").join(classes(both.select("key", F.explode("m").alias("node"))), "key", "left")
+    # Of each class as many are met as there are on the side with fewer; a set without members is a class too.
+    ranked = found.withColumn("first", F.coalesce("first", F.lit(""))).withColumn("n", F.row_number().over(Window.partitionBy("first", "side").orderBy("turn")))
+    sizes = ranked.groupBy("first").agg(F.least(F.count_if(F.col("side") == "missing"), F.count_if(F.col("side") == "surplus")).alias("met"))
+    failed = ranked.join(sizes, "first").filter("n > met").select("key")
+    return both.join(failed, "key", "left_semi").select("side", F.array_join(F.array_sort(F.array_distinct("m")), "\n").alias("members"))
 
 
 def floor_score(flows: DataFrame, bridges: DataFrame, descriptions: DataFrame, expected_flows: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions import bag, identity, predicates, text
-from strataweave.operators import agreement, bridges, descriptions, flows, graph, inspect, ladder, resolve, search, trajectory, view
+from strataweave.operators import agreement, bridges, closure, descriptions, flows, graph, inspect, ladder, resolve, search, trajectory, view
 from strataweave.plans import reconcile, star_graph, stitch
 from strataweave.plans.star_graph import table
 
@@ -55,7 +55,7 @@ WITH RECURSIVE e AS ({EDGES_SQL}), r AS (
 SELECT key, node FROM r""")
 def reachable_from(spark: SparkSession, sf: str) -> DataFrame:
     roots = table(spark, sf, "region").select(F.concat(F.lit("r:"), s("r_regionkey")).alias("key")).withColumn("node", F.col("key"))
-    return graph.reachable(star_graph.edges(spark, sf), roots).select("key", "node")
+    return closure.closure(star_graph.edges(spark, sf), roots)
 
 
 @query(f"""
@@ -534,17 +534,15 @@ def viewport_cull(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT s_suppkey, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS m FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1),
 n AS (SELECT s_suppkey, list_sort(list(DISTINCT l_partkey::VARCHAR)) AS m FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_returnflag <> 'R' OR s_suppkey % 2 = 0 GROUP BY 1),
-b AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1)
+b AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1 AND (l_returnflag <> 'R' OR l_suppkey % 2 = 0))
 SELECT s.s_suppkey::VARCHAR AS flow_id, CASE WHEN b.l_suppkey IS NOT NULL AND n.m IS DISTINCT FROM s.m THEN 'body,membership' WHEN b.l_suppkey IS NOT NULL THEN 'body' ELSE 'membership' END AS reasons
-FROM s LEFT JOIN n ON n.s_suppkey = s.s_suppkey LEFT JOIN b ON b.l_suppkey = s.s_suppkey WHERE b.l_suppkey IS NOT NULL OR n.m <> s.m""")
+FROM s LEFT JOIN n ON n.s_suppkey = s.s_suppkey LEFT JOIN b ON b.l_suppkey = s.s_suppkey WHERE b.l_suppkey IS NOT NULL OR n.m IS DISTINCT FROM s.m""")
 def affected_flows(spark: SparkSession, sf: str) -> DataFrame:
     line = table(spark, sf, "lineitem")
-    sets = lambda d, c: d.groupBy(s("l_suppkey").alias("flow_id")).agg(F.array_sort(F.collect_set(s("l_partkey"))).alias(c))
-    stored = sets(line, "anchor_set").withColumn("entry_points", F.array().cast("array<string>"))
-    induced = sets(line.filter("l_returnflag <> 'R' OR l_suppkey % 2 = 0"), "paths")
+    members = lambda d: d.select(s("l_suppkey").alias("flow_id"), s("l_partkey").alias("path")).distinct()
     changed = table(spark, sf, "part").filter("p_size = 1").select(s("p_partkey").alias("path"))
-    hit = reconcile.affected(stored, induced, changed, changed)
-    return hit.select("flow_id", F.array_join("reasons", ",").alias("reasons"))
+    hit = reconcile.affected_members(members(line), members(line.filter("l_returnflag <> 'R' OR l_suppkey % 2 = 0")), changed)
+    return reconcile.reasons_of(hit).select("flow_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 #: Ownership tiers, lowest first.
 TIER_RANK = {"raw": 0, "agentic": 1, "user": 2}
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 _TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 _TYPES["strings"] = T.ArrayType(T.StringType())
@@ -27,11 +27,13 @@ EDGES = _table("key src_id dst_id kind confidence:double layer attributes field_
 PROVENANCE = _table("edge_key source_file source_range extractor_id extractor_version")
 FILE_HASHES = _table("path sha256 size:long last_seen_at")
 ANCHOR_RESOLUTION = _table("anchor status reason symbol_path content_hash span_hash resolved_at")
+#: What reconciliation keeps between turns: the call edges it saw, the seeds of each key and what they reach.
+CALL_EDGES, REACH = _table("src dst"), _table("key node")
 
 #: Tables of a store; the disposable ones may be dropped and made again.
-TABLES = {"nodes": NODES, "edges": EDGES, "edge_provenance": PROVENANCE, "file_hashes": FILE_HASHES, "anchor_resolution": ANCHOR_RESOLUTION}
-KEYS = {"nodes": ["id"], "edges": ["key"], "edge_provenance": ["edge_key", "source_file", "source_range", "extractor_id"], "file_hashes": ["path"], "anchor_resolution": ["anchor"]}
-DISPOSABLE = {"nodes": False, "edges": False, "edge_provenance": False, "file_hashes": False, "anchor_resolution": True}
+TABLES = {"nodes": NODES, "edges": EDGES, "edge_provenance": PROVENANCE, "file_hashes": FILE_HASHES, "anchor_resolution": ANCHOR_RESOLUTION, "call_edges": CALL_EDGES, "reach_seeds": REACH, "reach": REACH}
+KEYS = {"nodes": ["id"], "edges": ["key"], "edge_provenance": ["edge_key", "source_file", "source_range", "extractor_id"], "file_hashes": ["path"], "anchor_resolution": ["anchor"], "call_edges": ["src", "dst"], "reach_seeds": ["key", "node"], "reach": ["key", "node"]}
+DISPOSABLE = {"nodes": False, "edges": False, "edge_provenance": False, "file_hashes": False, "anchor_resolution": True, "call_edges": True, "reach_seeds": True, "reach": True}
 
 #: Tables of a call graph.
 CG_NODES = _table("symbol_id name file_path start_line:int kind enclosing:strings is_test:boolean docstring body_source")

@@ -1,8 +1,9 @@
-"""A versioned graph store: Parquet snapshots and one pointer that says which is current.
+"""A versioned graph store: Parquet tables and one pointer that says which version is current.
 
-A commit writes the tables of version n + 1 beside those of version n and then renames the
-pointer, so readers see one version whole and a failed writer leaves the old one in force. A
-reader pins its version when it opens. Rows are sorted by path or source within files and
+A commit writes the tables that it changed for version n + 1, notes for each table which version's folder holds
+it, and then renames the pointer, so readers see one version whole, a failed writer leaves the old one in force
+and an untouched table is never written again. A reader pins its version when it opens; ``vacuum`` removes folders that
+no kept version points at. Rows are sorted by path or source within files and
 partitioned by layer, so that file statistics serve lookups.
 """
 
@@ -22,7 +23,7 @@ from strataweave.operators import ladder
 from strataweave.schema import DISPOSABLE, KEYS, SCHEMA_VERSION, TABLES
 
 Tables = dict[str, DataFrame]
-_SORT = {"nodes": ["path"], "edges": ["src_id"], "edge_provenance": ["source_file"], "file_hashes": ["path"], "anchor_resolution": ["anchor"]}
+_SORT = {"nodes": ["path"], "edges": ["src_id"], "edge_provenance": ["source_file"], "file_hashes": ["path"], "anchor_resolution": ["anchor"], "call_edges": ["src"], "reach_seeds": ["key"], "reach": ["key"]}
 
 
 def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -131,6 +132,8 @@ class GraphStore:
         self.version = self._current() if version is None else version
         #: Tables of an open transaction, which later calls within it read and change.
         self.staged: Tables | None = None
+        #: The version whose notes were read last, and which version's folder holds each of its tables.
+        self.folders: tuple[int, dict[str, int]] | None = None
 
     @staticmethod
     def open(spark: SparkSession, path: str, read_only: bool = False) -> GraphStore | NullStore:
@@ -155,10 +158,18 @@ class GraphStore:
     def _meta(self) -> dict:
         return json.loads(self.files.read(f"{self.path}/v={self.version}/_meta.json") or "{}")
 
+    def _folder(self, name: str) -> str:
+        """Where this version's table lies: the folder of the version that wrote it last."""
+        if self.folders is None or self.folders[0] != self.version:
+            self.folders = self.version, self._meta().get("tables", {})
+        return f"{self.path}/v={self.folders[1].get(name, self.version)}/{name}"
+
     def table(self, name: str) -> DataFrame:
         if self.staged is not None:
             return self.staged[name]
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/v={self.version}/{name}")
+        path = self._folder(name)
+        # A store of an older schema lacks tables that were added since.
+        return self.spark.read.schema(TABLES[name]).parquet(path) if self.files.exists(path) else self.spark.createDataFrame([], TABLES[name])
 
     def nodes(self, include_deleted: bool = False) -> DataFrame:
         rows = self.table("nodes")
@@ -213,11 +224,12 @@ class GraphStore:
             return work(self)
         with Lock(self.files, f"{self.path}/_LOCK"):
             self.version = self._current()
-            self.staged = {n: self.table(n) for n in TABLES}
+            old = {n: self.table(n) for n in TABLES}
+            self.staged = dict(old)
             try:
                 out = work(self)
                 if not dry_run:
-                    self._publish(self.staged)
+                    self._publish({n: rows for n, rows in self.staged.items() if rows is not old[n]})
                 return out
             finally:
                 self.staged = None
@@ -310,16 +322,42 @@ class GraphStore:
         self.transaction(lambda own: own.staged.update(empty))
 
     def _publish(self, tables: Tables) -> None:
-        registry = self._meta().get("registry", {}) if self.version else {}
+        """Writes what changed as the next version; a commit that changed nothing makes none."""
+        if not tables and self.version:
+            return
+        meta = self._meta() if self.version else {}
         to = self._current() + 1
         folder = f"{self.path}/v={to}"
         self.files.delete(folder)  # what a failed writer left
+        # A table that an older schema lacked begins empty.
+        held = {n: meta.get("tables", {}).get(n, self.version) for n in TABLES} if self.version else {}
         for name, rows in tables.items():
             rows.select(*TABLES[name].names).sortWithinPartitions(*_SORT[name]).write.parquet(f"{folder}/{name}")
-        self.files.write(f"{folder}/_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "registry": registry}))
+            held[name] = to
+        self.files.write(f"{folder}/_meta.json", json.dumps({"schema_version": SCHEMA_VERSION, "registry": meta.get("registry", {}), "tables": held}))
         self.files.write(f"{self.path}/_CURRENT", str(to))
         self.version = to
 
+    def versions(self) -> list[int]:
+        """Versions that can be read."""
+        return sorted(int(n[2:]) for n in self.files.names(self.path) if n.startswith("v=") and self.files.exists(f"{self.path}/{n}/_meta.json"))
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Keeps the newest ``keep`` versions; tables of others go unless a kept version points at them."""
+        with Lock(self.files, f"{self.path}/_LOCK"):
+            found = [v for v in self.versions() if v <= self._current()]
+            kept = found[-max(keep, 1) :]
+            used = {f"v={v}/_meta.json" for v in kept}
+            for v in kept:
+                tables = json.loads(self.files.read(f"{self.path}/v={v}/_meta.json") or "{}").get("tables", {})
+                used |= {f"v={tables.get(n, v)}/{n}" for n in TABLES}
+            for v in found:
+                for name in self.files.names(f"{self.path}/v={v}"):
+                    if f"v={v}/{name}" not in used:
+                        self.files.delete(f"{self.path}/v={v}/{name}")
+                if not self.files.names(f"{self.path}/v={v}"):
+                    self.files.delete(f"{self.path}/v={v}")
+
 
 def edges_for_files(edges: DataFrame, provenance: DataFrame, files: DataFrame) -> DataFrame:
     """Edges with any provenance in ``files`` (path), once each."""

@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Open scopes of this thread, innermost last.
+_open: ContextVar[tuple[Cuts, ...]] = ContextVar("cuts", default=())
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
@@ -29,6 +33,34 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get()
 
 
+class Cuts:
+    """A ``with`` block whose cut tables are removed at its end, but for results that ``keep`` writes outside it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Cuts:
+        self.around = _open.get()
+        _open.set((*self.around, self))
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of the scope around."""
+        now = _open.get()
+        _open.set(self.around)
+        try:
+            return cut(df)
+        finally:
+            _open.set(now)
+
+    def __exit__(self, *_) -> None:
+        _open.set(self.around)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in self.paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -36,5 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
     plans multiply from join to join until a loop's planner runs out of memory.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if scopes := _open.get():
+        scopes[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -132,11 +132,81 @@ def test_bundle_ingest(spark, tmp_path):
         assert store.provenance_for_edge("skill.to_reference:demo/SKILL.md#doc->demo/ref/a.md#doc").count() == 2
         hub = store.nodes().filter("kind = 'skill.hub'").select(string_at(F.col("attributes"), "name").alias("n")).first()
         assert hub.n == "demo" and store.nodes().count() == 5
-    assert [r.file for r in ingest.declared_missing(files).collect()] == ["agents/q.md"]
-    docs, named = reconcile.skill_umbrella(files, spark.createDataFrame([("r", "agents/r.md"), ("q", "agents/q.md")], "name string, file string"), "demo")
-    assert {(r.name, r.doc_id) for r in named.collect()} == {("r", "demo/agents/r.md#doc"), ("q", None)}
-    flow, cand = reconcile.skill_flow("demo", "skills/demo", docs, named, "t")
-    assert len(flow.first().anchor_set) == 6 and cand.count() == 1
+    own = ingest.of_bundle(files, "demo", "skills/demo")
+    assert [tuple(r) for r in ingest.missing_files(own).collect()] == [("demo", "skills/demo", "agents/q.md")]
+    flow, members, cand = reconcile.skill_rows(own, "t")
+    assert len(flow.first().anchor_set) == 5 == members.count() and [r.dst_id for r in cand.collect()] == ["demo/agents/r.md#doc"]
+
+
+def bundle(k):
+    return {"SKILL.md": f"---\nname: s{k}\n---\n[a](ref/a.md)", "ref/a.md": f"[up](../SKILL.md) {k}", "meta.json": '{"sub_agents": [{"name": "r", "file": "ref/a.md"}]}'}
+
+
+def test_many_bundles_at_once_equal_single_calls(spark, tmp_path):
+    own = [(f"s{k}", f"skills/s{k}", rel, text) for k in range(4) for rel, text in bundle(k).items()]
+    files = spark.createDataFrame(own, "skill string, root string, rel string, source string")
+    one, each = (GraphStore.open(spark, f"file://{tmp_path}/{n}") for n in ("one", "each"))
+    ingest.ingest_all(one, files)
+    for k in range(4):
+        ingest.ingest(each, files.filter(F.col("skill") == f"s{k}").select("rel", "source"), f"s{k}", f"skills/s{k}")
+    for t in ("nodes", "edges", "edge_provenance"):
+        a, b = ([str(r) for r in s.table(t).collect()] for s in (one, each))
+        assert sorted(a) == sorted(b) and a
+    bad = spark.createDataFrame([("a", "x/a", "SKILL.md", " \n"), ("b", "x/b", "SKILL.md", "x"), ("b", "x/b", "meta.json", "{"), ("c", "x/c", "SKILL.md", "x"), ("c", "x/c", "meta.json", '{"sub_agents": [{"name": "n", "file": "./gone.md"}, {"name": "m", "file": "../out.md"}]}'), ("d", "x/d", "ref.md", "x")], files.schema)
+    assert {r.skill: (r.problem or "").split(" ")[0] for r in ingest.problems(bad.union(files.filter("skill = 's0'"))).collect()} == {"a": "SKILL.md", "b": "meta.json", "c": "declared", "d": "SKILL.md", "s0": ""}
+
+
+def test_reconcile_of_bundles(spark, tmp_path):
+    store = GraphStore.open(spark, f"file://{tmp_path}/s")
+
+    def turn(files, *changed, now="t"):
+        nodes, calls, entry = call_graph(spark, {"main": []}, ["main"])
+        src = CallGraphSource(nodes.withColumn("enclosing", F.array().cast("array<string>")), calls, entry, spark.createDataFrame([(p, bytearray(t.encode())) for p, t in {**files, "main.ts": "x"}.items()], "path string, content binary"))
+        return actions(reconcile.reconcile(store, src, changes(spark, *changed), now))
+
+    files = {f"sk/s0/{rel}": text for rel, text in bundle(0).items()}
+    flow = "agentic.flow:skill:s0"
+    assert turn(files, "sk/s0/ref/a.md") == {flow: "hydrate"}
+    held = {r.id: r for r in flows.stored_flows(store.nodes()).collect()}[flow]
+    assert held.anchor_set == ["s0/SKILL.md#doc", "s0/ref/a.md#doc"] and held.skill_root == "sk/s0"
+    kinds = lambda: sorted((r.kind, r.dst_id) for r in store.edges().filter("layer = 'agentic'").collect())
+    both = [("agentic.bridge", "s0/ref/a.md#doc"), *(("agentic.flow.member", d) for d in ("s0/SKILL.md#doc", "s0/ref/a.md#doc"))]
+    assert kinds() == both
+    # A degraded bundle is left as it is; a document that goes takes its member edge along.
+    assert turn({**files, "sk/s0/meta.json": "{"}, "sk/s0/meta.json") == {flow: "defer"} and kinds() == both
+    shrunk = {"sk/s0/SKILL.md": "plain"}
+    assert turn(shrunk, "sk/s0/ref/a.md", now="t2") == {flow: "resync"}
+    assert [k for k in kinds() if k[0].endswith("member")] == both[1:2] and members(store)[flow] == ["s0/SKILL.md#doc"]
+    assert turn({}, "other.ts", now="t3") == {flow: "retire"}
+
+
+def test_reconcile_goes_by_the_symbol_delta_and_absorbs_demoted_flows(spark, tmp_path):
+    store = GraphStore.open(spark, f"file://{tmp_path}/s")
+    one = {"helper": sure("leaf"), "leaf": [], "lone": []}
+    all_ = [f"{n}.ts" for n in ("main", "helper", "leaf", "lone")]
+    turn = lambda spec, entries, now, edit=(): actions(reconcile.reconcile(store, edited(source(spark, spec, entries), edit), changes(spark, *all_), now))
+    edited = lambda src, names: CallGraphSource(src.nodes.withColumn("body_source", F.when(F.col("name").isin(*names), F.concat("name", F.lit(" more"))).otherwise(F.col("body_source"))) if names else src.nodes, src.calls, src.entry_points, src.files)
+    assert turn(one, ["helper", "lone"], "t1") == {path(n)[0]: "hydrate-full" for n in ("helper", "lone")}
+    # Files are touched, but no body changed.
+    assert turn(one, ["helper", "lone"], "t2") == {}
+    assert turn(one, ["helper", "lone"], "t3", ["leaf"]) == {path("helper")[0]: "resync"}
+    assert turn(one, ["helper", "lone"], "t4", ["leaf"]) == {}
+    # helper is called by main now and no entry point any more.
+    two = {"main": sure("helper"), **one}
+    assert turn(two, ["main", "lone"], "t5", ["leaf"]) == {path("main")[0]: "hydrate-full", path("helper")[0]: "retire"}
+    assert set(members(store)) == {path("main")[0], path("lone")[0]}
+    kept = {(r.key, r.node) for r in store.table("reach").collect()}
+    assert kept == {("entry:main", n) for n in ("main", "helper", "leaf")} | {("entry:lone", "lone"), *((f"flow:{path('helper')[0]}", n) for n in ("helper", "leaf")), (f"flow:{path('lone')[0]}", "lone")}
+
+
+def test_absorbed_by_the_first_in_turn(spark):
+    m = [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1"), ("d", "9"), ("new", "1"), ("new", "2")]
+    members_ = spark.createDataFrame(m, "flow_id string, node string")
+    turns = lambda *names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "flow_id string, turn int")
+    ids = spark.createDataFrame([(x,) for x in "abcd"], "flow_id string")
+    got = lambda *names: {r.flow_id: r.absorber for r in reconcile.absorbed(ids, turns(*names), members_).collect()}
+    assert got("a", "b") == {"b": "a", "c": "a"} and got("b", "a") == {"a": "b", "c": "b"}
+    assert got("new") == {"a": "new", "b": "new", "c": "new"} and got("c") == {} and got("c", "b", "new") == {"a": "b", "b": "new", "c": "b"}
 
 
 def test_description_plan(spark):

@@ -43,11 +43,11 @@ def test_missing_store(spark, tmp_path):
 
 
 def test_round_trip_and_lookups(spark, store):
-    assert ids(store.nodes()) == ["a", "b", "c"] and store.schema_version() == 1 and store.node("b").first().path == "g"
+    assert ids(store.nodes()) == ["a", "b", "c"] and store.schema_version() == 2 and store.node("b").first().path == "g"
     assert ids(store.edges_for_files(spark.createDataFrame([("f",)], FILES)), "key") == ["ab"] and ids(store.edges_for_files(spark.createDataFrame([("g",)], FILES)), "key") == ["ab", "bc"]
     assert store.edges_for_files(spark.createDataFrame([], FILES)).count() == 0 and store.provenance_for_edge("ab").count() == 2
     store.register_table("mine", True)
-    assert ids(store.table_disposition(), "table_name") == ["anchor_resolution", "edge_provenance", "edges", "file_hashes", "mine", "nodes"]
+    assert ids(store.table_disposition(), "table_name") == ["anchor_resolution", "call_edges", "edge_provenance", "edges", "file_hashes", "mine", "nodes", "reach", "reach_seeds"]
 
 
 def test_readers_keep_their_version(spark, store):
@@ -116,3 +116,21 @@ def test_one_writer_at_a_time(store):
 
 def test_order_of_input_rows_does_not_matter(spark, store):
     assert store.nodes().orderBy(F.rand(1)).count() == 3
+
+
+def test_a_commit_writes_the_tables_it_changed_and_old_versions_stay(spark, tmp_path):
+    store = GraphStore.open(spark, f"file://{tmp_path}/s")
+    store.upsert_nodes(nodes(spark, ("a", "f", "raw"), ("b", "f", "raw")))
+    first, files = store.version, lambda: {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("part-*")}
+    before = files()
+    store.upsert_nodes(nodes(spark, ("c", "f", "raw")))
+    assert {p.split("/")[2] for p in files() - before} == {"nodes"} and before <= files()
+    assert ids(store.nodes()) == ["a", "b", "c"] and store.edges().count() == 0
+    assert ids(GraphStore(spark, store.path, version=first).nodes()) == ["a", "b"]
+    now = store.version
+    store.transaction(lambda s: None)
+    assert store.version == now
+    store.record_hashes(spark.createDataFrame([("f", "h", 1, "t")], "path string, sha256 string, size long, last_seen_at string"))
+    store.vacuum(keep=2)
+    assert ids(store.nodes()) == ["a", "b", "c"] == ids(GraphStore(spark, store.path, version=now).nodes())
+    assert not (tmp_path / "s" / f"v={first}" / "nodes").exists() and store.versions()[-2:] == [now, store.version]
