@@ -26,10 +26,12 @@ their names.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html.parser import HTMLParser
 from itertools import accumulate
 
@@ -308,37 +310,56 @@ def properties(style: str) -> tuple[dict[str, str], dict[str, str]]:
 
 
 class Sheet:
-    """The rules of style elements, by the id, the first class or the tag that their selector names."""
+    """The rules of style elements, by the rarest of the ids, classes and tags that their selector names."""
 
     def __init__(self, texts: list[str]):
-        #: Key -> selector -> what it asks for, and for each property the weight of the last rule and its value.
-        self.by: dict[str, dict[str, tuple]] = {}
-        self.known: dict[tuple, dict[str, str]] = {}
+        #: (ids, classes, tag) of a selector -> for each property and force the weight of the last rule and its value.
+        self.rules: dict[tuple[frozenset, frozenset, str | None], dict[tuple[str, bool], tuple]] = {}
         self.n = 0
         for text in texts:
             self._read(CSS_COMMENT.sub(" ", text))
+        #: Part -> the selectors under it; those without an id depend on tag and classes alone.
+        self.plain: dict[str, list[tuple]] = {}
+        self.by_id: dict[str, list[tuple]] = {}
+        often: dict[str, int] = {}
+        for selector in self.rules:
+            for part in self._parts(*selector):
+                often[part] = often.get(part, 0) + 1
+        for selector in self.rules:
+            part = min(self._parts(*selector), key=lambda x: (often[x], x), default="*")
+            (self.by_id if selector[0] else self.plain).setdefault(part, []).append(selector)
+        self.ids = {i for selector in self.rules for i in selector[0]}
+        self.known: dict[tuple, dict[tuple, tuple]] = {}
+
+    @staticmethod
+    def _parts(ids, classes, tag: str | None) -> list[str]:
+        return [*("#" + i for i in ids), *("." + c for c in classes), *([tag] if tag else [])]
 
     def _read(self, text: str) -> None:
-        at = 0
-        while (brace := text.find("{", at)) >= 0:
-            head = text[at:brace].rpartition(";")[2].strip().lower()
-            end, depth = brace, 0
-            for m in BRACE.finditer(text, brace):
+        """One scan over the braces: conditions that hold open a group of rules, other at-rules are passed over."""
+        at = begin = depth = groups = 0
+        head = ""
+        for m in BRACE.finditer(text):
+            if depth:
                 depth += 1 if m[0] == "{" else -1
-                end = m.start()
                 if not depth:
-                    break
-            else:
-                end = len(text)
-            body = text[brace + 1 : end]
-            if SCREEN.match(head):
-                self._read(body)
-            elif not head.startswith("@"):
-                self._rule(head, body.lower())
-            at = end + 1
+                    self._rule(head, text[begin : m.start()])
+                    at = m.end()
+            elif m[0] == "{":
+                head = text[at : m.start()].rpartition(";")[2].strip().lower()
+                at = begin = m.end()
+                if SCREEN.match(head):
+                    groups += 1
+                else:
+                    depth = 1
+            elif groups:
+                groups -= 1
+                at = m.end()
+        if depth:
+            self._rule(head, text[begin:])
 
     def _rule(self, head: str, body: str) -> None:
-        plain, important = properties(body)
+        plain, important = ({}, {}) if head.startswith("@") else properties(body.lower())
         if not plain and not important:
             return
         for selector in head.split(","):
@@ -348,27 +369,38 @@ class Sheet:
             parts = SIMPLE.findall(selector)
             ids, classes = [x[1:] for x in parts if x[0] == "#"], [x[1:] for x in parts if x[0] == "."]
             tag = next((x for x in parts if x[0] not in "#.*"), None)
-            key = "#" + ids[0] if ids else "." + classes[0] if classes else tag or "*"
             self.n += 1
             weight = len(ids), len(classes), bool(tag), self.n
-            values = self.by.setdefault(key, {}).setdefault(selector, (set(ids), set(classes), tag, {}))[3]
-            values |= {(name, False): (weight, value) for name, value in plain.items()} | {(name, True): (weight, value) for name, value in important.items()}
+            values = self.rules.setdefault((frozenset(ids), frozenset(classes), tag), {})
+            for force, given in ((False, plain), (True, important)):
+                for name, value in given.items():
+                    values[name, force] = max(values.get((name, force), (weight, value)), (weight, value))
+
+    def _met(self, by: dict[str, list[tuple]], parts: list[str], tag: str, classes: set[str], own_id: str) -> dict[tuple, tuple]:
+        best: dict[tuple, tuple] = {}
+        for part in parts:
+            for selector in by.get(part, ()):
+                ids, wanted, only = selector
+                if only in (None, tag) and wanted <= classes and ids <= {own_id}:
+                    for name, found in self.rules[selector].items():
+                        best[name] = max(best.get(name, found), found)
+        return best
 
     def of(self, node: Node) -> tuple[dict[str, str], dict[str, str]]:
         """What the rules give an element: plain properties and important ones."""
-        if not self.by:
+        if not self.rules:
             return {}, {}
-        look = node.tag, node.attrs.get("class", "").lower(), node.attrs.get("id", "").lower()
-        if look not in self.known:
-            tag, classes, own_id = look[0], set(look[1].split()), look[2]
-            best: dict[tuple, tuple] = {}
-            for key in ("*", tag, *("." + c for c in classes), *(["#" + own_id] if own_id else [])):
-                for ids, wanted, only, values in self.by.get(key, {}).values():
-                    if only in (None, tag) and wanted <= classes and ids <= {own_id}:
-                        for name, found in values.items():
-                            best[name] = max(best.get(name, found), found)
-            self.known[look] = tuple({name: value for (name, x), (_, value) in best.items() if x == strong} for strong in (False, True))
-        return self.known[look]
+        tag, named, own_id = node.tag, node.attrs.get("class", "").lower(), node.attrs.get("id", "").lower()
+        classes = set(named.split())
+        parts = ["*", tag, *("." + c for c in classes)]
+        if (tag, named) not in self.known:
+            self.known[tag, named] = self._met(self.plain, parts, tag, classes, "")
+        best = self.known[tag, named]
+        if own_id in self.ids:
+            best = dict(best)
+            for name, found in self._met(self.by_id, [*parts, "#" + own_id], tag, classes, own_id).items():
+                best[name] = max(best.get(name, found), found)
+        return tuple({name: value for (name, force), (_, value) in best.items() if force == strong} for strong in (False, True))
 
 
 def style_of(node: Node, sheet: Sheet) -> dict[str, str]:
@@ -405,28 +437,81 @@ class Table:
         self.groups: set[int] = set()
 
 
+class Columns:
+    """Which columns cells from above occupy, as the free runs between, in order; each change touches few runs."""
+
+    def __init__(self):
+        self.free: list[tuple[int, float]] = [(0, math.inf)]
+        #: (row at which it ends, number, run) of what was taken; runs that lay on occupied ones and wait for them.
+        self.ends: list[tuple[float, int, tuple[int, int]]] = []
+        self.waiting: list[tuple[int, int, float]] = []
+        self.n = 0
+
+    def first(self, at: int) -> int:
+        """The first free column from ``at`` on."""
+        k = bisect_right(self.free, (at, math.inf)) - 1
+        if k < 0 or self.free[k][1] <= at:
+            k += 1
+        return max(at, self.free[k][0])
+
+    def take(self, begin: int, end: int, until: float) -> None:
+        """Occupies what is free between; the rest waits until it is given back, if that is before ``until``."""
+        k = max(bisect_right(self.free, (begin, math.inf)) - 1, 0)
+        at, new, last = begin, [], k
+        while last < len(self.free) and self.free[last][0] < end:
+            a, b = self.free[last]
+            last += 1
+            low, high = max(a, begin), min(b, end)
+            if low >= high:
+                new.append((a, b))
+                continue
+            if at < low:
+                self.waiting.append((at, low, until))
+            if a < low:
+                new.append((a, low))
+            if high < b:
+                new.append((high, b))
+            self.n += 1
+            heappush(self.ends, (until, self.n, (low, high)))
+            at = high
+        if at < end:
+            self.waiting.append((at, end, until))
+        self.free[k:last] = new
+
+    def give(self, row: int) -> None:
+        """Frees what ends before ``row``."""
+        while self.ends and self.ends[0][0] <= row:
+            begin, end = heappop(self.ends)[2]
+            at = bisect_left(self.free, (begin, 0))
+            if at < len(self.free) and self.free[at][0] == end:
+                end = self.free.pop(at)[1]
+            if at and self.free[at - 1][1] == begin:
+                at -= 1
+                begin = self.free.pop(at)[0]
+            self.free.insert(at, (begin, end))
+            if self.waiting:
+                self.waiting = [w for w in self.waiting if w[2] > row]
+                mine = [w for w in self.waiting if w[0] < end and w[1] > begin]
+                for w in mine:
+                    self.waiting.remove(w)
+                for w in sorted(mine, key=lambda w: -w[2]):
+                    self.take(*w)
+
+
 def placed(table: Table) -> Iterator[list[tuple[int, list[str], int]]]:
     """Each row's cells as (first column, lines, columns): a cell stands right of those that reach down from above."""
-    carried: list[tuple[int, int, float]] = []  # (column, column after it, row after it), in order
+    above = Columns()
     for r, row in enumerate(table.rows):
         if r in table.groups:
-            carried = []
-        elif carried and min(until for _, _, until in carried) <= r:
-            carried = [x for x in carried if x[2] > r]
-        out, more, at, k = [], [], 0, 0
+            above = Columns()
+        above.give(r)
+        out, at = [], 0
         for lines, span, down in row:
-            while k < len(carried) and carried[k][0] <= at:
-                at = max(at, carried[k][1])
-                k += 1
+            at = above.first(at)
             out.append((at, lines, span))
-            until = r + down if down else float("inf")
-            if more and more[-1][1:] == (at, until):
-                more[-1] = (more[-1][0], at + span, until)
-            elif down != 1:
-                more.append((at, at + span, until))
+            if down != 1 and span:
+                above.take(at, at + span, r + down if down else math.inf)
             at += span
-        if more:
-            carried = sorted(carried + more)
         yield out
 
 

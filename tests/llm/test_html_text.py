@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -232,3 +233,69 @@ def test_cost_and_text_are_linear(html):
     began = time.process_time()
     assert len(html_text.text_of(html)) <= 12 * len(html)
     assert time.process_time() - began < 5
+
+
+def by_slots(rows, groups):
+    """Places of cells by asking every column of every row."""
+    out, held = [], {}
+    for r, row in enumerate(rows):
+        if r in groups:
+            held = {}
+        taken, at, places = {c for c, until in held.items() if until > r}, 0, []
+        for _, span, down in row:
+            while at in taken:
+                at += 1
+            places.append(at)
+            for c in range(at, at + span):
+                if down != 1:
+                    held[c] = max(held.get(c, 0), r + down if down else 10**9)
+            at += span
+        out.append(places)
+    return out
+
+
+def test_cells_that_reach_down_stand_where_slots_are_free():
+    r = random.Random(4)
+    for _ in range(3000):
+        table = html_text.Table()
+        for k in range(r.randint(1, 8)):
+            table.rows.append([(["x"], r.choice([1, 1, 2, 3]), r.choice([1, 1, 1, 2, 3, 0, 4])) for _ in range(r.randint(0, 4))])
+            if r.random() < 0.1:
+                table.groups.add(k)
+        assert [[at for at, _, _ in row] for row in html_text.placed(table)] == by_slots(table.rows, table.groups)
+
+
+def test_rules_equal_a_look_at_every_rule():
+    """Each element is asked for each rule in order; the heaviest and last says whether it is shown."""
+    r = random.Random(6)
+    for _ in range(150):
+        rules = []
+        for _ in range(r.randint(1, 8)):
+            ids, classes, tag = r.sample("xy", r.choice([0, 0, 1])), r.sample("abc", r.randint(0, 2)), r.choice(["", "", "p", "i"])
+            if ids or classes or tag:
+                rules.append((ids, classes, tag, r.choice(["none", "block"]), r.random() < 0.2, r.choice(["", "@media screen{", "@media print{", "@layer u{@media all{"])))
+        style = "".join(f"{w}{t}{''.join('#' + i for i in ids)}{''.join('.' + c for c in cs)}{{display:{v}{'!important' if force else ''}}}{'}' * w.count('{')}" for ids, cs, t, v, force, w in rules)
+        cells, want = [], []
+        for k in range(6):
+            tag, own_id, own = r.choice(["p", "div"]), r.choice(["", "x", "y"]), set(r.sample("abcd", r.randint(0, 3)))
+            cells.append(f"<{tag} id='{own_id}' class='{' '.join(own)}'>t{k}</{tag}>")
+            met = [(force, len(ids), len(cs), bool(t), n, v) for n, (ids, cs, t, v, force, w) in enumerate(rules) if "print" not in w and t in ("", tag) and set(cs) <= own and set(ids) <= {own_id}]
+            if not met or max(met)[-1] != "none":
+                want.append(f"t{k}")
+        root, sheet = html_text.parse(f"<style>{style}</style>{''.join(cells)}")
+        assert html_text.render(root, sheet).split() == want, style
+
+
+def long_pages():
+    yield "nested conditions", "<style>" + "@media screen{" * 30_000 + ".a{display:none}</style><p class=a>x<p>y"
+    yield "selectors with a common class", "<style>" + "".join(f".a.b{i}{{display:none}}" for i in range(10_000)) + "</style>" + "".join(f"<p class=a id=i{i}>t" for i in range(10_000))
+    yield "cells to the end", "<table>" + "<tr><td rowspan=9999>x" * 17_000
+    yield "cells that end at many rows", "<table>" + "".join(f"<tr><td rowspan={2 + i * 7919 % 9000}>x" for i in range(17_000))
+
+
+@pytest.mark.parametrize("name,page", list(long_pages()), ids=lambda x: x if len(x) < 40 else "")
+def test_cost_is_linear_in_odd_pages(name, page):
+    began = time.process_time()
+    root, sheet = html_text.parse(page)
+    html_text.render(root, sheet)
+    assert time.process_time() - began < 5
