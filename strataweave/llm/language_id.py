@@ -9,7 +9,8 @@ that is a probability at each length; and the mean and spread of the cross-entro
 length. A text too far above the mean for its length fits no language and is rejected.
 
 Models are fitted on a bounded sample of labelled rows, SAMPLE for each language, taken by a
-hash of id and text; predictions read every row and whole texts. Only the text is an input of a
+hash of id and text and read whole: words are counted on the cluster, and only rows that calibrate come to the
+driver as texts. Predictions read every row and whole texts. Only the text is an input of a
 prediction. A worker scores each distinct word once while it keeps it (up to CACHED words), and takes
 texts in slices of bounded bytes. What is broadcast is bounded by LANGUAGES and the sample.
 
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataweave.llm.shared import bounded, free_name, lean, with_small_batches
+from strataweave.llm.shared import bounded, free_name, lean, staged, with_small_batches
 
 #: Sampled rows for each language; characters of context and the one after; words a worker keeps.
 SAMPLE, ORDER, CACHED = 400, 5, 200_000
-#: Characters of a sampled text; languages that models are made for (an error beyond: the broadcast grows with them).
-SAMPLE_CHARS, LANGUAGES = 20_000, 500
+#: Languages that models are made for (an error beyond: what the driver fits and the broadcast grow with them).
+LANGUAGES = 500
 #: Of the sample, every HELD_BACKth row calibrates. A text is rejected that lies MARGIN bits and DEVIATIONS
 #: standard deviations for its length above the mean of its language. The margin lets texts in two languages stay.
 HELD_BACK, MARGIN, DEVIATIONS = 5, 1.25, 6.0
@@ -256,13 +257,13 @@ def fit(sample: list[tuple[str, str]]) -> Identifier:
     by: dict[str, list[str]] = defaultdict(list)
     for lang, text in sample:
         by[lang].append(text)
-    if len(by) > LANGUAGES:
-        raise ValueError(f"{len(by)} languages; models are broadcast for {LANGUAGES} at most")
-    counts, back = {}, []
-    for lang, texts in by.items():
-        held = texts[HELD_BACK - 1 :: HELD_BACK]
-        back += [(lang, x) for k, t in enumerate(held) for x in cuts(t, k)]
-        counts[lang] = Counter(w for k, t in enumerate(texts) if k % HELD_BACK != HELD_BACK - 1 for w in words(t))
+    counts = {lang: Counter(w for k, t in enumerate(texts) if k % HELD_BACK != HELD_BACK - 1 for w in words(t)) for lang, texts in by.items()}
+    return fitted(counts, {lang: texts[HELD_BACK - 1 :: HELD_BACK] for lang, texts in by.items()})
+
+
+def fitted(counts: dict[str, Counter], held: dict[str, list[str]]) -> Identifier:
+    """Models from the counts of words of each language, calibrated on texts held back."""
+    back = [(lang, x) for lang, texts in held.items() for k, t in enumerate(texts) for x in cuts(t, k)]
     own = Identifier({lang: CharModel(c) for lang, c in counts.items() if c}).ready()
     found = [(own.langs.index(lang), h, n) for (lang, _), (h, n) in zip(back, own.measured([t for _, t in back]), strict=True) if h is not None and lang in own.models]
     if not found:
@@ -284,24 +285,43 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """``rows`` labelled rows of each language at most, by a hash of id and text; never a held-out row.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE) -> DataFrame:
+    """(lang, n, text): ``rows`` labelled rows of each language at most, numbered from 1, by a hash of id and text; never a held-out row.
 
-    Repeated rows count once. The sample is cut to size on the cluster, so the driver gets a
-    bounded number of texts of bounded length: of one beyond SAMPLE_CHARS a slice, from a place that the hash gives.
+    Repeated rows count once. Labels of more than LANGUAGES values raise before anything of their number is gathered.
     """
     usable = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("full"))
+    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("full"))
     usable = usable.withColumn("h", F.pmod("full", F.lit(1 << 30)))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.2 * rows / n) * (1 << 30)))).otherwise(rate)
-    start = F.expr(f"int(pmod(full, greatest(1, length(text) - {SAMPLE_CHARS}))) + 1")
-    some = usable.filter(F.col("h") < rate).select("lang", "full", "h", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    sizes = usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; models are broadcast for so many at most")
+    rates = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.2 * rows / r["count"]) * (1 << 30))) for r in sizes], "lang string, rate long")
+    some = usable.join(F.broadcast(rates), "lang").filter("h < rate").select("lang", "full", "h", "text")
     once = some.groupBy("lang", "full").agg(F.min("h").alias("h"), F.min("text").alias("text"))
-    first = once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "full"))).filter(F.col("n") <= rows)
-    return [(r["lang"], r["text"]) for r in first.orderBy("lang", "n").collect()]
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "full"))).filter(F.col("n") <= rows).select("lang", "n", "text")
+
+
+def learned(sample: DataFrame) -> Identifier:
+    """Models from a sample (lang, n, text): words are counted where the texts are, every HELD_BACKth row calibrates."""
+    own = staged(sample, "language-sample")
+    back = F.col("n") % HELD_BACK == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 1):
+            found = Counter((lang, w) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in words(t))
+            if found:
+                langs, ws = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ws, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
+    each = own.filter(~back).select("lang", "text").mapInArrow(lean(run), "lang string, word string, n long")
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for r in each.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toLocalIterator():
+        counts[r["lang"]][r["word"]] = r["n"]
+    held: dict[str, list[str]] = defaultdict(list)
+    for r in own.filter(back).orderBy("lang", "n").toLocalIterator():
+        held[r["lang"]].append(r["text"])
+    return fitted(counts, held)
 
 
 def predict(docs: DataFrame, model: Identifier, text_col: str = "text", carry: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -327,13 +347,13 @@ def predict(docs: DataFrame, model: Identifier, text_col: str = "text", carry: l
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each document; learned from the rows not held out."""
-    model = fit(training_sample(docs, id_col, text_col, lang_col))
+    model = learned(training_sample(docs, id_col, text_col, lang_col))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return predict(own, model, carry=["doc_id"]).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their columns."""
-    model = fit(training_sample(docs, id_col, text_col, lang_col))
+    model = learned(training_sample(docs, id_col, text_col, lang_col))
     names = tuple(free_name(docs, f"__{c}") for c in ("lang_pred", "score", "rejected"))
     return predict(docs, model, text_col, names=names).filter(~F.col(names[2])).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -106,8 +106,8 @@ def test_no_labels_and_no_rows(docs):
 @pytest.mark.parametrize("rows_", [1, 5])
 def test_sample_is_bounded_and_has_no_held_out_row(docs, rows_):
     df = docs([(i, f"t{i}", "s", "aa") for i in range(100)])
-    sample = L.training_sample(df, "doc_id", "text", "lang", rows_)
-    assert len(sample) <= rows_ and all(zlib.crc32(t[1:].encode()) % 4 != 2 for _, t in sample)
+    sample = L.training_sample(df, "doc_id", "text", "lang", rows_).collect()
+    assert len(sample) <= rows_ and all(zlib.crc32(r.text[1:].encode()) % 4 != 2 for r in sample) and sorted(r.n for r in sample) == list(range(1, len(sample) + 1))
 
 
 def test_scores_and_rejection_on_short_slices():
@@ -127,10 +127,22 @@ def test_carried_columns_of_any_name_and_repeated_ids(docs):
     assert all(r["__score"] == "__score" and r["a.b"] == "a.b" for r in got.collect())
     # One id all over: rows are told apart by their text, and a sample is drawn.
     one = docs([(8, text("az"[i % 2] * 2, i), "s", "az"[i % 2] * 2) for i in range(200)])
-    assert zlib.crc32(b"8") % 4 != 2 and 20 <= len(L.training_sample(one, "doc_id", "text", "lang", 20)) <= 40
+    assert zlib.crc32(b"8") % 4 != 2 and 20 <= L.training_sample(one, "doc_id", "text", "lang", 20).count() <= 40
 
 
-def test_long_texts_are_sampled_in_slices(docs, monkeypatch):
-    monkeypatch.setattr(L, "SAMPLE_CHARS", 50)
-    sample = L.training_sample(docs([(i, text("aa", i, 400), "s", "aa") for i in range(20)]), "doc_id", "text", "lang")
-    assert sample and all(len(t) == 50 for _, t in sample)
+def test_sampled_texts_are_whole_and_counted_where_they_are(docs):
+    df = docs([(i, text("aa" if i % 2 else "zz", i, 300 + i), "s", "aa" if i % 2 else "zz") for i in range(60)])
+    sample = L.training_sample(df, "doc_id", "text", "lang")
+    own = [(r.lang, r.text) for r in sample.orderBy("lang", "n").collect()]
+    assert all(len(L.words(t)) >= 300 for _, t in own)
+    one, two = L.learned(sample).ready(), L.fit(own).ready()
+    asked = [text(lang, 99, n) for lang in ("aa", "zz") for n in (1, 3, 40)]
+    for (h, n), (h2, n2) in zip(one.measured(asked), two.measured(asked), strict=True):
+        assert n == n2 and np.allclose(h, h2)
+        assert one.decide(h, n)[0] == two.decide(h2, n2)[0] and abs(one.decide(h, n)[1] - two.decide(h2, n2)[1]) < 1e-9
+
+
+def test_too_many_languages_raise_before_they_are_gathered(docs, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        L.identify(docs([(i, "abc", "s", f"l{i}") for i in range(100)]))
