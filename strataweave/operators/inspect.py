@@ -80,7 +80,11 @@ def flow_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     cols = ["live", "bridge_count", *SOURCES, "none"]
     shape = lambda d, k: d.select("flow_id", F.struct(*cols).alias(k))
     both = shape(before, "a").join(shape(after, "b"), "flow_id", "full_outer")
-    each = lambda d: d.select(F.col("flow_id").alias("key"), F.explode(F.concat(*(F.transform(c, lambda x, c=c: F.struct(F.lit(c).alias("list"), x.alias("member"))) for c in ("anchor_set", "entry_points")))).alias("node"))
+
+    def each(d: DataFrame) -> DataFrame:
+        lists = [d.select(F.col("flow_id").alias("key"), F.explode(c).alias("member")).select("key", F.struct(F.lit(c).alias("list"), "member").alias("node")) for c in ("anchor_set", "entry_points")]
+        return lists[0].union(lists[1])
+
     moved = differing(each(before), each(after)).select(F.col("key").alias("flow_id")).distinct().withColumn("moved", F.lit(True))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when((F.col("a") != F.col("b")) | F.coalesce("moved", F.lit(False)), "changed")
     return both.join(moved, "flow_id", "left").select("flow_id", change.alias("change")).filter("change IS NOT NULL")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.operators.ordinals import numbered, running_max
+
 
 def match_spans(records: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """The span (launch_at, result_at, pos, …) of each record (…, at, record_id) under ``key``.
@@ -14,7 +16,8 @@ def match_spans(records: DataFrame, spans: DataFrame, key: list[str]) -> DataFra
     The last span that holds the record's time; else the latest launch at or before it; else the
     last launch. A span stands in the one or two cells, as wide as the next power of two of its length, that it
     touches, and a record looks into its cell of each width there is (64 at most); so it meets spans
-    near its time, not all of its key. The latest launch is a running maximum in time order.
+    near its time, not all of its key. The latest launch is a running maximum in time order, which
+    each partition of a range takes by itself but for one launch that is carried in, so a key with very many records is spread.
     """
     own = [c for c in spans.columns if c not in key]
     told = spans.select(*key, F.struct(*own).alias("span"))
@@ -35,8 +38,8 @@ def match_spans(records: DataFrame, spans: DataFrame, key: list[str]) -> DataFra
     launch = F.struct(F.col("span.launch_at").alias("t"), F.col("span.pos").alias("p"), "span")
     both = found.select(*key, F.col("at").alias("__t"), F.lit(1).alias("__k"), "record_id", F.lit(None).cast(told.select(launch.alias("x")).schema["x"].dataType).alias("__l"))
     both = both.unionByName(told.filter("span.launch_at IS NOT NULL").select(*key, F.col("span.launch_at").alias("__t"), F.lit(0).alias("__k"), launch.alias("__l")), allowMissingColumns=True)
-    running = F.max("__l").over(Window.partitionBy(*key).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0))
-    before = both.withColumn("__l", running).filter("__k = 1 AND __t IS NOT NULL").select("record_id", F.col("__l.span").alias("__before"))
+    timed = running_max(both.filter("__t IS NOT NULL"), key, ["__t", "__k"], "__l", "__best")
+    before = timed.filter("__k = 1").select("record_id", F.col("__best.span").alias("__before"))
     last = told.groupBy(*key).agg(F.max_by("span", F.col("span.pos")).alias("__last"))
     out = out.join(before, "record_id", "left").join(last, key, "left")
     rank = F.when(F.col("__in").isNotNull(), 2).when(F.col("__before").isNotNull(), 1).when(F.col("__last").isNotNull(), 0)
@@ -69,12 +72,11 @@ def availability(records: DataFrame) -> DataFrame:
 def spine(run_id: str, parts: list[DataFrame]) -> DataFrame:
     """Steps of four kinds (kind, pos, at, summary, detail) in one order with a contiguous ordinal from 0.
 
-    ``parts`` come in the order of the kinds; a stitch part belongs to the newest record only. A run's
-    steps are bounded by its transcript, and are numbered as one array.
+    ``parts`` come in the order of the kinds; a stitch part belongs to the newest record only.
     """
     each = reduce(DataFrame.unionByName, (p.select(F.lit(i).alias("part"), "pos", "kind", "at", "summary", "detail") for i, p in enumerate(parts)))
-    listed = each.agg(F.array_sort(F.collect_list(F.struct("part", "pos", "kind", "at", "summary", "detail"))).alias("steps"))
-    return listed.select(F.posexplode("steps").alias("ordinal", "s")).select(F.lit(run_id).alias("run_id"), "ordinal", "s.kind", "s.at", "s.summary", "s.detail")
+    steps = numbered(each, ["part", "pos", "kind", "at", "summary", "detail"], "ordinal")
+    return steps.select(F.lit(run_id).alias("run_id"), F.col("ordinal").cast("int").alias("ordinal"), "kind", "at", "summary", "detail")
 
 
 def rendered(steps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.identity import display_name
 from strataweave.functions.predicates import in_viewport, is_inferred
 from strataweave.operators.graph import components
+from strataweave.operators.ordinals import numbered
 
 
 def culled(boxes: DataFrame, view: tuple[float, float, float, float], buffer: float = 100) -> DataFrame:
@@ -42,9 +43,8 @@ def grid(nodes: DataFrame, edges: DataFrame, cell: float = 250) -> DataFrame:
 
 
 def cluster_numbers(modules: DataFrame, pos: str = "pos") -> DataFrame:
-    """Modules with their index in input order. For views within the budget."""
-    listed = modules.agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), "module"))).alias("m"))
-    return listed.select(F.posexplode("m").alias("cluster", "x")).select("x.module", "cluster")
+    """Modules (module, cluster) with their index in the order of ``pos``."""
+    return numbered(modules.select("module", F.col(pos).alias("pos")), ["pos", "module"], "cluster").select("module", F.col("cluster").cast("int").alias("cluster"))
 
 
 def parents_first(nodes: DataFrame, pos: str = "pos") -> DataFrame:

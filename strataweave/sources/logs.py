@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataweave.operators.flows import last_wins
@@ -23,16 +23,21 @@ VERDICTS = ("good", "bad", "mixed")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, line_no) of a text file; none for a missing one. Numbers follow the file order.
+    """(line, line_no) of a text file; none for a missing one. Numbers follow the file order, empty lines count and are left out.
 
-    A log is read as one split, so its order is the file's; logs of this kind are small beside the data
-    that they describe. Larger ones belong in a table with an explicit ordinal.
+    The file is read by ranges of bytes that are cut at line ends; a line's number is the lines of earlier ranges and its
+    place in its own, so a log of any length is read by many tasks.
     """
     if not Files(spark).exists(path):
         return spark.createDataFrame([], "line string, line_no long")
-    whole = spark.read.text(path, wholetext=True)
-    each = whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
-    return each.select(F.regexp_replace("line", "\r$", "").alias("line"), F.col("line_no").cast("long").alias("line_no")).filter("line <> ''")
+    raw = spark.read.option("lineSep", "\n").text(path)
+    each = raw.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"))
+    # Rows of a range follow one another in one task, whatever ranges a task reads.
+    sizes = each.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("f", "b", "low", before.alias("before")))
+    own = each.join(offsets, ["f", "b"]).select(F.regexp_replace("value", "\r$", "").alias("line"), (F.col("before") + F.col("at") - F.col("low")).alias("line_no"))
+    return own.filter("line <> ''")
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
