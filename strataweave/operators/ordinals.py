@@ -29,8 +29,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     return own.join(offsets, PART).select(*(own[c] for c in df.columns), (F.col("__before") + F.col(PLACE)).alias(name))
 
 
-def running_max(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the greatest ``value`` of its key up to each row in ``order`` as column ``name``; nulls count as nothing.
+def running_max(df: DataFrame, key: list[str], order: list[str], value: str, name: str, before: bool = False) -> DataFrame:
+    """``df`` with the greatest ``value`` of its key up to each row in ``order`` as column ``name``, or of the rows ``before`` it; nulls count as nothing.
 
     A partition's rows are compared among themselves; of the key that a partition ends with, the greatest
     value so far is carried to the partitions that begin with it.
@@ -43,8 +43,8 @@ def running_max(df: DataFrame, key: list[str], order: list[str], value: str, nam
     # One row for each partition's last key and one for its first, in order; a first key takes what came before it.
     begun = ends.select(F.col("__first").alias("__of_key"), PART, F.lit(False).alias("__tail"), F.lit(None).cast(own.schema[value].dataType).alias("__most"))
     each = tails.select("__of_key", PART, F.lit(True).alias("__tail"), "__most").unionByName(begun)
-    before = F.max("__most").over(Window.partitionBy("__of_key").orderBy(PART, "__tail").rowsBetween(Window.unboundedPreceding, -1))
-    carried = F.broadcast(each.withColumn("__carry", before).filter("NOT __tail").select(F.col(PART).alias("__of_part"), "__of_key", "__carry"))
-    local = F.max(value).over(Window.partitionBy(PART, *key).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.max("__most").over(Window.partitionBy("__of_key").orderBy(PART, "__tail").rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.broadcast(each.withColumn("__carry", earlier).filter("NOT __tail").select(F.col(PART).alias("__of_part"), "__of_key", "__carry"))
+    local = F.max(value).over(Window.partitionBy(PART, *key).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
     out = own.withColumn("__local", local).join(carried, (F.col(PART) == F.col("__of_part")) & (keys == F.col("__of_key")), "left")
     return out.select(*(F.col(c) for c in df.columns), F.greatest("__local", "__carry").alias(name))

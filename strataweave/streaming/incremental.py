@@ -145,19 +145,11 @@ def run_turns(stream: DataFrame, turn: Callable[[DataFrame], None], checkpoint:
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds", key: str = "path", at: str = "ts") -> DataFrame:
-    """Bursts of events (key, at) as one row each: first, last and number."""
+    """Bursts of events (key, at) as one row each: first, last and number. A stream needs a watermark on ``at``."""
     w = F.session_window(at, gap).alias("w")
     return events.groupBy(key, w).agg(F.count(F.lit(1)).alias("events")).select(key, F.col("w.start").alias("first"), F.col("w.end").alias("until"), "events")
 
 
-def store_changes(spark: SparkSession, store_path: str, on_change: Callable[[int], None], known: int = 0) -> int:
-    """Tells ``on_change`` of a newer version of a store than ``known``; returns the version now."""
-    now = int(Files(spark).read(f"{store_path.rstrip('/')}/_CURRENT") or 0)
-    if now != known:
-        on_change(now)
-    return now
-
-
 def first_seen(rows: DataFrame, key: list[str], pos: str, cursor: int = 0) -> DataFrame:
     """Each key's first place at or past a cursor."""
     return rows.filter(F.col(pos) >= cursor).groupBy(*key).agg(F.min(pos).alias("first"))
