@@ -40,9 +40,9 @@ from strataweave.llm.shared import bounded, lean, with_small_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of spans in the order in which they are written; secrets are added spans only.
 ALL_KINDS = (*KINDS, "secret")
-EXAMPLES, SEED, PRECISION = 9000, 7, 0.995
-#: Characters read before and after a candidate.
-CONTEXT = 32
+EXAMPLES, SEED, PRECISION = 18000, 7, 0.995
+#: Characters read before and after a candidate; of a word that may be a key without a sign of it.
+CONTEXT, LONG = 32, 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -52,14 +52,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Generators of further candidates.
-AT_SIGN = re.compile(r" ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| at (?=[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+)")
-AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++)++")
+AT_SIGN = re.compile(r" ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?| at (?=[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+)| AT (?=[A-Za-z0-9-]++(?: DOT [A-Za-z0-9-]++)+)")
+AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]++| dot [A-Za-z0-9-]++| DOT [A-Za-z0-9-]++)++")
+#: A dot in words before the sign for at; the part before it belongs to the address.
+DOT_BEFORE = re.compile(r" (?:dot|DOT) \Z| ?[\[({<] ?(?:dot|DOT|\.) ?[\])}>] ?\Z")
 GROUP = re.compile(r"[0-9]+")
-#: Groups of digits that may be parts of one number.
-GROUPS = 6
+IP_APART = re.compile(r"(?<![0-9.])[0-9]{1,3}+(?: ?[\[({] ?(?:\.|dot|DOT) ?[\])}] ?[0-9]{1,3}+){3}(?![0-9])")
 IP6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]*+:[0-9A-Fa-f:]++(?![0-9A-Za-z])")
-ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private)[_ -]?key)s?[\"']?\s?[:=]\s?[\"']?([^\s\"'<>]{6,}+)")
-KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
+ASSIGNED = re.compile(r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private)[_ -]?key)s?[\"']?\s?(?:[:=]|is\s|was\s)\s?[\"']?([^\s\"'<>]{6,}+)")
+#: Long words of keys; parts that stand between dots belong together where more than one looks like a key.
+KEY = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]++(?:\.[A-Za-z0-9_+/=-]++)*+")
 
 CUES = {
     "email": ("mail", "contact", "write", "reach", "courriel", "correo"),
@@ -119,6 +121,10 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
         s = m.start()
         while s and text[s - 1] in LOCAL:
             s -= 1
+        while s and (dot := DOT_BEFORE.search(text, max(0, s - 8), s)) and dot.start() and text[dot.start() - 1] in LOCAL:
+            s = dot.start()
+            while s and text[s - 1] in LOCAL:
+                s -= 1
         right = AFTER_AT.match(text, m.end())
         if right and s < m.start():
             out.add((s, right.end(), "email"))
@@ -128,7 +134,7 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
             total, before = 0, text[s - 1 : s]
             first = s - (before in ("(", "+"))
             first -= first < s and before == "(" and text[first - 1 : first] == "+"
-            for a, e in groups[i : i + GROUPS]:
+            for a, e in groups[i : i + 19]:  # a group has a digit at least, a number 19 at most
                 if a > s and a - last > 3:
                     break
                 total, last = total + e - a, e
@@ -143,14 +149,27 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, s
             parts = m[0].split(":")
             if len(parts) > 2 and max(map(len, parts)) <= 4 and len(parts) <= 9:
                 out.add((*m.span(), "ip"))
+    out |= {(*m.span(), "ip") for m in IP_APART.finditer(text)}
     out |= {(*m.span(1), "secret") for m in ASSIGNED.finditer(text)}
     for m in KEY.finditer(text):
-        own = m[0]
-        if any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own):
-            out.add((*m.span(), "secret"))
+        if m.end() - m.start() < LONG:
+            continue
+        parts, at = [], m.start()
+        for own in m[0].split("."):
+            parts.append((at, at + len(own), own))
+            at += len(own) + 1
+        alike = [x for x in parts if len(x[2]) >= 10 and mixed_word(x[2])]
+        if len(alike) > 1:
+            out.add((alike[0][0], m.end(), "secret"))
+        else:
+            out |= {(s, e, "secret") for s, e, own in parts if e - s >= LONG and mixed_word(own)}
     return sorted(out)
 
 
+def mixed_word(own: str) -> bool:
+    return any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own)
+
+
 def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
@@ -206,7 +225,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, s
 
     def example() -> tuple[str, str, str, str, str, bool]:
         """kind, text before the candidate, candidate, text after, word that leads, whether it counts."""
-        x = r.randrange(24)
+        x = r.randrange(30)
         at = r.choice(["[at]", "(at)", " [at] ", " (AT) ", "<at>", " at "])
         dot = r.choice(["[dot]", "(dot)", ".", " [dot] ", "."]) if at != " at " else " dot "
         if x < 3:
@@ -216,14 +235,22 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, s
         phone = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}"])
         if x < 7:
             a, b = r.choice(["-", ".", " "]), r.choice(["-", ".", " "])
-            form = r.choice([phone, f"({digits(3)}) {digits(3)}{a}{digits(4)}", f"0{digits(3)}{a}{digits(3)}{b}{digits(4)}", f"{digits(3)}{a}{digits(3)}{a}{digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
+            form = r.choice([phone, f"({digits(3)}) {digits(3)}{a}{digits(4)}", f"0{digits(3)}{a}{digits(3)}{b}{digits(4)}", f"{digits(3)}{a}{digits(3)}{a}{digits(4)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"00 {digits(2)} {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", " ".join("0" + digits(9))])
+            cut = max(form.rfind(c) for c in " -.") if r.random() < 0.15 and not form.startswith(("+", "(")) else 0
+            if cut > 0:  # a part of a number isn't one
+                return "phone", "", form[:cut], form[cut:], r.choice(CUES["phone"]), False
             return "phone", "", form, "", r.choice(CUES["phone"]), True
         if x == 7:
             return "phone", "", r.choice([f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)}-{digits(2)}-{digits(5)}", f"{digits(3)}.{digits(3)}.{digits(3)}"]), "", r.choice(CUES["other"]), False
         if x == 8:
             return "phone", "", r.choice([f"{digits(3)} {digits(4)}", f"{digits(5)} {digits(5)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(2)}.{digits(2)}.{digits(3)}", digits(9), digits(12)]), "", r.choice([word(), *CUES["other"]]), False
         if x < 11:
-            return "card", "", grouped(card(), r.choice([".", "  ", " - ", "-"])), "", r.choice(CUES["card"]), True
+            sep = r.choice([".", "  ", " - ", "-"])
+            form = grouped(card(), sep)
+            if r.random() < 0.2:  # nor is a part of a card number
+                cut = form.rfind(sep)
+                return r.choice(["phone", "card"]), "", form[:cut], form[cut:], r.choice(CUES["card"]), False
+            return "card", "", form, "", r.choice(CUES["card"]), True
         if x == 11:
             return "card", "", grouped(digits(r.choice([12, 14, 15, 16])), r.choice([".", "  ", "-", " "])), "", r.choice([word(), *CUES["other"]]), False
         if x == 12:  # a phone and a card number side by side: each counts, what takes parts of both doesn't
@@ -240,7 +267,26 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int, int, s
             return "secret", f"{r.choice(['password', 'token', 'secret', 'api_key', 'passwd', 'pwd', 'access_key', 'auth_key'])}{r.choice(['=', ' = ', ': '])}{quote}", value, quote, word(), True
         if x < 20:
             return "secret", "", r.choice(["AKIA", "ASIA"]) + pick(16, capitals) if r.random() < 0.5 else r.choice(["sk_live_", "ghp_", "xoxb-", "glpat-"]) + pick(r.randint(20, 36), mixed), "", r.choice([word(), "key", "token", "with"]), True
-        if x < 23:
+        if x < 26:  # what an author of a text hides or writes out otherwise
+            host = f"{word()} dot {r.choice(['com', 'org', 'net', 'de', 'io'])}"
+            told = f"{word()} dot {word()} at {host}" if r.random() < 0.5 else f"{word()} at {host}"
+            return r.choice([
+                ("email", "", told.upper() if r.random() < 0.4 else told, "", r.choice([word(), *CUES["email"]]), True),
+                ("ip", "", r.choice(["[.]", "(.)", "[dot]"]).join(str(r.randrange(256)) for _ in range(4)), "", r.choice([word(), *CUES["ip"]]), True),
+                ("secret", f"{r.choice(['password', 'passwd', 'pwd', 'passphrase'])}{r.choice([': ', '=', ' = ', ' is '])}", word() + digits(r.randint(1, 4)), "", word(), True),
+                ("secret", r.choice(["bearer ", "token ", "authorization: bearer ", ""]), f"eyJ{pick(r.randint(12, 30), mixed)}.{pick(r.randint(16, 60), mixed)}.{pick(r.randint(16, 43), mixed + '-_')}", "", r.choice([word(), "token", "auth"]), True),
+            ])
+        if x < 28:  # identifiers that hold long numbers or look like keys
+            uuid = [pick(k, hexa) for k in (8, 4, 4)] + [r.choice("abcdef") + digits(3), digits(12)]
+            iban = f"{r.choice(['DE', 'FR', 'ES', 'GB', 'NL'])}{digits(2)}{r.choice(['', pick(4, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')])}{digits(r.randint(14, 18))}"
+            return r.choice([
+                ("phone", "-".join(uuid[:3]) + "-" + uuid[3][0], f"{uuid[3][1:]}-{uuid[4]}", "", word(), False),
+                ("phone", "-".join(uuid[:4]) + "-", uuid[4], "", word(), False),
+                ("secret", "", iban, "", r.choice(["iban", "account", "konto", word()]), False),
+                ("secret", "", f"{word()}.{word()}{digits(2)}.{word()}/{word()}{digits(3)}/{word()}.html", "", r.choice([word(), "see", "http"]), False),
+                ("secret", f"{r.choice(['password', 'token', 'secret', 'key'])} is ", r.choice([word() + "ing", f"{word()}ed.", f"{word()}{word()},"]), "", word(), False),
+            ])
+        if x < 29:
             path = "/".join(word() for _ in range(4))
             value = r.choice([pick(40, hexa), pick(64, hexa), "-".join(pick(k, hexa) for k in (8, 4, 4, 4, 12)), f"{path}/{digits(2)}", f"{word()}-{word()}-{word()}-{digits(3)}", f"{word()}_{word()}_{word()}{digits(2)}", "=" * 16 + digits(1) + word()])
             return "secret", "", value, "", r.choice(["commit", "sha", "hash", "digest", "checksum", "uuid", "file", "see", "id"]), False
@@ -275,7 +321,7 @@ def selector() -> Selector:
     x = np.array([features(*row[:4], row[5]) for row in rows], float)
     y = np.array([row[4] for row in rows], float)
     held = np.arange(len(y)) % 3 == 2
-    trees = BoostedTrees().fit(x[~held], y[~held]).calibrate(x[held], y[held])
+    trees = BoostedTrees(trees=90).fit(x[~held], y[~held]).calibrate(x[held], y[held])
     p, kinds, thresholds = trees.probability(x[held]), [row[3] for row, h in zip(rows, held, strict=True) if h], {}
     for kind in ALL_KINDS:
         own = sorted(((a, b) for a, b, k in zip(p, y[held], kinds, strict=True) if k == kind), reverse=True)

@@ -126,3 +126,27 @@ def test_many_spans_cost_in_proportion():
     began = time.process_time()
     (base, more), = pii.spans_of(["1.2.3.4 +1 555 123 4567 " * 16000], own)
     assert len(base) == 32000 and not more and time.process_time() - began < 6
+
+
+def test_whole_spans_and_nothing_within_identifiers():
+    want = {
+        "00 33 6 12 34 56 78 call": "00 33 6 12 34 56 78", "tel 0 6 1 2 3 4 5 6 7 8 ok": "0 6 1 2 3 4 5 6 7 8",
+        "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U x": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U",
+        "write jane dot doe at example dot com now": "jane dot doe at example dot com", "WRITE JANE AT EXAMPLE DOT COM NOW": "JANE AT EXAMPLE DOT COM", "host 10[.]1[.]22[.]3 down": "10[.]1[.]22[.]3",
+        "password: hunter2": "hunter2", "password=hunter22": "hunter22", "my password is hunter22": "hunter22",
+        "id 550e8400-e29b-41d4-a716-446655440000 ok": None, "iban DE89370400440532013000 ok": None, "the password is required.": None, "see www.example.com/path12/page3.html": None, "we meet at noon dot": None,
+    }
+    for t, span in want.items():
+        (base, more), = pii.spans_of([t], pii.selector())
+        assert [t[s:e] for s, e, _ in base + more] == ([span] if span else []), t
+
+
+@pytest.mark.parametrize("shape", ["1 ", "1", "12 ", "a.b1c2d3e4f5.", "x dot ", "1[.]", "password is ", " at x dot y", "eyJ1.", "++"])
+def test_cost_is_linear_in_long_runs(shape):
+    own, cost = pii.selector(), []
+    for n in (20_000, 80_000):
+        t = (shape * n)[:n]
+        began = time.process_time()
+        pii.spans_of([t], own)
+        cost.append(time.process_time() - began)
+    assert cost[1] < 8 * cost[0] + 0.5
