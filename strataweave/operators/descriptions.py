@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.bag import string_at
 from strataweave.functions.identity import DESCRIPTION_PREFIX, description_id
 from strataweave.operators.flows import last_wins
+from strataweave.staging import cut
 
 #: Members a pass may describe, and sources of a description.
 DESCRIBE_CAP = 200
@@ -17,11 +18,11 @@ SOURCES = ("docstring", "provisional", "placeholder", "llm")
 def capped(df: DataFrame, order: list, cap: int) -> DataFrame:
     """``df`` with within_cap: whether a row is among the first ``cap`` in order; exactly so many are.
 
-    Only the boundary row is found by a top-k; a comparison with it marks the rest, so no row
-    crosses the network for a global window. Rows of one order go by a hash of all their columns; only
+    The input is read once and written; the boundary row is found by a top-k, and a comparison with it marks
+    the rest, so no row crosses the network for a global window. Rows of one order go by a hash of all their columns; only
     copies of the boundary row, equal in every column, are numbered.
     """
-    own = df.withColumn("__b", F.struct(*order, F.xxhash64(*df.columns).alias("__h")))
+    own = cut(df.withColumn("__b", F.struct(*order, F.xxhash64(*df.columns).alias("__h"))))
     top = own.select("__b").orderBy("__b").limit(cap).groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
     boundary = F.broadcast(top.agg(F.max("__b").alias("__last"), F.max_by("n", "__b").alias("__n")))
     marked = own.crossJoin(boundary)

@@ -568,4 +568,4 @@ def umbrella_score(spark: SparkSession, sf: str) -> DataFrame:
     return stitch.umbrella_score(want, have).groupBy("side", "members").agg(F.count(F.lit(1)).alias("n"))
 
 
-from strataweave import queries_incremental, queries_more, queries_store  # noqa: E402, F401  (register their queries)
+from strataweave import queries_incremental, queries_more, queries_store, queries_views  # noqa: E402, F401  (register their queries)
