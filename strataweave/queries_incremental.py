@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.operators import closure, sets
@@ -15,7 +15,7 @@ from strataweave.sources.files import CallGraphSource
 from strataweave.staging import shared_folder
 
 
-def of(prefix: str, col) -> F.Column:
+def of(prefix: str, col: Column | str) -> Column:
     return F.concat(F.lit(prefix), (F.col(col) if isinstance(col, str) else col).cast("string"))
 
 

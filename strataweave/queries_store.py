@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.operators import bridges, flows, graph, inspect, resolve
@@ -19,10 +19,13 @@ from strataweave.sources.store import TABLES, GraphStore
 from strataweave.staging import shared_folder
 from strataweave.streaming import follow
 
-NULL = F.lit(None).cast("string")
 LATER = "2024-01-01T00:00:00Z"
 
 
+def null() -> Column:
+    return F.lit(None).cast("string")
+
+
 def _store(spark: SparkSession) -> GraphStore:
     return GraphStore.open(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
 
@@ -156,7 +159,7 @@ def flow_assembly(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select(of("n", "n_nationkey").alias("id"), F.array(of("r:", "n_regionkey")).alias("anchor_set"))
     member = table(spark, sf, "supplier").select(of("n", "s_nationkey").alias("src_id"), of("s:", "s_suppkey").alias("dst_id"), F.lit("agentic.flow.member").alias("kind"))
     bridge = table(spark, sf, "lineitem").select(of("s:", "l_suppkey").alias("src_id"), of("p:", "l_partkey").alias("dst_id"), F.lit("agentic.bridge").alias("kind")).distinct()
-    edges = member.union(bridge).select(F.concat("src_id", "dst_id").alias("key"), "src_id", "dst_id", "kind", NULL.alias("deleted_at"))
+    edges = member.union(bridge).select(F.concat("src_id", "dst_id").alias("key"), "src_id", "dst_id", "kind", null().alias("deleted_at"))
     own, found = flows.assembled(nation, edges)
     return own.select(F.lit("member").alias("what"), "flow_id", F.col("member_id").alias("id")).union(found.select(F.lit("bridge"), "flow_id", "key"))
 
@@ -207,13 +210,13 @@ u AS (SELECT k.* FROM k LEFT JOIN h ON h.caller = k.caller AND h.ix = k.ix WHERE
 def _calls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (parts of some size and orders) and calls of orders, of which a part of the graph resolves some."""
     line = table(spark, sf, "lineitem")
-    to = F.array(F.struct(of("p", "l_partkey").alias("symbol_id"), F.lit("certain").alias("confidence"), NULL.alias("reason")))
+    to = F.array(F.struct(of("p", "l_partkey").alias("symbol_id"), F.lit("certain").alias("confidence"), null().alias("reason")))
     calls = line.select(of("o", "l_orderkey").alias("caller_id"), F.col("l_linenumber").alias("call_ix"), F.col("l_linestatus").alias("name"), of("o", "l_orderkey").alias("file"), F.col("l_suppkey").alias("start_line"), F.lit(False).alias("is_callback"), F.when(F.col("l_returnflag") == "A", to).otherwise(F.array().cast(to_type(to, line))).alias("resolutions"))
     nodes = table(spark, sf, "part").filter("p_size > 10").select(of("p", "p_partkey").alias("symbol_id")).union(table(spark, sf, "orders").select(of("o", "o_orderkey")))
     return nodes, calls
 
 
-def to_type(col: F.Column, df: DataFrame):
+def to_type(col: Column, df: DataFrame):
     return df.select(col.alias("x")).schema["x"].dataType
 
 
@@ -228,9 +231,9 @@ def corroborated_claims(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     members = orders.select(of("f", "o_custkey").alias("flow_id"), of("o", "o_orderkey").alias("node"))
     claims = orders.join(table(spark, sf, "lineitem").filter("l_quantity > 10"), F.col("l_orderkey") == F.col("o_orderkey"))
-    claims = claims.select(of("f", "o_custkey").alias("flow_id"), NULL.alias("src_id"), NULL.alias("dst_id"), of("o", "o_orderkey").alias("file"), F.col("l_suppkey").alias("line")).distinct()
+    claims = claims.select(of("f", "o_custkey").alias("flow_id"), null().alias("src_id"), null().alias("dst_id"), of("o", "o_orderkey").alias("file"), F.col("l_suppkey").alias("line")).distinct()
     good, rest = bridges.corroborated(claims, members, calls, nodes)
-    return good.select("flow_id", "file", "line", "witness", "call_name").union(rest.select("flow_id", "file", "line", NULL, NULL))
+    return good.select("flow_id", "file", "line", "witness", "call_name").union(rest.select("flow_id", "file", "line", null(), null()))
 
 
 @query(f"""
@@ -269,7 +272,7 @@ def flow_details(spark: SparkSession, sf: str) -> DataFrame:
     told = table(spark, sf, "supplier").filter("s_acctbal > 0").select(of("s:", "s_suppkey").alias("symbol_path"), F.col("s_name").alias("text"))
     bridge = table(spark, sf, "lineitem").select(of("s:", "l_suppkey").alias("src_id"), of("p:", "l_partkey").alias("dst_id")).distinct()
     members, found = inspect.flow_detail("n3", own, told, bridge)
-    return members.select(F.lit("member").alias("what"), F.col("symbol_path").alias("id"), "text").union(found.select(F.lit("bridge"), F.concat("src_id", "dst_id"), NULL))
+    return members.select(F.lit("member").alias("what"), F.col("symbol_path").alias("id"), "text").union(found.select(F.lit("bridge"), F.concat("src_id", "dst_id"), null()))
 
 
 # -- cursors -----------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions import identity, predicates, text
@@ -14,7 +14,9 @@ from strataweave.queries_incremental import of
 from strataweave.sources import logs, transcripts
 from strataweave.streaming import incremental
 
-NULL = F.lit(None).cast("string")
+
+def null() -> Column:
+    return F.lit(None).cast("string")
 
 
 # -- scalar functions --------------------------------------------------------
@@ -112,7 +114,7 @@ def spans_with_agents(spark: SparkSession, sf: str) -> DataFrame:
 def spine_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     """Two kinds of steps in one order with contiguous numbers."""
     e = table(spark, sf, "events")
-    parts = [e.filter(F.col("event_type") == k).select(F.col("event_id").alias("pos"), F.lit(k).alias("kind"), NULL.alias("at"), s("event_id").alias("summary"), F.lit("").alias("detail")) for k in ("error", "click")]
+    parts = [e.filter(F.col("event_type") == k).select(F.col("event_id").alias("pos"), F.lit(k).alias("kind"), null().alias("at"), s("event_id").alias("summary"), F.lit("").alias("detail")) for k in ("error", "click")]
     return trajectory.spine("r", parts).select(F.col("summary").cast("long").alias("event_id"), F.col("ordinal").cast("long").alias("ordinal"))
 
 
@@ -175,7 +177,7 @@ def projected_view(spark: SparkSession, sf: str) -> DataFrame:
     o, line, part = (table(spark, sf, t) for t in ("orders", "lineitem", "part"))
     members = line.join(o.filter("o_orderpriority = '1-URGENT'"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(s("l_partkey").alias("node")).distinct()
     nodes = part.select(s("p_partkey").alias("symbol_id"), F.col("p_brand").alias("file_path"))
-    to = F.array(F.struct((F.col("p_partkey") + 1).cast("string").alias("symbol_id"), F.lit("certain").alias("confidence"), NULL.alias("reason")))
+    to = F.array(F.struct((F.col("p_partkey") + 1).cast("string").alias("symbol_id"), F.lit("certain").alias("confidence"), null().alias("reason")))
     calls = part.select(s("p_partkey").alias("caller_id"), F.lit(0).alias("call_ix"), to.alias("resolutions"))
     seeds = part.filter("p_size = 1").select(s("p_partkey").alias("symbol_id"))
     rows, edges = flows.projected(members, nodes, calls, seeds)
@@ -229,7 +231,7 @@ WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'docstring' WHEN lang = 'de
 SELECT 'd' || doc_id AS symbol_path, CASE WHEN b = 'docstring' THEN 'told' ELSE coalesce(source, 'none') END AS text, CASE WHEN b = 'llm' THEN 'provisional' ELSE b END AS source FROM d WHERE b <> 'cached'""")
 def resolved_texts(spark: SparkSession, sf: str) -> DataFrame:
     bucket = F.when(F.col("lang") == "en", "docstring").when(F.col("lang") == "de", "llm").when(F.col("lang") == "fr", "placeholder").otherwise("cached")
-    plan = table(spark, sf, "documents").select(of("d", "doc_id").alias("symbol_path"), NULL.alias("content_hash"), F.lit("told").alias("docstring"), F.coalesce("source", F.lit("none")).alias("name"), bucket.alias("bucket"))
+    plan = table(spark, sf, "documents").select(of("d", "doc_id").alias("symbol_path"), null().alias("content_hash"), F.lit("told").alias("docstring"), F.coalesce("source", F.lit("none")).alias("name"), bucket.alias("bucket"))
     return descriptions.resolved(plan).select("symbol_path", "text", "source")
 
 
@@ -299,7 +301,7 @@ SELECT k AS edge_key, count(*) AS n FROM p GROUP BY 1""")
 def provenance_by_file(spark: SparkSession, sf: str) -> DataFrame:
     """Provenance of edges is one row for each file, whatever extractor saw it."""
     line = table(spark, sf, "lineitem")
-    rows = line.select(s("l_suppkey").alias("src_id"), s("l_partkey").alias("dst_id"), NULL.alias("inference_rationale"), of("o", "l_orderkey").alias("source_file"), F.lit("1:0-1:0").alias("source_range"), F.col("l_returnflag").alias("extractor_id"), F.lit("1").alias("extractor_version"), F.struct("l_linenumber", "l_quantity", "l_discount", "l_returnflag").alias("ordinal"))
+    rows = line.select(s("l_suppkey").alias("src_id"), s("l_partkey").alias("dst_id"), null().alias("inference_rationale"), of("o", "l_orderkey").alias("source_file"), F.lit("1:0-1:0").alias("source_range"), F.col("l_returnflag").alias("extractor_id"), F.lit("1").alias("extractor_version"), F.struct("l_linenumber", "l_quantity", "l_discount", "l_returnflag").alias("ordinal"))
     prov = bridges.build(rows, "k", ("source_file",))[1]
     key = F.regexp_replace(F.regexp_replace("edge_key", "^k:", ""), "->", ">")
     return prov.groupBy(key.alias("edge_key")).agg(F.count(F.lit(1)).alias("n"))
