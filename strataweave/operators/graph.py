@@ -72,20 +72,38 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seed: str, depth: int) -> t
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, root): undirected components, named by their smallest node. Isolated ``nodes`` are their own."""
+    """(node, root): undirected components, named by their smallest node. Isolated ``nodes`` are their own.
+
+    Each round contracts the graph: a node goes to the one within two steps that a hash of the round puts first, so about a
+    third of the nodes of a path and one of a star are left, whatever their names and order, and the rounds grow with the logarithm
+    of the longest path. What is left shrinks, so all rounds together move a few times the edges; then the rounds are gone back.
+    """
     with Cuts(edges.sparkSession) as cuts:
-        both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-        own = both.select(F.col("src").alias("node"))
-        own = own.union(nodes.select("node")) if nodes is not None else own
-        labels = cut(own.distinct().withColumn("root", F.col("node")))
-        while True:
-            near = both.join(labels, both.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("root").alias("near"))
-            low = cut(labels.join(near, "node", "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
-            up = low.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = cut(low.join(up, "root").select("node", F.col("up").alias("root"), "old"))
-            if labels.filter("root <> old").isEmpty():
-                return cuts.keep(labels.select("node", "root"))
-            labels = labels.select("node", "root")
+        links = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        links, moves = cut(links.distinct()), []
+        while not links.isEmpty():
+            first = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("rank"), F.col(c).alias("node"))
+            both = links.union(links.select("dst", "src"))
+            near = both.groupBy("src").agg(F.min(first("dst")).alias("near")).select(F.col("src").alias("dst"), F.least(first("src"), "near").alias("near"))
+            to = cut(both.join(near, "dst").groupBy(F.col("src").alias("node")).agg(F.min("near")["node"].alias("to")))
+            moves.append(to)
+            a, b = (to.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("src", "dst"))
+            moved = links.join(a, "src").join(b, "dst").filter("src_to <> dst_to")
+            links = cut(moved.select(F.least("src_to", "dst_to").alias("src"), F.greatest("src_to", "dst_to").alias("dst")).distinct())
+        own = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+        own = (own.union(nodes.select("node")) if nodes is not None else own).filter("node IS NOT NULL").distinct()
+        if not moves:
+            return cuts.keep(own.withColumn("root", F.col("node")))
+        ends = moves.pop()
+        while moves:
+            further = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+            ends = moves.pop().join(further, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+            if len(moves) % COMPACT == 0:
+                ends = cut(ends)
+        ends = cut(ends)
+        roots = ends.groupBy("to").agg(F.min("node").alias("root"))
+        named = ends.join(roots, "to").select("node", "root")
+        return cuts.keep(own.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
 def contract(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -139,3 +139,12 @@ def test_members_bridges_and_reconstruction(spark):
     assert {(r.path, r.is_doc) for r in back.collect()} == {("a.ts#a:function", False), ("s/x.md#doc", True)}
     twin = flows.with_twins(spark.createDataFrame([("f", "here", 1)], "id string, seed_location string, member_count long"), spark.createDataFrame([("f", None, 7)], "flow_id string, seed_location string, member_count long"))
     assert tuple(twin.first()) == ("f", "here", 7)
+
+
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    """Names rise along the first path and fall below its own along the second, so a smallest label would go on by a step a round."""
+    names = [f"b{i:03d}" for i in range(300)] + [f"a{i:03d}" for i in range(300)]
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda d, real=graph.cut: cuts.append(d) or real(d))
+    got = {r.node: r.root for r in graph.components(pairs(spark, [*zip(names, names[1:], strict=False), ("x", "x"), ("y", None)])).collect()}
+    assert got == {**dict.fromkeys(names, "a000"), "x": "x", "y": "y"} and len(cuts) < 60
