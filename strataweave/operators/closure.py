@@ -22,6 +22,8 @@ from strataweave.staging import Cuts, cut
 
 #: Levels of a walk after which what was seen is written as one table.
 COMPACT = 4
+#: Positions of a path and keys on it that one group of a join pairs at most, and the pairs of a task, about.
+BLOCK, PART, PAIRS = 4096, 256, 4_000_000
 
 
 def ranked_links(links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +82,28 @@ def spread(start: DataFrame, step: DataFrame, seen: DataFrame | None = None, mos
     return found
 
 
+def along(inner: DataFrame, place: DataFrame) -> DataFrame:
+    """(key, node) of the nodes of ``place`` (node, head, pos) that lie on the paths of ``inner`` (key, head, from) at ``from`` or after.
+
+    A path is cut into blocks of positions and the keys on a block into parts, so neither a long path nor one that many
+    keys lie on makes a large group; keys meet no block before their own.
+    """
+    block = lambda c: F.expr(f"`{c}` div {BLOCK}")
+    cell, one = ["head", "block"], F.count(F.lit(1))
+    placed = place.withColumn("block", block("pos"))
+    ends = place.groupBy("head").agg(F.max(block("pos")).alias("last"))
+    keys = inner.join(ends, "head").filter(block("from") <= F.col("last")).select("key", "head", "from", F.explode(F.sequence(block("from"), "last")).alias("block"))
+    parts = keys.groupBy(*cell).agg(one.alias("keys")).join(placed.groupBy(*cell).agg(one.alias("nodes")), cell)
+    parts = cut(parts.select(*cell, F.ceil(F.col("keys") / PART).alias("parts"), (F.col("keys") * F.col("nodes")).alias("pairs")))
+    # A number of tasks that is given isn't lowered for the few bytes that they read; either side may be the one that is streamed.
+    tasks = max(int(place.sparkSession.conf.get("spark.sql.shuffle.partitions")), (parts.agg(F.sum("pairs")).first()[0] or 0) // PAIRS)
+    parts = parts.drop("pairs")
+    asked = keys.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("key"), "parts")).drop("parts")
+    held = placed.join(parts, cell).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    asked, held = (d.repartition(tasks, *cell, "part") for d in (asked, held))
+    return asked.join(held, [*cell, "part"]).filter("pos >= from").select("key", "node")
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, node) of all nodes that each key's seeds (key, node) reach along ``edges`` (src, dst), the seeds included."""
     with Cuts(edges.sparkSession) as cuts:
@@ -99,8 +123,7 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         whole = spread(after.union(at.filter("pos = 0").select("key", "head")), outer)
         part = at.filter("pos > 0").join(whole.select("key", F.col("node").alias("head")), ["key", "head"], "left_anti")
         inner = whole.select("key", F.col("node").alias("head"), F.lit(0).cast("long").alias("from")).unionByName(part.select("key", "head", F.col("pos").alias("from")))
-        members = inner.join(place, "head").filter("pos >= from").select("key", "node")
-        return cuts.keep(whole.select("key", "node").union(members))
+        return cuts.keep(whole.select("key", "node").union(along(inner, place)))
 
 
 class Change(NamedTuple):

@@ -54,6 +54,19 @@ def test_closure_equals_plain_search(spark, name, edges, seeds):
     assert pairs(got) == plain(edges, seeds)
 
 
+def test_keys_on_one_path_are_spread_over_tasks(spark, monkeypatch):
+    """A path is one node of the condensed graph; its pairs must not come out of one task."""
+    monkeypatch.setattr(cl, "BLOCK", 64)
+    monkeypatch.setattr(cl, "PART", 16)
+    n, keys = 1000, 40
+    place = spark.range(1, n).selectExpr("'n' || id AS node", "'h' AS head", "id AS pos")
+    inner = spark.range(keys).selectExpr("'k' || id AS key", "'h' AS head", "id * 20 AS from")
+    got = cl.along(inner, place)
+    assert pairs(got) == {(f"k{k}", f"n{i}") for k in range(keys) for i in range(max(1, k * 20), n)}
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
+
+
 @pytest.mark.parametrize("ring", [False, True])
 def test_a_long_chain_and_a_large_cycle_take_few_rounds(spark, ring, monkeypatch):
     n, cuts = 10_000, []
