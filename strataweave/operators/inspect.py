@@ -23,7 +23,10 @@ def flow_summaries(flows: DataFrame, descriptions: DataFrame, bridges: DataFrame
     told = breakdown(members.join(descriptions, "symbol_path", "left"), ["flow_id"])
     ends = bridges.select("src_id", "dst_id").distinct()
     hit = lambda c: ends.join(members, ends[c] == members.symbol_path).select("flow_id", "src_id", "dst_id")
-    touching = hit("src_id").union(hit("dst_id")).distinct().groupBy("flow_id").agg(F.count(F.lit(1)).alias("bridge_count"))
+    # A bridge within a flow counts at its source only; pairs and members are distinct, so no triple needs to be made so again.
+    own = members.select(F.col("flow_id").alias("__f"), F.col("symbol_path").alias("__m"))
+    into = hit("dst_id").join(own, (F.col("flow_id") == F.col("__f")) & (F.col("src_id") == F.col("__m")), "left_anti")
+    touching = hit("src_id").select("flow_id").union(into.select("flow_id")).groupBy("flow_id").agg(F.count(F.lit(1)).alias("bridge_count"))
     out = flows.withColumn("member_count", F.size("anchor_set")).join(told, "flow_id", "left").join(touching, "flow_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in (*SOURCES, "none", "total", "bridge_count")})
 

@@ -202,3 +202,13 @@ def test_proposed_bridges(spark):
     rows = [(None, None), ("{", None), ("3", 0), ('{"umbrellas": 1}', 0), ('{"umbrellas": [{"bridges": [1, 2]}, {"bridges": [3]}, {}, {"bridges": "x"}]}', 3)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "json string")
     assert [r.proposed for r in inspect.proposed_bridges(df).collect()] == [b for _, b in rows]
+
+
+def test_summaries_count_each_bridge_once_and_make_pairs_distinct_only(spark):
+    f = spark.createDataFrame([("f", True, ["a", "b", "b"]), ("g", True, ["b", "c"]), ("h", True, ["z"])], "flow_id string, live boolean, anchor_set array<string>")
+    d = spark.createDataFrame([("a", "llm")], "symbol_path string, source string")
+    b = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", None), (None, "a"), ("x", "y"), ("x", "c"), ("b", "b")], "src_id string, dst_id string")
+    s = inspect.flow_summaries(f, d, b)
+    assert {r.flow_id: r.bridge_count for r in s.collect()} == {"f": 4, "g": 5, "h": 0}
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [flow_id" in plan and not [x for x in plan.splitlines() if "Aggregate [flow_id" in x and "dst_id" in x]
