@@ -134,3 +134,13 @@ def test_a_commit_writes_the_tables_it_changed_and_old_versions_stay(spark, tmp_
     store.vacuum(keep=2)
     assert ids(store.nodes()) == ["a", "b", "c"] == ids(GraphStore(spark, store.path, version=now).nodes())
     assert not (tmp_path / "s" / f"v={first}" / "nodes").exists() and store.versions()[-2:] == [now, store.version]
+
+
+def test_edges_of_the_store_queries_are_made_distinct_by_numbers(spark, monkeypatch):
+    """Texts of an edge cross the network once less."""
+    from strataweave import queries_store
+
+    seen = []
+    monkeypatch.setattr(GraphStore, "upsert_edges", lambda self, *rows: seen.extend(r._jdf.queryExecution().optimizedPlan().toString() for r in rows))
+    queries_store._edge_store(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 4 and all("Aggregate [l_suppkey" in p and p.count("Aggregate [") == 1 for p in seen)
