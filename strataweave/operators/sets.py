@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.staging import Cuts, cut
+from strataweave.staging import Cuts, cut, tasks
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -73,5 +73,8 @@ def containments(sets: DataFrame, within: DataFrame) -> DataFrame:
         asked = ranked.filter("rarest.often > 0").select("key", "n", F.col("rarest.node").alias("node"))
         sizes = big.groupBy("other").agg(F.count(F.lit(1)).alias("size"))
         pairs = cut(asked.join(big, "node").filter("key <> other").select("key", "other", "n").join(sizes, "other").filter("n <= size").select("key", "other", "n"))
-        common = pairs.join(own, "key").join(big, ["other", "node"]).groupBy("key", "other", "n").agg(F.count(F.lit(1)).alias("common"))
+        # Members of all pairs are counted by key, in as many tasks as keep the counts of one small.
+        n = tasks(sets.sparkSession, pairs.agg(F.sum("n")).first()[0] or 0)
+        members = pairs.repartition(n, "key").join(own.repartition(n, "key"), "key")
+        common = members.join(big, ["other", "node"]).groupBy("key", "other", "n").agg(F.count(F.lit(1)).alias("common"))
         return cuts.keep(common.filter("common = n").select("key", "other"))

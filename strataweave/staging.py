@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a task, about.
+ROWS = 1_000_000
 #: Open scopes of this thread, innermost last.
 _open: ContextVar[tuple[Cuts, ...]] = ContextVar("cuts", default=())
 
@@ -33,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get()
 
 
+def tasks(spark: SparkSession, rows: int, each: int = ROWS) -> int:
+    """Into how many tasks to deal ``rows``: as many as the session has it, more where that makes a task hold more than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 class Cuts:
     """A ``with`` block whose cut tables are removed at its end, but for results that ``keep`` writes outside it."""
 

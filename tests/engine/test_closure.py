@@ -138,3 +138,18 @@ def test_containments_equal_all_pairs(spark):
     one["lone"], two["t000"] = {"nobody else"}, one["s000"]
     got = pairs(sets.containments(members(spark, one), members(spark, {**one, **two})))
     assert got == {(a, b) for a in one for b in {**one, **two} if a != b and one[a] <= {**one, **two}[b]}
+
+
+def test_containments_deal_the_members_of_pairs_among_enough_tasks(spark, monkeypatch):
+    asked, plans, write = [], [], staging.cut
+    monkeypatch.setattr(sets, "tasks", lambda s, rows: asked.append(rows) or 9)
+    monkeypatch.setattr(staging, "cut", lambda d: plans.append(d._jdf.queryExecution().sparkPlan().toString()) or write(d))
+    one, two = some_sets(20, 4), {k.replace("s", "t"): v for k, v in some_sets(20, 5).items()}
+    got = pairs(sets.containments(members(spark, one), members(spark, two)))
+    assert got == {(a, b) for a in one for b in two if one[a] <= two[b]}
+    assert asked[0] >= sum(len(one[a]) for a, _ in got) and plans[-1].count("9, REPARTITION_BY_NUM") + plans[-1].count(", 9)") >= 2
+
+
+def test_tasks_grow_with_the_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [staging.tasks(spark, n, 10) for n in (0, 10 * least, 10 * least + 1, 1000)] == [least, least, least + 1, 100]
