@@ -142,10 +142,14 @@ def nearest_marked_dir(paths: DataFrame, markers: DataFrame) -> DataFrame:
     return each.join(markers.select("dir").distinct(), "dir", "left_semi").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
 
 
-def edge_containers(edges: DataFrame, module_of: DataFrame) -> DataFrame:
-    """Edges (src, dst) with the container that lays them out: their module if both ends share it, else the root ('')."""
+def edge_containers(edges: DataFrame, module_of: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges (src, dst) with the container that lays them out: their module if both ends share it, else the root ('').
+
+    ``parts`` is the number of tasks that edges are dealt among, by ``src`` and then by ``dst``; without it the planner sees to that.
+    """
     a, b = module_of.select(F.col("node").alias("src"), F.col("module").alias("a")), module_of.select(F.col("node").alias("dst"), F.col("module").alias("b"))
-    both = edges.join(a, "src", "left").join(b, "dst", "left")
+    dealt = lambda d, c: d.repartition(parts, c) if parts else d
+    both = dealt(dealt(edges, "src").join(a, "src", "left"), "dst").join(b, "dst", "left")
     return both.withColumn("container", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.lit(""))).drop("a", "b")
 
 

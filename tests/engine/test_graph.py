@@ -148,3 +148,11 @@ def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut", lambda d, real=graph.cut: cuts.append(d) or real(d))
     got = {r.node: r.root for r in graph.components(pairs(spark, [*zip(names, names[1:], strict=False), ("x", "x"), ("y", None)])).collect()}
     assert got == {**dict.fromkeys(names, "a000"), "x": "x", "y": "y"} and len(cuts) < 60
+
+
+def test_edges_are_dealt_among_the_tasks_that_are_asked_for(spark):
+    modules = pairs(spark, [("a", "M"), ("b", "M"), ("c", "K")], "node string, module string")
+    boxes = graph.edge_containers(pairs(spark, [("a", "b"), ("a", "c"), ("?", "b")]), modules, 9)
+    assert {(r.src, r.dst, r.container) for r in boxes.collect()} == {("a", "b", "M"), ("a", "c", ""), ("?", "b", "")}
+    plan = boxes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [src") == 1 and plan.count("RepartitionByExpression [dst") == 1 and plan.count(", 9") >= 2
