@@ -13,13 +13,14 @@ from strataweave.operators.graph import unresolved_calls
 MAX_BRIDGES, MAX_DESCRIPTIONS, DEADLINE_MS = 500, 200, 30_000
 
 
-def build(candidates: DataFrame, kind: str = "agentic.bridge", provenance_key: tuple = ("source_file", "source_range", "extractor_id")) -> tuple[DataFrame, DataFrame]:
+def build(candidates: DataFrame, kind: str = "agentic.bridge", provenance_key: tuple = ("source_file", "source_range", "extractor_id"), parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges (key, src_id, dst_id, inference_rationale) and their provenance, of candidates with an ``ordinal``.
 
     One edge for each key with the first rationale; of provenance rows equal in
-    ``provenance_key`` the first stands.
+    ``provenance_key`` the first stands. With ``parts`` candidates are dealt among so many tasks by key, once for all that is grouped by it.
     """
     keyed = candidates.withColumn("key", edge_key(F.lit(kind), F.col("src_id"), F.col("dst_id")))
+    keyed = keyed.repartition(parts, "key") if parts else keyed
     edges = keyed.groupBy("key", "src_id", "dst_id").agg(F.min_by("inference_rationale", "ordinal").alias("inference_rationale")).withColumn("kind", F.lit(kind))
     prov = keyed.groupBy(F.col("key").alias("edge_key"), *provenance_key).agg(F.min_by(F.struct("source_file", "source_range", "extractor_id", "extractor_version"), "ordinal").alias("p"))
     return edges, prov.select("edge_key", "p.*")

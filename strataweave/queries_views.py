@@ -12,6 +12,7 @@ from strataweave.plans.star_graph import table
 from strataweave.queries import query, s
 from strataweave.queries_incremental import of
 from strataweave.sources import logs, transcripts
+from strataweave.staging import tasks
 from strataweave.streaming import incremental
 
 
@@ -302,9 +303,9 @@ def provenance_by_file(spark: SparkSession, sf: str) -> DataFrame:
     """Provenance of edges is one row for each file, whatever extractor saw it."""
     line = table(spark, sf, "lineitem")
     rows = line.select(s("l_suppkey").alias("src_id"), s("l_partkey").alias("dst_id"), null().alias("inference_rationale"), of("o", "l_orderkey").alias("source_file"), F.lit("1:0-1:0").alias("source_range"), F.col("l_returnflag").alias("extractor_id"), F.lit("1").alias("extractor_version"), F.struct("l_linenumber", "l_quantity", "l_discount", "l_returnflag").alias("ordinal"))
-    prov = bridges.build(rows, "k", ("source_file",))[1]
+    prov = bridges.build(rows, "k", ("source_file",), tasks(spark, line.count()))[1]
     key = F.regexp_replace(F.regexp_replace("edge_key", "^k:", ""), "->", ">")
-    return prov.groupBy(key.alias("edge_key")).agg(F.count(F.lit(1)).alias("n"))
+    return prov.groupBy("edge_key").agg(F.count(F.lit(1)).alias("n")).select(key.alias("edge_key"), "n")
 
 
 @query("""

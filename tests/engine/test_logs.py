@@ -212,3 +212,17 @@ def test_summaries_count_each_bridge_once_and_make_pairs_distinct_only(spark):
     assert {r.flow_id: r.bridge_count for r in s.collect()} == {"f": 4, "g": 5, "h": 0}
     plan = s._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [flow_id" in plan and not [x for x in plan.splitlines() if "Aggregate [flow_id" in x and "dst_id" in x]
+
+
+def test_provenance_crosses_the_network_once_where_tasks_are_given(spark):
+    from strataweave.operators import bridges
+
+    names = "src_id string, dst_id string, inference_rationale string, source_file string, source_range string, extractor_id string, extractor_version string, ordinal int"
+    rows = [("a", "b", "later", "f", "1", "x", "1", 2), ("a", "b", "first", "f", "2", "y", "1", 1), ("a", "b", None, "g", "1", "x", "1", 3), ("b", "a", "z", "f", "1", "x", "1", 1)]
+    edges, prov = bridges.build(spark.createDataFrame(rows, names), "k", ("source_file",), 9)
+    assert {(r.key, r.inference_rationale) for r in edges.collect()} == {("k:a->b", "first"), ("k:b->a", "z")}
+    assert {(r.edge_key, r.source_file, r.source_range) for r in prov.collect()} == {("k:a->b", "f", "2"), ("k:a->b", "g", "1"), ("k:b->a", "f", "1")}
+    counts = prov.groupBy("edge_key").count()
+    assert {tuple(r) for r in counts.collect()} == {("k:a->b", 2), ("k:b->a", 1)}
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 9), REPARTITION_BY_NUM" in plan
