@@ -10,8 +10,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a task, about.
-ROWS = 1_000_000
+#: What joins of a scope broadcast at most, by the planner's estimate, and rows of a task, about.
+BROADCAST, ROWS = 256 << 10, 1_000_000
+LIMIT = "spark.sql.autoBroadcastJoinThreshold"
 #: Open scopes of this thread, innermost last.
 _open: ContextVar[tuple[Cuts, ...]] = ContextVar("cuts", default=())
 
@@ -41,7 +42,11 @@ def tasks(spark: SparkSession, rows: int, each: int = ROWS) -> int:
 
 
 class Cuts:
-    """A ``with`` block whose cut tables are removed at its end, but for results that ``keep`` writes outside it."""
+    """A ``with`` block whose cut tables are removed at its end, but for results that ``keep`` writes outside it.
+
+    Its joins broadcast small tables only. A broadcast passes through the driver, ten times its files and more where
+    texts pack well, and a loop or a turn plans a hundred joins, so tables just below the common limit add up.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -49,6 +54,10 @@ class Cuts:
     def __enter__(self) -> Cuts:
         self.around = _open.get()
         _open.set((*self.around, self))
+        self.limit = self.spark.conf.get(LIMIT)
+        size = self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        common = -1 if self.limit.startswith("-") else size(self.limit)
+        self.spark.conf.set(LIMIT, min(common, BROADCAST))
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -62,6 +71,7 @@ class Cuts:
 
     def __exit__(self, *_) -> None:
         _open.set(self.around)
+        self.spark.conf.set(LIMIT, self.limit)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for p in self.paths:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)

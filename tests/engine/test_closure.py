@@ -153,3 +153,19 @@ def test_containments_deal_the_members_of_pairs_among_enough_tasks(spark, monkey
 def test_tasks_grow_with_the_rows(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [staging.tasks(spark, n, 10) for n in (0, 10 * least, 10 * least + 1, 1000)] == [least, least, least + 1, 100]
+
+
+@pytest.mark.parametrize("common, own", [("10MB", staging.BROADCAST), ("1k", 1024), ("-1", -1)])
+def test_a_scope_broadcasts_small_tables_only(spark, common, own):
+    now = lambda: spark.conf.get(staging.LIMIT)
+    was = now()
+    spark.conf.set(staging.LIMIT, common)
+    try:
+        with pytest.raises(KeyError), staging.Cuts(spark):
+            with staging.Cuts(spark):
+                assert int(now()) == own
+            assert int(now()) == own
+            raise KeyError
+        assert now() == common
+    finally:
+        spark.conf.set(staging.LIMIT, was)
