@@ -143,16 +143,20 @@ class Change(NamedTuple):
 def maintained(pairs: DataFrame, edges: tuple[DataFrame, DataFrame], seeds: tuple[DataFrame, DataFrame]) -> Change:
     """The change of a closure (key, node) when old ``edges`` (src, dst) become new ones and old ``seeds`` (key, node) new ones."""
     with Cuts(pairs.sparkSession) as cuts:
-        old, new = (cut(e.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()) for e in edges)
         was, now = (s.select("key", "node").distinct() for s in seeds)
         pair, edge = ["key", "node"], ["src", "dst"]
-        removed, added = cut(old.join(new, edge, "left_anti")), cut(new.join(old, edge, "left_anti"))
+        # One aggregate makes the edges of both graphs distinct and tells which graph has them.
+        sides = (e.select(*edge, F.lit(k).alias("old"), F.lit(not k).alias("new")).filter("src IS NOT NULL AND dst IS NOT NULL") for e, k in zip(edges, (True, False), strict=True))
+        both = cut(next(sides).union(next(sides)).groupBy(*edge).agg(F.max("old").alias("old"), F.max("new").alias("new")))
+        old, new = (both.filter(k).select(*edge) for k in ("old", "new"))
+        removed, added = (cut(both.filter(k).select(*edge)) for k in ("NOT new", "NOT old"))
         if removed.isEmpty() and added.isEmpty() and sets.differing(was, now).isEmpty():
             none = pairs.sparkSession.createDataFrame([], pairs.select(*pair).schema)
             return Change(pairs.select(*pair), none, none)
         cutoff = pairs.join(removed, pairs.node == removed.src).select("key", F.col("dst").alias("node"))
         doubtful = cut(spread(cutoff.union(was.join(now, pair, "left_anti")), old))
-        kept = pairs.select(*pair).join(doubtful, pair, "left_anti")
+        # Written once, as every level of what follows asks for it; what comes back from doubt is added to it.
+        kept = cuts.keep(pairs.select(*pair).join(doubtful, pair, "left_anti"))
         # Ways into doubtful pairs from pairs that stay, new edges out of those, and seeds.
         another = doubtful.join(new, doubtful.node == new.dst).select("key", F.col("src").alias("from"), "node")
         another = another.join(kept.select("key", F.col("node").alias("from")), ["key", "from"], "left_semi").select(*pair)
@@ -162,6 +166,4 @@ def maintained(pairs: DataFrame, edges: tuple[DataFrame, DataFrame], seeds: tupl
         gone, come = doubtful.join(back, pair, "left_anti"), back.join(doubtful, pair, "left_anti")
         stays = cuts.keep(back.join(doubtful, pair, "left_semi"))
         gone, come = cuts.keep(gone), cuts.keep(come)
-    # Pairs that never came into doubt are not written again.
-    held = pairs.select(*pair).join(gone.unionByName(stays), pair, "left_anti").unionByName(stays)
-    return Change(held, gone, come)
+    return Change(kept.unionByName(stays), gone, come)

@@ -169,3 +169,19 @@ def test_a_scope_broadcasts_small_tables_only(spark, common, own):
         assert now() == common
     finally:
         spark.conf.set(staging.LIMIT, was)
+
+
+def test_maintenance_compares_edges_by_one_aggregate_and_writes_kept_pairs_once(spark, monkeypatch):
+    plans, write = [], staging.cut
+    note = lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or write(d)
+    monkeypatch.setattr(staging, "cut", note)
+    monkeypatch.setattr(cl, "cut", note)
+    old, new = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "b"), (None, "x"), ("x", "y")], [("a", "b"), ("b", "d"), ("c", "d"), ("x", "y"), ("y", "z"), ("x", None)]
+    frames = [spark.createDataFrame(e, "src string, dst string") for e in (old, new)]
+    seeds = [("a", "a"), ("x", "x")]
+    start = spark.createDataFrame(seeds, "key string, node string")
+    change = cl.maintained(spark.createDataFrame(sorted(plain([e for e in old if None not in e], seeds)), start.schema), tuple(frames), (start, start))
+    assert pairs(change.closure()) == plain([e for e in new if None not in e], seeds)
+    assert pairs(change.gone) == {("a", "c")} and pairs(change.new) == {("x", "z")}
+    assert sum("Aggregate [src" in p and "Union" in p for p in plans) == 1 and not [p for p in plans if "LeftAnti" in p and "src" in p.split("LeftAnti")[1].split("\n")[0]]
+    assert "LeftAnti" not in change.kept._jdf.queryExecution().optimizedPlan().toString()
