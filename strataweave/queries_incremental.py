@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.operators import closure, sets
+from strataweave.operators import closure, ordinals, sets
 from strataweave.plans import reconcile, star_graph
 from strataweave.plans.star_graph import table
 from strataweave.queries import EDGES_SQL, query, s
@@ -35,15 +35,23 @@ SELECT key, node FROM r""")
 def condensed_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as one long chain, each user's events as a cycle with ways in at its errors."""
     part, events = table(spark, sf, "part"), table(spark, sf, "events")
-    # The next part is found by a join, not a window over all: keys are numbered without gaps.
-    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("next"))
-    chain = part.select("p_partkey").join(following, "p_partkey").select(of("p:", "p_partkey").alias("src"), of("p:", "next").alias("dst"))
+    # Nodes are walked as numbers, their kind in the last digits; the few ids that are too large for that are walked as texts.
+    top = [d.agg(*(f(c) for c in cols for f in (F.min, F.max))).first() for d, cols in ((part, ["p_partkey"]), (events, ["event_id", "user_id"]))]
+    if any(abs(v or 0) >= 1 << 60 for row in top for v in row):
+        node, named = (lambda prefix, c: of(f"{prefix}:", c)), (lambda c: c)
+    else:
+        node = lambda prefix, c: F.col(c) * 4 + "peu".index(prefix)
+        named = lambda c: F.concat(F.element_at(F.array(*map(F.lit, ("p:", "e:", "u:"))), (F.pmod(c, F.lit(4)) + 1).cast("int")), F.shiftright(c, 2).cast("string"))
+    # The next part is found by a join of numbered rows, not a window over all.
+    placed = ordinals.numbered(part.select("p_partkey"), ["p_partkey"], "n")
+    following = placed.select((F.col("n") - 1).alias("n"), F.col("p_partkey").alias("next"))
+    chain = placed.join(following, "n").select(node("p", "p_partkey").alias("src"), node("p", "next").alias("dst"))
     w = F.expr("lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id)")
-    around = events.select(of("e:", "event_id").alias("src"), F.coalesce(w, F.expr("min(event_id) OVER (PARTITION BY user_id)")).alias("next"))
-    ring = around.select("src", of("e:", "next").alias("dst"))
-    into = events.filter("event_type = 'error'").select(of("u:", "user_id").alias("src"), of("e:", "event_id").alias("dst"))
-    seeds = events.select(of("u:", "user_id").alias("key")).distinct().union(part.filter("p_partkey % 1000 = 1").select(of("p:", "p_partkey")))
-    return closure.closure(chain.union(ring).union(into), seeds.select("key", F.col("key").alias("node")))
+    around = events.select("event_id", F.coalesce(w, F.expr("min(event_id) OVER (PARTITION BY user_id)")).alias("next"))
+    ring = around.select(node("e", "event_id").alias("src"), node("e", "next").alias("dst"))
+    into = events.filter("event_type = 'error'").select(node("u", "user_id").alias("src"), node("e", "event_id").alias("dst"))
+    seeds = events.select(node("u", "user_id").alias("key")).distinct().union(part.filter("p_partkey % 1000 = 1").select(node("p", "p_partkey")))
+    return closure.closure(chain.union(ring).union(into), seeds.select("key", F.col("key").alias("node")), written=False, named=named)
 
 
 # -- maintenance -------------------------------------------------------------

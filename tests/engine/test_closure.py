@@ -10,6 +10,7 @@ from strataweave import staging
 from strataweave.operators import closure as cl
 from strataweave.operators import sets
 from strataweave.operators.graph import reachable
+from strataweave.queries import QUERIES
 
 
 def plain(edges, seeds):
@@ -54,6 +55,48 @@ def test_closure_equals_plain_search(spark, name, edges, seeds):
     assert pairs(got) == plain(edges, seeds)
 
 
+@pytest.mark.parametrize("name,edges,seeds", list(graphs()))
+def test_unwritten_closure_with_stops_equals_plain_search(spark, name, edges, seeds, monkeypatch):
+    for k, v in {"MANY": 1, "STRIDE": 3, "BLOCK": 4, "PART": 2, "PAIRS": 8}.items():
+        monkeypatch.setattr(cl, k, v)
+    got = cl.closure(frame(spark, edges, "src dst"), frame(spark, seeds, "key node"), written=False, named=lambda c: F.concat(F.lit("."), c))
+    assert pairs(got) == {(f".{k}", f".{n}") for k, n in plain(edges, seeds)}
+
+
+def test_ranking_a_long_path_writes_a_few_times_its_nodes(spark, monkeypatch):
+    """Each round wrote all nodes, so they were written as often as their logarithm."""
+    n, sizes = 4096, []
+    monkeypatch.setattr(cl, "MANY", 1, raising=False)
+    monkeypatch.setattr(cl, "cut", lambda df: (lambda d: sizes.append(d.count()) or d)(staging.cut(df)))
+    ring = spark.range(40).select(F.format_string("r%d", "id").alias("src"), F.format_string("r%d", (F.col("id") + 1) % 40).alias("dst"))
+    place = cl.chains(spark.range(n - 1).selectExpr("'n' || id AS src", "'n' || (id + 1) AS dst").union(ring))
+    got = {r.node: (r.head, r.pos) for r in place.collect()}
+    first = min(f"r{i}" for i in range(40))
+    assert got == {f"n{i}": ("n0", i) for i in range(1, n)} | {f"r{i}": (first, i) for i in range(1, 40)}
+    assert sum(sizes) < 11 * n
+
+
+def test_condensed_closure_writes_less_than_its_pairs(spark, tmp_path, monkeypatch):
+    """The pairs, which grow with the square of the parts, were written and read again. Part keys have a gap, one id is too large to carry its kind in a number."""
+    sizes, write = [], staging.cut
+    monkeypatch.setattr(cl, "cut", lambda df: (lambda d: sizes.append(d.count()) or d)(write(df)))
+    monkeypatch.setattr(staging, "cut", cl.cut)
+    n, far = 4000, 1 << 61
+    part = [i for i in range(n) if i != 2500]
+    spark.createDataFrame([(i,) for i in part], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    for big in (False, True):
+        ids = [7, 9, far if big else 12]
+        sf = tmp_path / str(big)
+        sf.mkdir()
+        (sf / "part.parquet").symlink_to(tmp_path / "part.parquet")
+        events = [(i, 5, "error" if i == 9 else "view") for i in ids] + [(20, 6, "view"), (21, 6, "view")]
+        spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(sf / "events.parquet"))
+        want = {(f"p:{a}", f"p:{b}") for a in part if a % 1000 == 1 for b in part if b >= a}
+        want |= {("u:5", "u:5"), ("u:6", "u:6"), *(("u:5", f"e:{i}") for i in ids)}
+        assert pairs(QUERIES["condensed_closure"](spark, str(sf))) == want
+        assert max(sizes) < len(want) / 2
+
+
 def test_keys_on_one_path_are_spread_over_tasks(spark, monkeypatch):
     """A path is one node of the condensed graph; its pairs must not come out of one task."""
     monkeypatch.setattr(cl, "BLOCK", 64)
