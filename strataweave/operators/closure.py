@@ -126,7 +126,7 @@ def cells(inner: DataFrame, place: DataFrame) -> tuple[DataFrame, int]:
     """(keys, nodes, first) of the paths of ``inner`` (key, head, from), each key with its ``from`` and ``first`` the nodes' first position, and the number of tasks to deal their pairs among.
 
     A path is cut into blocks of positions and the keys on a block into parts, so neither a long path nor one that many
-    keys lie on makes a large row; keys meet no block before their own. Rows grow with nodes and keys, not with their pairs.
+    keys lie on makes a large row; keys meet no block before their own. What is held grows with nodes and keys, and with a thousandth or so of their pairs.
     """
     block = lambda c: F.expr(f"`{c}` div {BLOCK}")
     cell, spark = ["head", "block"], place.sparkSession
